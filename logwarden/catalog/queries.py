@@ -527,9 +527,7 @@ def alerts(spark, sf_dir):
 def mitigation_rules(spark, sf_dir):
     """Findings over masked rows; IP tokens are resolved only in the rules."""
     masked = land(_masked(spark, sf_dir), "masked")
-    dictionary = mask.token_occurrences(masked).groupBy("token").agg(
-        F.min("original").alias("original")
-    )
+    dictionary = mask.actor_dictionary(masked)
     return P.respond_to(masked, _created(), OPTIONS, dictionary).rules.drop("alert_id")
 
 

@@ -52,12 +52,15 @@ def hashed_pairs(values: Column, prefix: str, salt: str) -> Column:
 
 
 def token_entries(values: Column, prefix: str, salt: str) -> Column:
-    """One pattern's part of a line's token list, in text order."""
+    """One pattern's part of a line's token list, in the order of replacement.
+
+    ``pos`` is the value's place among the pattern's matches in the text.
+    """
     return F.transform(
-        values,
-        lambda v, i: F.struct(
+        longest_first(values),
+        lambda v: F.struct(
             F.lit(prefix).alias("prefix"),
-            i.alias("pos"),
+            (F.array_position(values, v) - 1).cast("int").alias("pos"),
             hash_token(prefix, v, salt).alias("token"),
             v.alias("original"),
         ),

@@ -20,7 +20,7 @@ TOKEN_LIST = "array<struct<prefix:string,pos:int,token:string,original:string>>"
 def mask_hashed(
     df: DataFrame, options: MaskOptions, text: str = "raw_line", out: str = "sanitized_line"
 ) -> DataFrame:
-    """Add ``out`` (masked text) and ``token_list`` (what was swapped, in order).
+    """Add ``out`` (masked text) and ``token_list`` (what was swapped, in that order).
 
     Patterns run one after the other on the text the previous one left. Within
     a pattern the longest match goes first, so a value that is part of another
@@ -62,8 +62,16 @@ def token_map(token_list: Column) -> Column:
     return F.map_from_entries(F.array_distinct(pairs))
 
 
+def mask_with(text: Column, token_list: Column) -> Column:
+    """Mask another field of a line with the tokens of the line."""
+    pairs = F.transform(
+        token_list, lambda t: F.struct(t["original"].alias("find"), t["token"].alias("put"))
+    )
+    return M.replace_all(text, pairs)
+
+
 def unmask(text: Column, token_list: Column) -> Column:
-    """Exact inverse: the swaps of the last pattern are undone first."""
+    """Exact inverse: the swaps are undone in reverse order."""
     pairs = F.transform(
         F.reverse(token_list),
         lambda t: F.struct(t["token"].alias("find"), t["original"].alias("put")),
@@ -110,6 +118,13 @@ def masked_actor(masked: DataFrame, options: MaskOptions) -> DataFrame:
     )
 
 
+def actor_dictionary(masked: DataFrame) -> DataFrame:
+    """(token, original) of every masked actor. Sensitive: keep it apart from the rows."""
+    own = F.filter("token_list", lambda t: t["prefix"] == "[IP_")
+    address = F.coalesce(F.get(own, F.lit(0))["original"], F.nullif("source_ip", F.lit("")))
+    return masked.groupBy(F.col("actor").alias("token")).agg(F.min(address).alias("original"))
+
+
 def token_occurrences(masked: DataFrame) -> DataFrame:
     """One row per (seq, token), with its place among the line's matches."""
     return _unfold(masked.select("seq", "token_list"), F.col("token_list"), "t").select(

@@ -77,7 +77,11 @@ def open_batches(
     labelled = rules.label_rows(batched, SCOPE, options.rules)
     caught = labelled.where(F.col("label").isNotNull()).select("batch_id").distinct()
     texts = B.batch_texts(batched, text).join(caught, "batch_id", "left_anti")
-    contexts = B.batch_contexts(batched, options.batch)
+    # contexts quote fields, so those are masked like the line they are from
+    shown = batched.withColumns({
+        name: mask.mask_with(F.col(name), F.col("token_list")) for name in ("path", "user_agent")
+    }) if "token_list" in batched.columns else batched
+    contexts = B.batch_contexts(shown, options.batch)
     return texts.join(contexts, "batch_id", "left").withColumn(
         "context_text", B.context_text(F.col("context"))
     ).drop("context")
