@@ -203,28 +203,26 @@ def _ip_occurrences(spark, sf_dir):
     masked = _masked(spark, sf_dir)
     return masked.select("ts", "seq", F.explode_outer("token_list").alias("t")).where(
         F.col("t.prefix") == "[IP_"
-    )
+    ).select("seq", "ts", "t.token", "t.original")
 
 
-def _ip_dictionary(spark, sf_dir):
-    return _ip_occurrences(spark, sf_dir).groupBy(
-        F.col("t.token").alias("token"), F.col("t.original").alias("original")
-    ).agg(F.min("ts").alias("created_at"))
+def _ip_dictionary(occurrences: DataFrame) -> DataFrame:
+    return occurrences.groupBy("token", "original").agg(F.min("ts").alias("created_at"))
 
 
 @query
 def resolve_tokens(spark, sf_dir):
-    asked = _ip_occurrences(spark, sf_dir).select(
-        "seq", F.col("t.token").alias("token"), F.col("ts").alias("asked_at")
-    )
-    return mask.resolve_tokens(asked, _ip_dictionary(spark, sf_dir), TOKEN_TTL).select(
+    seen = land(_ip_occurrences(spark, sf_dir), "ip-tokens")
+    asked = seen.select("seq", "token", F.col("ts").alias("asked_at"))
+    return mask.resolve_tokens(asked, _ip_dictionary(seen), TOKEN_TTL).select(
         "seq", "token", "original"
     )
 
 
 @query
 def token_purge(spark, sf_dir):
-    flagged = mask.purge_expired(_ip_dictionary(spark, sf_dir), _as_of(), 30 * 86_400)
+    dictionary = _ip_dictionary(_ip_occurrences(spark, sf_dir))
+    flagged = mask.purge_expired(dictionary, _as_of(), 30 * 86_400)
     return flagged.select("token", F.unix_seconds("created_at").alias("created"), "expired")
 
 
@@ -339,7 +337,9 @@ def l1_finding_actors(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return rules.label_rows(_entries(spark, sf_dir), P.SCOPE, OPTIONS.rules)
+    entries = _landed_entries(spark, sf_dir, "seq", "source_label", "actor", "method", "path",
+                              "status", "user_agent", "is_noise")
+    return rules.label_rows(entries, P.SCOPE, OPTIONS.rules)
 
 
 @query
@@ -384,14 +384,18 @@ def detect_session(spark, sf_dir):
 
 
 def _batched(spark, sf_dir):
-    return B.assign_batches(_masked(spark, sf_dir), OPTIONS.batch)
+    """Masked entries with their batch; landed first, as the ranking reads them twice."""
+    return B.assign_batches(land(_masked(spark, sf_dir), "masked"), OPTIONS.batch)
+
+
+def _landed_entries(spark, sf_dir, *columns: str) -> DataFrame:
+    return land(_entries(spark, sf_dir).select(*columns), "entries")
 
 
 @query
 def batch_assign(spark, sf_dir):
-    return B.assign_batches(_entries(spark, sf_dir), OPTIONS.batch).select(
-        "seq", "batch_id", "batch_no"
-    )
+    entries = _landed_entries(spark, sf_dir, "seq", "ts")
+    return B.assign_batches(entries, OPTIONS.batch).select("seq", "batch_id", "batch_no")
 
 
 @query
@@ -409,8 +413,8 @@ def batch_prompts(spark, sf_dir):
 
 @query
 def rolling_context(spark, sf_dir):
-    rolled = B.rolling_context(_entries(spark, sf_dir), ["source_label"],
-                               OPTIONS.batch.context_rows, ("status",))
+    entries = _landed_entries(spark, sf_dir, "seq", "source_label", "status", "is_noise")
+    rolled = B.rolling_context(entries, ["source_label"], OPTIONS.batch.context_rows, ("status",))
     return rolled.select(
         "seq",
         F.size("context").alias("n_rows"),
@@ -421,8 +425,10 @@ def rolling_context(spark, sf_dir):
 
 @query
 def batch_context_text(spark, sf_dir):
-    contexts = B.batch_contexts(B.assign_batches(_entries(spark, sf_dir), OPTIONS.batch),
-                                OPTIONS.batch)
+    entries = _landed_entries(spark, sf_dir, "seq", "ts", "actor", "method", "path", "status",
+                              "user_agent", "is_noise")
+    batched = land(B.assign_batches(entries, OPTIONS.batch), "batched")
+    contexts = B.batch_contexts(batched, OPTIONS.batch)
     return contexts.select("batch_id", B.context_text(F.col("context")).alias("context_text"))
 
 

@@ -6,7 +6,7 @@ Everything collected here is bounded by construction: a batch holds at most
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,6 +15,11 @@ from ..options import BatchOptions
 from .ordering import SLICE, running_rank, with_halo
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def assign_batches(
     entries: DataFrame, options: BatchOptions = BatchOptions(), *, width: int = SLICE
 ) -> DataFrame:
@@ -42,16 +47,8 @@ def assign_batches(
 
 def dominant(values: Column, name: str) -> Column:
     """Most frequent value of a small array of structs; ties go to the first seen."""
-    labels = F.transform(values, lambda r: r[name])
-    scored = F.transform(
-        F.array_distinct(labels),
-        lambda v, i: F.struct(
-            F.size(F.filter(labels, lambda x: x == v)).alias("n"),
-            (-i).alias("early"),
-            v.alias("value"),
-        ),
-    )
-    return F.coalesce(F.array_max(scored)["value"], F.lit(""))
+    best = F.get(_counted(values, lambda r: r[name]), F.lit(0))["v"]
+    return F.coalesce(best, F.lit(""))
 
 
 def batch_rows(batched: DataFrame, *columns: str) -> DataFrame:
@@ -82,13 +79,15 @@ def rolling_context(
     columns: Sequence[str] = ("ts", "actor", "method", "path", "status", "user_agent"),
     *,
     width: int = SLICE,
-    chunk: int = 100_000,
+    chunk: int = 10_000,
+    last_of: str | None = None,
 ) -> DataFrame:
     """Each signal row with the last ``rows`` signal rows up to it, as ``context``.
 
     Positions are ranked without a global sort; frames run per chunk of
     positions, each with a halo of ``rows - 1`` from the chunk before, so a
-    source that holds most of the data is spread over many tasks.
+    source that holds most of the data is spread over many tasks. ``last_of``
+    keeps only rows that may be the last of a run of that column.
     """
     signal = entries.where(~F.col("is_noise"))
     ranked = running_rank(signal, "seq", by, width=width, name="position")
@@ -97,11 +96,16 @@ def rolling_context(
         Window.partitionBy(*by, "_slice").orderBy("position").rowsBetween(-(rows - 1), 0)
     )
     # the frame runs over the halo rows too, so it comes before the filter
-    return (
-        spread.withColumn("context", F.collect_list(F.struct("seq", *columns)).over(frame))
-        .where("_home")
-        .drop("_slice", "_home")
-    )
+    rolled = spread.withColumn("context", F.collect_list(F.struct("seq", *columns)).over(frame))
+    if last_of is not None:
+        # the last row of a slice may go on in the next one, so it stays in
+        follower = F.lead(last_of).over(
+            Window.partitionBy(*by, "_slice").orderBy("position")
+        )
+        rolled = rolled.withColumn("_next", follower).where(
+            F.col("_next").isNull() | (F.col("_next") != F.col(last_of))
+        ).drop("_next")
+    return rolled.where("_home").drop("_slice", "_home")
 
 
 def batch_contexts(
@@ -109,83 +113,112 @@ def batch_contexts(
     options: BatchOptions = BatchOptions(),
     *,
     width: int = SLICE,
-    chunk: int = 100_000,
+    chunk: int = 10_000,
 ) -> DataFrame:
     """(batch_id, context): the context after the last signal row of each batch."""
     rolled = rolling_context(
         batched.select("seq", "ts", "actor", "method", "path", "status", "user_agent",
                        "is_noise", "batch_id"),
-        (), options.context_rows, width=width, chunk=chunk,
+        (), options.context_rows, width=width, chunk=chunk, last_of="batch_id",
     )
-    last = rolled.groupBy("batch_id").agg(F.max_by("context", "seq").alias("context"))
-    return last
-
-
-def _counted(rows: Column, value) -> Column:
-    """Distinct values of small array ``rows`` as (n, pos, v), most frequent first."""
-    values = F.transform(rows, value)
-    counted = F.transform(
-        F.array_distinct(values),
-        lambda v, i: F.struct(
-            (-F.size(F.filter(values, lambda x: x == v))).alias("neg"),
-            i.alias("pos"),
-            v.alias("v"),
+    return rolled.groupBy("batch_id").agg(F.max_by("context", "seq").alias("context"))
+
+
+def _counted(rows: Column, value: Callable[[Column], Column]) -> Column:
+    """Distinct values of small array ``rows`` as (neg, pos, v), most frequent first."""
+    return bound(
+        F.transform(rows, value),
+        lambda values: F.array_sort(
+            F.transform(
+                F.array_distinct(values),
+                lambda v, i: F.struct(
+                    (-F.size(F.filter(values, lambda x: x == v))).alias("neg"),
+                    i.alias("pos"),
+                    v.alias("v"),
+                ),
+            )
         ),
     )
-    return F.array_sort(counted)
 
 
-def context_text(context: Column) -> Column:
-    """Summary of a context (at most a few dozen rows) as text, inside the row."""
-    count = lambda p: (-p["neg"]).cast("string")
+def _count(entry: Column) -> Column:
+    return (-entry["neg"]).cast("string")
 
-    def actor_block(a: Column) -> Column:
-        own = F.filter(context, lambda r: r["actor"] == a["v"])
-        statuses = F.array_join(
-            F.transform(
-                _counted(own, lambda r: r["status"]),
-                lambda s: F.concat(s["v"].cast("string"), F.lit(":"), count(s)),
-            ),
-            ", ",
-        )
-        method = F.element_at(_counted(own, lambda r: r["method"]), 1)["v"]
-        paths = F.transform(
-            F.slice(_counted(own, lambda r: r["path"]), 1, 5),
-            lambda p: F.concat(
-                F.lit("  "), method, F.lit(" "), p["v"], F.lit(" -> "), count(p),
-                F.lit("x (status "), statuses, F.lit(")"),
-            ),
-        )
-        agents = F.slice(
-            F.array_sort(
-                F.array_distinct(
-                    F.filter(F.transform(own, lambda r: r["user_agent"]), lambda u: u != "")
-                )
-            ), 1, 3,
-        )
-        head = F.array(F.concat(F.lit("IP "), a["v"], F.lit(": "), count(a), F.lit(" requests")))
-        tail = F.when(
-            F.size(agents) > 0,
-            F.array(F.concat(F.lit("  User-Agent: "), F.array_join(agents, ", ")), F.lit("")),
-        ).otherwise(F.array(F.lit("")))
-        return F.concat(head, paths, tail)
 
-    blocks = F.flatten(F.transform(_counted(context, lambda r: r["actor"]), actor_block))
+def _status_text(own: Column) -> Column:
+    return F.array_join(
+        F.transform(
+            _counted(own, lambda r: r["status"]),
+            lambda s: F.concat(s["v"].cast("string"), F.lit(":"), _count(s)),
+        ),
+        ", ",
+    )
+
 
-    def path_line(p: Column) -> Column:
+def _path_lines(own: Column, shared: Column) -> Column:
+    """The five busiest paths of an actor; method and statuses are the actor's."""
+    return F.transform(
+        F.slice(_counted(own, lambda r: r["path"]), 1, 5),
+        lambda p: F.concat(
+            F.lit("  "), shared["method"], F.lit(" "), p["v"], F.lit(" -> "), _count(p),
+            F.lit("x (status "), shared["statuses"], F.lit(")"),
+        ),
+    )
+
+
+def _agent_lines(own: Column) -> Column:
+    agents = F.array_sort(
+        F.array_distinct(F.filter(F.transform(own, lambda r: r["user_agent"]), lambda u: u != ""))
+    )
+    return bound(
+        F.slice(agents, 1, 3),
+        lambda a: F.when(
+            F.size(a) > 0,
+            F.array(F.concat(F.lit("  User-Agent: "), F.array_join(a, ", ")), F.lit("")),
+        ).otherwise(F.array(F.lit(""))),
+    )
+
+
+def _actor_block(context: Column, actor: Column) -> Column:
+    head = F.array(
+        F.concat(F.lit("IP "), actor["v"], F.lit(": "), _count(actor), F.lit(" requests"))
+    )
+
+    def block(own: Column) -> Column:
+        method = F.get(_counted(own, lambda r: r["method"]), F.lit(0))["v"]
+        shared = F.struct(method.alias("method"), _status_text(own).alias("statuses"))
+        return F.concat(head, bound(shared, lambda s: _path_lines(own, s)), _agent_lines(own))
+
+    return bound(F.filter(context, lambda r: r["actor"] == actor["v"]), block)
+
+
+def _frequent_lines(context: Column) -> Column:
+    def line(p: Column) -> Column:
         hits = F.filter(context, lambda r: r["path"] == p["v"])
-        ips = F.size(F.array_distinct(F.transform(hits, lambda r: r["actor"])))
-        frequent = ((-p["neg"]) >= 3) | (ips >= 2)
-        return F.when(
-            frequent & (p["v"] != ""),
-            F.concat(F.lit("  "), p["v"], F.lit(": "), count(p), F.lit(" hits from "),
-                     ips.cast("string"), F.lit(" IPs")),
+        return bound(
+            F.size(F.array_distinct(F.transform(hits, lambda r: r["actor"]))),
+            lambda ips: F.when(
+                (p["v"] != "") & ((p["neg"] <= -3) | (ips >= 2)),
+                F.concat(F.lit("  "), p["v"], F.lit(": "), _count(p), F.lit(" hits from "),
+                         ips.cast("string"), F.lit(" IPs")),
+            ),
         )
 
-    paths = F.array_compact(F.transform(_counted(context, lambda r: r["path"]), path_line))
-    tail = F.when(
-        F.size(paths) > 0, F.concat(F.array(F.lit("Frequent paths:")), paths, F.array(F.lit("")))
-    ).otherwise(F.expr("cast(array() as array<string>)"))
+    found = F.array_compact(F.transform(_counted(context, lambda r: r["path"]), line))
+    return bound(
+        found,
+        lambda lines: F.when(
+            F.size(lines) > 0,
+            F.concat(F.array(F.lit("Frequent paths:")), lines, F.array(F.lit(""))),
+        ).otherwise(F.expr("cast(array() as array<string>)")),
+    )
+
+
+def context_text(context: Column) -> Column:
+    """Summary of a context (at most a few dozen rows) as text, inside the row."""
+    blocks = F.flatten(
+        F.transform(_counted(context, lambda r: r["actor"]), lambda a: _actor_block(context, a))
+    )
     times = F.transform(context, lambda r: r["ts"])
     head = F.array(
         F.concat(F.lit("Total entries: "), F.size(context).cast("string")),
@@ -195,7 +228,7 @@ def context_text(context: Column) -> Column:
         ),
         F.lit(""),
     )
-    return F.array_join(F.concat(head, blocks, tail), "\n")
+    return F.array_join(F.concat(head, blocks, _frequent_lines(context)), "\n")
 
 
 # --- text a scorer gets --------------------------------------------------------

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions import masking as M
 from ..options import MaskOptions
-from .ordering import running_rank, salted_join
+from ..sources.landing import land
+from .ordering import SLICE, running_rank, salted_join
 
 TOKEN_LIST = "array<struct<prefix:string,pos:int,token:string,original:string>>"
 
@@ -132,7 +133,7 @@ def token_occurrences(masked: DataFrame) -> DataFrame:
     )
 
 
-def token_dictionary(occurrences: DataFrame, *, width: int = 1 << 20) -> DataFrame:
+def token_dictionary(occurrences: DataFrame, *, width: int = SLICE) -> DataFrame:
     """Number the tokens of each prefix by first appearance.
 
     Columns: prefix, hashed (the hashed token), original, first_seq, number,
@@ -142,13 +143,15 @@ def token_dictionary(occurrences: DataFrame, *, width: int = 1 << 20) -> DataFra
     first = occurrences.groupBy("prefix", F.col("token").alias("hashed")).agg(
         F.min(F.struct("seq", "pos", "original")).alias("f")
     )
-    flat = first.select(
+    # distinct tokens are few next to the lines; without landing them, the numbering
+    # would mask every line a second time
+    flat = land(first.select(
         "prefix",
         "hashed",
         F.col("f.original").alias("original"),
         F.col("f.seq").alias("first_seq"),
         F.col("f.pos").alias("first_pos"),
-    )
+    ), "tokens")
     ranked = running_rank(
         flat, "first_seq", ["prefix"], ties=["first_pos"], width=width, name="number"
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE = 1 << 20
+SLICE = 1 << 14
 _SLICES_PER_GROUP = 1024
 
 
@@ -34,7 +34,8 @@ def running_rank(
     Rows are numbered inside slices of ``width`` order values; slice sizes are
     summed up over slices, and then over blocks of slices, to get each slice's
     start. The slice is a function of the row alone, so a recomputed partition
-    gets the same numbers. ``by`` columns must not be null.
+    gets the same numbers. ``by`` columns must not be null. ``df`` is read twice
+    (sizes, then rows): land it first when it is costly to compute.
     """
     by = list(by)
     cut = df.withColumn("_slice", slice_of(F.col(order), width))

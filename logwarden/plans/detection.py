@@ -71,9 +71,10 @@ def open_batches(
     """Batches no rule caught, with the texts a scorer gets.
 
     Needs ``entries`` with ``text``; adds batch_text, source_label, context_text.
-    The batched rows are landed: rules, texts and contexts all read them.
+    Entries and batched rows are landed: the ranking reads the one twice, and
+    rules, texts and contexts all read the other.
     """
-    batched = land(B.assign_batches(entries_, options.batch), "batched")
+    batched = land(B.assign_batches(land(entries_, "entries"), options.batch), "batched")
     labelled = rules.label_rows(batched, SCOPE, options.rules)
     caught = labelled.where(F.col("label").isNotNull()).select("batch_id").distinct()
     texts = B.batch_texts(batched, text).join(caught, "batch_id", "left_anti")
