@@ -66,10 +66,12 @@ def window_findings(counts: DataFrame, options: Options = Options()) -> DataFram
         )
         for r in rules
     ]))
-    return counts.withColumn("f", F.explode(found)).select(
+    # found_at carries the watermark on to a later stateful step
+    timed = counts.withColumn("found_at", F.window_time("window"))
+    return timed.withColumn("f", F.explode(found)).select(
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
-        "source_label", "actor", "f.*",
+        "found_at", "source_label", "actor", "f.*",
     )
 
 
@@ -85,10 +87,12 @@ def session_counts(
     )
 
 
-def first_per_actor(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of the same finding while it is within the watermark."""
-    marked = findings if not findings.isStreaming else findings.withWatermark("window_end", delay)
-    return marked.dropDuplicatesWithinWatermark(["rule", "source_label", "actor"])
+def first_per_actor(findings: DataFrame) -> DataFrame:
+    """Drop repeats of a finding (rule, source, actor) within the stream's watermark delay.
+
+    For append mode: findings of closed windows.
+    """
+    return findings.dropDuplicatesWithinWatermark(["rule", "source_label", "actor"])
 
 
 def write_keyed(stream: DataFrame, table: str, checkpoint: str, once: bool = False):

@@ -31,7 +31,7 @@ class _EpochState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._epoch = handle.getValueState("epoch", "anchor bigint, number bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         anchor, number = self._epoch.get() if self._epoch.exists() else (None, 0)
         opened = []
         # sightings of one micro-batch may come in any order; only their distinct
@@ -81,7 +81,7 @@ class _ApprovalState(StatefulProcessor):
         return pd.DataFrame([(alert_id, status, at_ms)],
                             columns=["alert_id", "status", "at_ms"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = [r for pdf in rows for r in pdf[["at_ms", "kind"]].itertuples(index=False)]
         # the alert comes before the decisions of its own millisecond
         for at_ms, kind in sorted(events, key=lambda e: (e.at_ms, e.kind != "alert")):
@@ -100,10 +100,10 @@ class _ApprovalState(StatefulProcessor):
             self._pending.clear()
             yield self._row(key[0], "approved" if kind == "approve" else "rejected", at_ms)
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self._pending.exists():
             self._pending.clear()
-            yield self._row(key[0], "expired", expired.getExpiryTimeInMs())
+            yield self._row(key[0], "expired", expiredTimerInfo.getExpiryTimeInMs())
         else:
             yield pd.DataFrame({"alert_id": [], "status": [], "at_ms": []}).astype(
                 {"alert_id": "object", "status": "object", "at_ms": "int64"})
@@ -139,7 +139,7 @@ class _ContextState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._recent = handle.getListState("recent", "seq bigint, actor string, failed boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         recent = deque(self._recent.get(), maxlen=self._rows)
         found = []
         # the operator's input is shuffled by key and a micro-batch is bounded by the
