@@ -671,14 +671,13 @@ def _event_stream(spark, sf_dir) -> DataFrame:
 
 @query
 def stream_detect(spark, sf_dir):
-    """Windowed findings of a stream run over the table, as its last update per key."""
+    """Windowed findings from the state of a stream run over the table."""
     rows = detect.signal_rows(_event_stream(spark, sf_dir), OPTIONS)
     options = OPTIONS.overlay({"rules": {"brute_force_threshold": 2, "path_fuzz_threshold": 2}})
-    counts = detect.window_counts(rows, options, window="1 day", delay="2 days")
-    found = detect.window_findings(counts, options)
-    last = detect.run_once(
-        spark, found, ["window_start", "source_label", "actor", "rule"], "detect")
-    return last.select(
+    stream = detect.path_counts(rows, options, window="1 day", delay="2 days")
+    paths = detect.run_once(spark, stream, detect.PATH_KEYS, "detect")
+    found = detect.window_findings(detect.window_counts(paths, options), options)
+    return found.select(
         F.unix_seconds("window_start").alias("window_start"), "source_label", "actor", "rule",
         "severity", "n",
     )

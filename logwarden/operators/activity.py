@@ -160,9 +160,8 @@ def autonomy_gate(rules: DataFrame, policy: DataFrame, level: Column) -> DataFra
     ``level`` is observe_only, suggest, auto_mitigate_low or
     full_auto_with_hitl_critical and decides where the policy says nothing.
     """
-    table = F.broadcast(policy)
-    by_type = table.select(F.col("name").alias("rule_type"), F.col("mode").alias("_type_mode"))
-    by_action = table.select(
+    by_type = policy.select(F.col("name").alias("rule_type"), F.col("mode").alias("_type_mode"))
+    by_action = policy.select(
         F.col("name").alias("effective_action"), F.col("mode").alias("_action_mode")
     )
     joined = rules.join(by_type, "rule_type", "left").join(by_action, "effective_action", "left")

@@ -11,45 +11,53 @@ from ..operators.ingest import parse_access
 from ..operators.mask import actor_key
 from ..operators.noise import with_noise
 from ..options import Options
+from ..sources.files import in_time_order
 from ..sources.landing import fresh_folder
 
 INTERVAL = "30 seconds"  # default flush interval of the micro-batches
 
 
 def signal_rows(lines: DataFrame, options: Options = Options()) -> DataFrame:
-    """Parsed signal rows with actor; ``lines`` may lack ``seq`` (then time is used)."""
-    if "seq" not in lines.columns:
-        lines = lines.withColumn("seq", F.lit(None).cast("bigint"))
-    entries = with_noise(parse_access(lines), options.noise).where(~F.col("is_noise"))
-    return entries.withColumn("actor", actor_key())
+    """Parsed signal rows with actor; lines of files get their ``seq`` from their time."""
+    ordered = "seq" in lines.columns
+    entries = parse_access(lines if ordered else lines.withColumn("seq", F.lit(0).cast("bigint")))
+    if not ordered:
+        entries = in_time_order(entries)
+    signal = with_noise(entries, options.noise).where(~F.col("is_noise"))
+    return signal.withColumn("actor", actor_key())
 
 
-def window_counts(
+def path_counts(
     rows: DataFrame,
     options: Options = Options(),
     window: str = "5 minutes",
     slide: str | None = None,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Per (window, source, actor) what each rule counts.
-
-    Works on a stream or a table. The distinct path count of fuzzing is exact
-    on a table; a stream keeps a small sketch instead of every path.
-    """
+    """Rows per (window, source, actor, path) and rule. State is one row of counts per key."""
     rules = R.default_rules(options.rules)
     marked = R.candidates(rows, rules).withWatermark("ts", delay)
-    paths = F.when(R.is_missing_path(options.rules), F.col("path"))
-    distinct = F.approx_count_distinct(paths, 0.01) if rows.isStreaming else F.count_distinct(paths)
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     hits = F.lit(False)
     for rule in rules:
         hits = hits | F.col(f"_m_{rule.name}")
-    return marked.where(hits).groupBy(span, "source_label", "actor").agg(
-        F.count_if("_m_sqli").alias("sqli"),
-        F.count_if("_m_traversal").alias("traversal"),
-        F.count_if("_m_bruteforce").alias("bruteforce"),
-        F.count_if("_m_scanner").alias("scanner"),
-        distinct.alias("path_fuzz"),
+    return marked.where(hits).groupBy(span, "source_label", "actor", "path").agg(
+        *[F.count_if(f"_m_{r.name}").alias(r.name) for r in rules]
+    )
+
+
+PATH_KEYS = ("window", "source_label", "actor", "path")
+
+
+def window_counts(paths: DataFrame, options: Options = Options()) -> DataFrame:
+    """Per (window, source, actor) what each rule counts: rows, or distinct paths.
+
+    Exact on tables and on append streams. An update stream keeps ``path_counts``
+    with ``write_keyed`` and counts what ``latest`` reads.
+    """
+    measure = lambda r: F.count_if(F.col(r.name) > 0) if r.kind == R.PATHS else F.sum(r.name)
+    return paths.groupBy("window", "source_label", "actor").agg(
+        *[measure(r).alias(r.name) for r in R.default_rules(options.rules)]
     )
 
 
@@ -67,7 +75,10 @@ def window_findings(counts: DataFrame, options: Options = Options()) -> DataFram
         for r in rules
     ]))
     # found_at carries the watermark on to a later stateful step
-    timed = counts.withColumn("found_at", F.window_time("window"))
+    timed = counts.withColumn(
+        "found_at",
+        F.window_time("window") if counts.isStreaming else F.col("window.end"),
+    )
     return timed.withColumn("f", F.explode(found)).select(
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),

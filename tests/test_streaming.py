@@ -106,9 +106,8 @@ def test_tail_feeds_the_detection(spark, tmp_path):
     (tmp_path / "a.log").write_text("".join(
         line(second=i, method="POST", path="/login", status=401) + "\n" for i in range(6)))
     lines = spark.readStream.format("growing_log").option("paths", f"{tmp_path}/*.log").load()
-    found = detect.window_findings(detect.window_counts(detect.signal_rows(lines)))
-    (row,) = detect.run_once(
-        spark, found, ["window_start", "source_label", "actor", "rule"]).collect()
+    paths = detect.run_once(spark, detect.path_counts(detect.signal_rows(lines)), detect.PATH_KEYS)
+    (row,) = detect.window_findings(detect.window_counts(paths)).collect()
     assert (row.rule, row.actor, row.n, row.source_label) == ("bruteforce", "10.0.0.1", 6, "a.log")
 
 
@@ -119,11 +118,10 @@ def test_shipped_files_and_restart(spark, tmp_path):
 
     def run():
         lines = files.stream_lines(spark, str(folder), {"web": "web"}, max_files=1)
-        counts = detect.window_counts(detect.signal_rows(lines))
-        found = detect.window_findings(counts)
-        detect.write_keyed(found, table, state, once=True).awaitTermination()
-        keys = ["window_start", "source_label", "actor", "rule"]
-        return {(r.actor, r.rule): r.n for r in detect.latest(spark, table, keys).collect()}
+        stream = detect.path_counts(detect.signal_rows(lines))
+        detect.write_keyed(stream, table, state, once=True).awaitTermination()
+        counts = detect.window_counts(detect.latest(spark, table, detect.PATH_KEYS))
+        return {(r.actor, r.rule): r.n for r in detect.window_findings(counts).collect()}
 
     tries = lambda n, ip: "".join(
         line(ip, 0, i, "POST", "/login", 401) + "\n" for i in range(n))
@@ -138,16 +136,19 @@ def test_repeats_of_a_finding_are_dropped(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     texts = [line(1, m, s, "POST", "/login", 401) for m in (0, 6, 12) for s in range(5)]
+    texts += [line(2, 3, s, path=f"/x{s}", status=404) for s in range(5)]
     texts.append(line(9, 59))
     (src / "a.log").write_text("\n".join(texts) + "\n")
     lines = files.stream_lines(spark, str(src))
-    counts = detect.window_counts(detect.signal_rows(lines), delay="1 minute")
+    paths = detect.path_counts(detect.signal_rows(lines), delay="1 minute")
+    counts = detect.window_counts(paths)
     once = detect.first_per_actor(detect.window_findings(counts))
     table, state = fresh_folder(spark, "t"), fresh_folder(spark, "s")
     once.writeStream.format("parquet").option("path", table).option(
         "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(table).collect()
-    assert [(r.rule, r.actor) for r in rows] == [("bruteforce", "10.0.0.1")]
+    assert sorted((r.rule, r.actor, r.n) for r in rows) == [
+        ("bruteforce", "10.0.0.1", 5), ("path_fuzz", "10.0.0.2", 5)]
 
 
 def test_table_and_stream_count_alike(spark, sf_dir):
@@ -155,7 +156,8 @@ def test_table_and_stream_count_alike(spark, sf_dir):
 
     options = Options().overlay({"rules": {"brute_force_threshold": 2, "path_fuzz_threshold": 2}})
     rows = detect.signal_rows(D.access_lines(spark, sf_dir))
-    table = detect.window_findings(detect.window_counts(rows, options, "1 day"), options)
+    paths = detect.path_counts(rows, options, "1 day")
+    table = detect.window_findings(detect.window_counts(paths, options), options)
     want = {(r.window_start.timestamp(), r.actor, r.rule, r.n) for r in table.collect()}
     got = {(r.window_start, r.actor, r.rule, r.n)
            for r in QUERIES["stream_detect"](spark, sf_dir).collect()}
