@@ -34,14 +34,18 @@ def running_rank(
     Rows are numbered inside slices of ``width`` order values; slice sizes are
     summed up over slices, and then over blocks of slices, to get each slice's
     start. The slice is a function of the row alone, so a recomputed partition
-    gets the same numbers. ``by`` columns must not be null. ``df`` is read twice
-    (sizes, then rows): land it first when it is costly to compute.
+    gets the same numbers. Rows with a null in ``by`` or ``order`` are left out.
+    ``df`` is read twice (sizes, then rows): land it first when it is costly.
     """
     by = list(by)
     cut = df.withColumn("_slice", slice_of(F.col(order), width))
+    # the joins below imply this; said here, both uses of the sizes get the same plan and
+    # share one exchange
+    for key in [*by, "_slice"]:
+        cut = cut.where(F.col(key).isNotNull())
     sizes = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_block", slice_of(F.col("_slice"), _SLICES_PER_GROUP)
-    )
+    ).where(F.col("_block").isNotNull())
     before = (Window.unboundedPreceding, -1)
     blocks = sizes.groupBy(*by, "_block").agg(F.sum("_n").alias("_n"))
     blocks = blocks.select(
