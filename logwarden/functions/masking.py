@@ -34,21 +34,14 @@ def hash_token(prefix: str, value: Column, salt: str) -> Column:
 
 
 def longest_first(values: Column) -> Column:
-    return F.array_sort(
+    ordered = F.array_sort(
         values,
         lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
         .when(a < b, -1)
         .when(a > b, 1)
         .otherwise(0),
     )
-
-
-def hashed_pairs(values: Column, prefix: str, salt: str) -> Column:
-    """Replacements (find, put) of one pattern's matches, longest first."""
-    return F.transform(
-        longest_first(values),
-        lambda v: F.struct(v.alias("find"), hash_token(prefix, v, salt).alias("put")),
-    )
+    return F.when(F.size(values) < 2, values).otherwise(ordered)
 
 
 def token_entries(values: Column, prefix: str, salt: str) -> Column:
@@ -73,9 +66,9 @@ def named(pattern: str, values: Column) -> Column:
     )
 
 
-def replace_all(text: Column, pairs: Column) -> Column:
-    """Apply ``array<struct<find, put>>`` as literal replacements, in order."""
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["find"], p["put"]))
+def replace_all(text: Column, pairs: Column, find: str = "find", put: str = "put") -> Column:
+    """Apply an array of structs as literal replacements ``find`` -> ``put``, in order."""
+    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p[find], p[put]))
 
 
 def enabled_patterns(switches: dict[str, bool]) -> list[tuple[str, str, str]]:

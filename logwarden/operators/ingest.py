@@ -1,6 +1,7 @@
 """Lines -> typed log entries, with everything that does not parse kept aside.
 
-Input of every function: ``seq BIGINT, source_label STRING, raw_line STRING``.
+Input of every function: ``source_label STRING, raw_line STRING`` and ``seq BIGINT``,
+a total order that only ``parse_access`` can do without.
 """
 
 from __future__ import annotations
@@ -57,9 +58,26 @@ def _reason() -> Column:
     )
 
 
+def in_time_order(entries: DataFrame) -> DataFrame:
+    """Add ``seq`` to entries of text files: time first, then a hash of the line.
+
+    Text files keep no line number. Seconds take the high bits and 30 bits of hash
+    the low ones, so the order is the same in every run, without a sort; it has
+    gaps, and equal lines of one second share a number.
+    """
+    low = F.pmod(F.xxhash64("source_label", "raw_line"), F.lit(1 << 30))
+    return entries.withColumn("seq", F.unix_seconds("ts") * F.lit(1 << 30) + low)
+
+
 def parse_access(lines: DataFrame) -> DataFrame:
-    """Combined access log (nginx and apache share it)."""
-    return _flatten(_tagged(lines, line_formats()["nginx"]).where(_reason().isNull()))
+    """Combined access log (nginx and apache share it).
+
+    Lines without ``seq``, as text files give them, are put in time order.
+    """
+    ordered = "seq" in lines.columns
+    numbered = lines if ordered else lines.withColumn("seq", F.lit(0).cast("bigint"))
+    entries = _flatten(_tagged(numbered, line_formats()["nginx"]).where(_reason().isNull()))
+    return entries if ordered else in_time_order(entries)
 
 
 def parse_syslog(lines: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:

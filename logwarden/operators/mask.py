@@ -13,7 +13,7 @@ from ..functions import fixed
 from ..functions import masking as M
 from ..options import MaskOptions
 from ..sources.landing import land
-from .ordering import SLICE, running_rank, salted_join
+from .ordering import fitting_width, running_rank, salted_join
 
 TOKEN_LIST = "array<struct<prefix:string,pos:int,token:string,original:string>>"
 
@@ -36,17 +36,16 @@ def mask_hashed(
     work = df.withColumn(out, F.col(text))
     lists = []
     for name, pattern, prefix in M.enabled_patterns(options.patterns):
-        column = f"_m_{name}"
-        lists.append((column, prefix))
-        work = work.withColumn(column, M.pii_matches(name, pattern, F.col(out)))
-        pairs = M.hashed_pairs(F.col(column), prefix, options.salt)
+        found, tokens = f"_found_{name}", f"_tokens_{name}"
+        work = work.withColumn(found, M.pii_matches(name, pattern, F.col(out)))
+        work = work.withColumn(tokens, M.token_entries(F.col(found), prefix, options.salt))
+        masked = mask_with(F.col(out), F.col(tokens))
         work = work.withColumn(
-            out,
-            F.when(F.size(column) == 0, F.col(out)).otherwise(M.replace_all(F.col(out), pairs)),
-        )
-    parts = [M.token_entries(F.col(column), prefix, options.salt) for column, prefix in lists]
-    token_list = F.concat(*parts) if parts else F.expr(f"cast(array() as {TOKEN_LIST})")
-    return work.withColumn("token_list", token_list).drop(*[c for c, _ in lists])
+            out, F.when(F.size(tokens) == 0, F.col(out)).otherwise(masked)
+        ).drop(found)
+        lists.append(tokens)
+    token_list = F.concat(*lists) if lists else F.expr(f"cast(array() as {TOKEN_LIST})")
+    return work.withColumn("token_list", token_list).drop(*lists)
 
 
 def _unfold(df: DataFrame, values: Column, name: str) -> DataFrame:
@@ -65,19 +64,12 @@ def token_map(token_list: Column) -> Column:
 
 def mask_with(text: Column, token_list: Column) -> Column:
     """Mask another field of a line with the tokens of the line."""
-    pairs = F.transform(
-        token_list, lambda t: F.struct(t["original"].alias("find"), t["token"].alias("put"))
-    )
-    return M.replace_all(text, pairs)
+    return M.replace_all(text, token_list, "original", "token")
 
 
 def unmask(text: Column, token_list: Column) -> Column:
     """Exact inverse: the swaps are undone in reverse order."""
-    pairs = F.transform(
-        F.reverse(token_list),
-        lambda t: F.struct(t["token"].alias("find"), t["original"].alias("put")),
-    )
-    return M.replace_all(text, pairs)
+    return M.replace_all(text, F.reverse(token_list), "token", "original")
 
 
 def pii_hits(df: DataFrame, text: str, switches: dict[str, bool] | None = None) -> DataFrame:
@@ -133,7 +125,7 @@ def token_occurrences(masked: DataFrame) -> DataFrame:
     )
 
 
-def token_dictionary(occurrences: DataFrame, *, width: int = SLICE) -> DataFrame:
+def token_dictionary(occurrences: DataFrame, *, width: int | None = None) -> DataFrame:
     """Number the tokens of each prefix by first appearance.
 
     Columns: prefix, hashed (the hashed token), original, first_seq, number,
@@ -153,7 +145,8 @@ def token_dictionary(occurrences: DataFrame, *, width: int = SLICE) -> DataFrame
         F.col("f.pos").alias("first_pos"),
     ), "tokens")
     ranked = running_rank(
-        flat, "first_seq", ["prefix"], ties=["first_pos"], width=width, name="number"
+        flat, "first_seq", ["prefix"], ties=["first_pos"], name="number",
+        width=width or fitting_width(flat, "first_seq"),
     )
     digits = F.col("number").cast("string")
     padded = F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0"))

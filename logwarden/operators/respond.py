@@ -16,7 +16,7 @@ from ..functions import fixed
 from ..functions import verdict as V
 from ..options import AlertOptions, ResponseOptions
 from ..schemas import LEDGER
-from .ordering import SLICE, running_rank, salted_join
+from .ordering import fitting_width, running_rank, salted_join
 
 # Fixed texts of the rules: type, command, description, critical, rollback.
 DENY_IP = ("nginx_deny", "deny %s;", "Deny IP %s in Nginx", True, "# remove: deny %s;")
@@ -31,6 +31,7 @@ RATE_APPLY = ("rate_limit", "limit_req zone=%s;", "Apply rate limit zone '%s' to
 DEFAULT_ZONE = "threat_limit"
 DEFAULT_RATE = "10r/m"
 DRY_RUN = "[DRY RUN] %s"
+FOOT = 1 << 62  # order numbers of a message's last lines
 
 RULE_COLUMNS = ("rule_type", "command", "description", "critical", "rollback_command")
 
@@ -463,18 +464,23 @@ def message_lines(alerts: DataFrame, rules: DataFrame, channel: str) -> DataFram
     out = tops.unionByName(bodies)
     if channel == "chat":
         return out
-    last = F.lit(2**62).cast("bigint")
     ends = alerts.select(
         "alert_id", F.posexplode(F.array(F.lit(""), status_line())).alias("k", "line")
-    ).select("alert_id", (last + F.col("k")).alias("line_ord"), "line")
+    ).select("alert_id", (F.lit(FOOT) + F.col("k")).alias("line_ord"), "line")
     return out.unionByName(ends)
 
 
-def messages(lines: DataFrame, max_lines: int = 100, *, width: int = SLICE) -> DataFrame:
+def messages(
+    lines: DataFrame, max_lines: int = 100, *, width: int | None = None
+) -> DataFrame:
     """Join message lines into texts of at most ``max_lines`` lines each.
 
     Nothing is cut: an alert with more lines gets several numbered parts.
     """
+    if width is None:
+        # the rules' lines only: head and foot lines are numbered far below and above
+        body = lines.where((F.col("line_ord") >= 0) & (F.col("line_ord") < FOOT))
+        width = fitting_width(body, "line_ord")
     placed = running_rank(lines, "line_ord", ["alert_id"], width=width, name="_place")
     part = F.call_function("div", F.col("_place") - 1, F.lit(max_lines))
     return (

@@ -48,15 +48,3 @@ def stream_lines(
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     return _labelled(reader.text(folder), labels)
-
-
-def in_time_order(entries: DataFrame) -> DataFrame:
-    """Add ``seq`` to entries of text files: time first, then a hash of the line.
-
-    Text files keep no line number. Seconds take the high bits and 30 bits of hash
-    the low ones, so the order is the same in every run, without a sort; it has
-    gaps, and equal lines of one second share a number.
-    """
-    place = "file_path" if "file_path" in entries.columns else "source_label"
-    low = F.pmod(F.xxhash64(place, "raw_line"), F.lit(1 << 30))
-    return entries.withColumn("seq", F.unix_seconds("ts") * F.lit(1 << 30) + low)

@@ -11,19 +11,14 @@ from ..operators.ingest import parse_access
 from ..operators.mask import actor_key
 from ..operators.noise import with_noise
 from ..options import Options
-from ..sources.files import in_time_order
 from ..sources.landing import fresh_folder
 
 INTERVAL = "30 seconds"  # default flush interval of the micro-batches
 
 
 def signal_rows(lines: DataFrame, options: Options = Options()) -> DataFrame:
-    """Parsed signal rows with actor; lines of files get their ``seq`` from their time."""
-    ordered = "seq" in lines.columns
-    entries = parse_access(lines if ordered else lines.withColumn("seq", F.lit(0).cast("bigint")))
-    if not ordered:
-        entries = in_time_order(entries)
-    signal = with_noise(entries, options.noise).where(~F.col("is_noise"))
+    """Parsed signal rows with actor."""
+    signal = with_noise(parse_access(lines), options.noise).where(~F.col("is_noise"))
     return signal.withColumn("actor", actor_key())
 
 

@@ -119,7 +119,6 @@ def test_text_files_and_sequence(spark, tmp_path):
     lines = files.read_lines(spark, [str(tmp_path)], {"one.log": "first"})
     assert sorted((r.source_label, r.raw_line) for r in lines.collect()) == sorted(
         [("first", NGINX), ("first", LOGIN), ("two.log", LOGIN)])
-    entries = ingest.parse_access(lines.withColumn("seq", F.lit(0).cast("bigint")))
-    numbered = files.in_time_order(entries).orderBy("seq").collect()
+    numbered = ingest.parse_access(lines).orderBy("seq").collect()
     assert [r.path for r in numbered] == ["/admin", "/login", "/login"]
-    assert len({r.seq for r in numbered}) == 3
+    assert len({r.seq for r in numbered}) == 3  # same line, other source

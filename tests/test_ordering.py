@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from logwarden.operators.ordering import running_rank, salted_join, slice_of, with_halo
+from logwarden.operators.ordering import fitting_width, running_rank, salted_join, slice_of, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,18 @@ def test_rank_is_row_number(skewed, width, by):
     assert got.count() == skewed.count()
 
 
+def test_width_follows_the_density(spark, skewed):
+    sparse = skewed.withColumn("seq", F.col("seq") * (1 << 30))
+    width = fitting_width(sparse, "seq")
+    assert sparse.select(slice_of(F.col("seq"), width)).distinct().count() <= 2
+    dense = spark.range(40_000).withColumnRenamed("id", "seq")
+    assert fitting_width(dense, "seq") == 1 << 14
+    assert fitting_width(dense.where("seq < 0"), "seq") == 1 << 14
+    got = running_rank(sparse, "seq", width=width)
+    want = sparse.withColumn("w", F.row_number().over(Window.orderBy("seq")))
+    assert got.join(want.select("id", "w"), "id").where("rank <> w").count() == 0
+
+
 def test_rank_breaks_ties(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (0, "z"), (1, "c")], "seq bigint, t string")
     rows = running_rank(df, "seq", ties=["t"], width=2).orderBy("rank").collect()
