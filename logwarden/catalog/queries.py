@@ -604,12 +604,12 @@ def rollback_plan(spark, sf_dir):
 @query
 def alert_messages(spark, sf_dir):
     response = _response(spark, sf_dir)
-    texts = [
-        respond.messages(respond.message_lines(response.alerts, response.rules, channel))
+    chat, plain = (
+        respond.message_lines(response.alerts, response.rules, channel)
         .withColumn("channel", F.lit(channel))
         for channel in ("chat", "plain")
-    ]
-    return texts[0].unionByName(texts[1])
+    )
+    return respond.messages(chat.unionByName(plain))
 
 
 # --- across sources and over time --------------------------------------------------------

@@ -475,20 +475,23 @@ def messages(
 ) -> DataFrame:
     """Join message lines into texts of at most ``max_lines`` lines each.
 
-    Nothing is cut: an alert with more lines gets several numbered parts.
+    Nothing is cut: an alert with more lines gets several numbered parts. Columns
+    other than line_ord and line (alert_id, and a channel if there is one) tell
+    the messages apart.
     """
+    keys = [c for c in lines.columns if c not in ("line_ord", "line")]
     if width is None:
         # the rules' lines only: head and foot lines are numbered far below and above
         body = lines.where((F.col("line_ord") >= 0) & (F.col("line_ord") < FOOT))
         width = fitting_width(body, "line_ord")
-    placed = running_rank(lines, "line_ord", ["alert_id"], width=width, name="_place")
+    placed = running_rank(lines, "line_ord", keys, width=width, name="_place")
     part = F.call_function("div", F.col("_place") - 1, F.lit(max_lines))
     return (
         placed.withColumn("part", part)
-        .groupBy("alert_id", "part")
+        .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(F.struct("_place", "line"))).alias("_l"))
         .select(
-            "alert_id", "part",
+            *keys, "part",
             F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("message"),
         )
     )
