@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import replies as R
 from ..functions import verdict as V
 from ..operators import activity, batches as B, ingest, mask, noise, respond, rules
 from ..operators import scoring, stats

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions import verdict as V
 from logwarden.operators import batches as B
-from logwarden.operators import mask, noise, rules, scoring
+from logwarden.operators import scoring
 from logwarden.options import BatchOptions, MaskOptions, Options
 from logwarden.plans import detection as P
 
