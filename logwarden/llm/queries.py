@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logwarden.llm import decontaminate, html_text, licenses, oracles, packing, quality, secret_scan, sharding, simhash, toxicity
+from logwarden.llm import decontaminate, html_text, licenses, oracles, packing, quality, secret_scan, sharding, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.corpus_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_secrets": op4_secrets,
     "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
