@@ -1,7 +1,62 @@
-"""From raw documents to packed sequences."""
-STAGES = []
+"""From raw documents to packed sequences: toxicity, near-duplicates, benchmark passages, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from logwarden.llm import decontaminate, packing, secret_scan, simhash, toxicity
+from logwarden.sources.landing import land
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon learned from ``labels`` doesn't find toxic."""
+    return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash fingerprints link: the one with the smallest id."""
+    return simhash.deduplicate(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no passages of ``benchmark`` contaminate."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked; ``n_chars`` follows the text where that changed."""
+    masked = secret_scan.redact(docs.withColumn("__chars", F.length("text")))
+    changed = F.length("text") - F.col("__chars")
+    return masked.withColumn("n_chars", F.col("n_chars") + F.coalesce(changed, F.lit(0))).drop("__chars")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Toxicity is learned, fingerprints need XXH64 and pieces a tokenizer, which SQL does not have.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = land(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
