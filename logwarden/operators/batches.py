@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..options import BatchOptions
-from .ordering import SLICE, running_rank, with_halo
+from .ordering import running_rank, with_halo
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,9 +20,7 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def assign_batches(
-    entries: DataFrame, options: BatchOptions = BatchOptions(), *, width: int = SLICE
-) -> DataFrame:
+def assign_batches(entries: DataFrame, options: BatchOptions = BatchOptions()) -> DataFrame:
     """Cut arrival order into batches of ``size`` inside each flush interval.
 
     Batches mix sources. Adds ``flush`` (interval start, seconds), ``batch_no``
@@ -32,7 +30,7 @@ def assign_batches(
     flushed = entries.withColumn(
         "flush", seconds - F.pmod(seconds, F.lit(options.interval_seconds))
     )
-    ranked = running_rank(flushed, "seq", ["flush"], width=width, name="_rank")
+    ranked = running_rank(flushed, "seq", ["flush"], name="_rank")
     return (
         ranked.withColumn(
             "batch_no", F.call_function("div", F.col("_rank") - 1, F.lit(options.size))
@@ -78,7 +76,6 @@ def rolling_context(
     rows: int = 30,
     columns: Sequence[str] = ("ts", "actor", "method", "path", "status", "user_agent"),
     *,
-    width: int = SLICE,
     chunk: int = 10_000,
     last_of: str | None = None,
 ) -> DataFrame:
@@ -90,7 +87,7 @@ def rolling_context(
     keeps only rows that may be the last of a run of that column.
     """
     signal = entries.where(~F.col("is_noise"))
-    ranked = running_rank(signal, "seq", by, width=width, name="position")
+    ranked = running_rank(signal, "seq", by, name="position")
     spread = with_halo(ranked, "position", rows - 1, chunk)
     frame = (
         Window.partitionBy(*by, "_slice").orderBy("position").rowsBetween(-(rows - 1), 0)
@@ -112,14 +109,13 @@ def batch_contexts(
     batched: DataFrame,
     options: BatchOptions = BatchOptions(),
     *,
-    width: int = SLICE,
     chunk: int = 10_000,
 ) -> DataFrame:
     """(batch_id, context): the context after the last signal row of each batch."""
     rolled = rolling_context(
         batched.select("seq", "ts", "actor", "method", "path", "status", "user_agent",
                        "is_noise", "batch_id"),
-        (), options.context_rows, width=width, chunk=chunk, last_of="batch_id",
+        (), options.context_rows, chunk=chunk, last_of="batch_id",
     )
     return rolled.groupBy("batch_id").agg(F.max_by("context", "seq").alias("context"))
 

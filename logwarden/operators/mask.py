@@ -13,7 +13,7 @@ from ..functions import fixed
 from ..functions import masking as M
 from ..options import MaskOptions
 from ..sources.landing import land
-from .ordering import fitting_width, running_rank, salted_join
+from .ordering import running_rank
 
 TOKEN_LIST = "array<struct<prefix:string,pos:int,token:string,original:string>>"
 
@@ -125,7 +125,7 @@ def token_occurrences(masked: DataFrame) -> DataFrame:
     )
 
 
-def token_dictionary(occurrences: DataFrame, *, width: int | None = None) -> DataFrame:
+def token_dictionary(occurrences: DataFrame) -> DataFrame:
     """Number the tokens of each prefix by first appearance.
 
     Columns: prefix, hashed (the hashed token), original, first_seq, number,
@@ -146,7 +146,6 @@ def token_dictionary(occurrences: DataFrame, *, width: int | None = None) -> Dat
     ), "tokens")
     ranked = running_rank(
         flat, "first_seq", ["prefix"], ties=["first_pos"], name="number",
-        width=width or fitting_width(flat, "first_seq"),
     )
     digits = F.col("number").cast("string")
     padded = F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0"))
@@ -158,17 +157,16 @@ def mask_numbered(
 ) -> DataFrame:
     """Rename hashed tokens in ``out`` to numbered ones.
 
-    A hot value occurs in a third of the lines, so the dictionary join is salted
-    by line. The names come back per line and meet the text by ``seq``.
+    A hot value may occur in a third of the lines: adaptive execution splits its key in
+    the dictionary join. The names come back per ``seq`` as a set (equal numbers must not
+    multiply them) and meet the text there.
     """
     # only the line's last text counts: a token swallowed by a later pattern is gone
     tokens = F.array_distinct(F.regexp_extract_all(out, F.lit(f"({fixed.ANY_TOKEN})"), F.lit(1)))
     present = _unfold(masked.select("seq", out), tokens, "hashed").drop(out)
-    names = salted_join(
-        present, dictionary.select("hashed", "token"), ["hashed"], spread="seq", how="inner"
-    )
+    names = present.join(dictionary.select("hashed", "token"), "hashed")
     per_line = names.groupBy("seq").agg(
-        F.collect_list(F.struct(F.col("hashed").alias("find"), F.col("token").alias("put"))).alias(
+        F.collect_set(F.struct(F.col("hashed").alias("find"), F.col("token").alias("put"))).alias(
             "_names"
         )
     )
@@ -190,10 +188,7 @@ def resolve_tokens(requests: DataFrame, dictionary: DataFrame, ttl_seconds: int)
     ``dictionary``: token, original, created_at (one row per token).
     """
     live = F.unix_seconds("asked_at") - F.unix_seconds("created_at") <= ttl_seconds
-    joined = salted_join(
-        requests, dictionary.select("token", "original", "created_at"), ["token"],
-        spread="asked_at",
-    )
+    joined = requests.join(dictionary.select("token", "original", "created_at"), "token", "left")
     return joined.withColumn("original", F.when(live, F.col("original"))).drop("created_at")
 
 

@@ -1,8 +1,8 @@
 """Scale-safe building blocks for order-dependent work.
 
 A window over one hot group, or over no group at all, ends in one task. These
-helpers cut such a group into slices by its order column, so that no task sees
-more than a slice, and put the exact result back together.
+helpers cut such a group into ranges or slices of its order column, so that no task
+sees all of it, and put the exact result back together.
 """
 
 from __future__ import annotations
@@ -11,79 +11,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE = 1 << 14
-_SLICES_PER_GROUP = 1024
-
+from ..sources.landing import land
 
 def slice_of(order: Column, width: int) -> Column:
     """Floor division that also holds for negative numbers."""
     return F.call_function("div", order - F.pmod(order, F.lit(width)), F.lit(width))
 
 
-def fitting_width(df: DataFrame, order: str) -> int:
-    """Slice width that puts about ``SLICE`` rows into a slice, for order columns with gaps.
-
-    Any width gives right ranks; this one keeps the table of slices small. One
-    aggregate over the order column, so use it on landed tables.
-    """
-    low, high, rows = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    return max(1, (high - low + 1) * SLICE // rows) if rows else SLICE
-
-
 def running_rank(
     df: DataFrame,
     order: str,
     by: Sequence[str] = (),
     *,
     ties: Sequence[str] = (),
-    width: int = SLICE,
     name: str = "rank",
 ) -> DataFrame:
     """Exact ``row_number() over (partition by *by order by order, *ties)``.
 
-    Rows are numbered inside slices of ``width`` order values; slice sizes are
-    summed up over slices, and then over blocks of slices, to get each slice's
-    start. The slice is a function of the row alone, so a recomputed partition
-    gets the same numbers. Rows with a null in ``by`` or ``order`` are left out.
-    ``df`` is read twice (sizes, then rows): land it first when it is costly.
+    Rows are dealt to tasks by ranges of (by, order, ties), which Spark takes from a
+    sample: outliers, bursts and gaps in the order do not make a large range, and a hot
+    group is many ranges. Rows equal in all of these are told apart by a hash of the row, so
+    that they too can be split; only rows equal in every column stay together. Rows are
+    numbered within their range and landed, so the ranges stay as they are; the sizes
+    of the ranges, summed up in order, give each its start. Rows with a null in ``by`` or
+    ``order`` are left out. ``df`` is read twice (sample, then rows): land it first when
+    it is costly.
     """
     by = list(by)
-    cut = df.withColumn("_slice", slice_of(F.col(order), width))
-    # the joins below imply this; said here, both uses of the sizes get the same plan and
-    # share one exchange
-    for key in [*by, "_slice"]:
-        cut = cut.where(F.col(key).isNotNull())
-    sizes = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_block", slice_of(F.col("_slice"), _SLICES_PER_GROUP)
-    ).where(F.col("_block").isNotNull())
-    before = (Window.unboundedPreceding, -1)
-    blocks = sizes.groupBy(*by, "_block").agg(F.sum("_n").alias("_n"))
-    blocks = blocks.select(
-        *by,
-        "_block",
-        F.coalesce(
-            F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(*before)),
-            F.lit(0),
-        ).alias("_block_start"),
+    for key in [*by, order]:
+        df = df.where(F.col(key).isNotNull())
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    keys = [*by, order, *ties, "_tie"]
+    ranged = (
+        df.withColumn("_tie", F.xxhash64(*hashed))
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumns({
+            "_part": F.spark_partition_id(),
+            "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+        })
     )
-    starts = sizes.withColumn(
-        "_in_block",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.partitionBy(*by, "_block").orderBy("_slice").rowsBetween(*before)
-            ),
-            F.lit(0),
-        ),
-    ).join(blocks, [*by, "_block"])
-    starts = starts.select(
-        *by, "_slice", (F.col("_block_start") + F.col("_in_block")).alias("_start")
+    placed = land(ranged.drop("_tie"), "ranked")
+    sizes = placed.groupBy(*by, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low")
+    )
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *by, "_part", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy(order, *ties)
     return (
-        cut.withColumn("_i", F.row_number().over(inside))
-        .join(starts, [*by, "_slice"])
-        .withColumn(name, F.col("_start") + F.col("_i"))
-        .drop("_slice", "_i", "_start")
+        placed.join(starts, [*by, "_part"])
+        .withColumn(name, F.col("_start") + F.col("_i") - F.col("_low") + 1)
+        .drop("_part", "_i", "_low", "_start")
     )
 
 
@@ -106,26 +85,3 @@ def with_halo(df: DataFrame, position: str, reach: int, width: int) -> DataFrame
         ),
     )
     return spread.withColumn("_home", F.col("_slice") == F.col("_own")).drop("_own")
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    *,
-    spread: str,
-    how: str = "left",
-    salts: int = 16,
-) -> DataFrame:
-    """Equi-join where ``left`` may hold a hot key and ``right`` has unique keys.
-
-    Left rows of one key go to ``salts`` tasks (by a hash of ``spread``), each
-    of which gets its own copy of the right row. No hint is set: adaptive
-    execution still switches to a broadcast when the right side's measured size
-    is below ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -16,7 +16,7 @@ from ..functions import fixed
 from ..functions import verdict as V
 from ..options import AlertOptions, ResponseOptions
 from ..schemas import LEDGER
-from .ordering import fitting_width, running_rank, salted_join
+from .ordering import running_rank
 
 # Fixed texts of the rules: type, command, description, critical, rollback.
 DENY_IP = ("nginx_deny", "deny %s;", "Deny IP %s in Nginx", True, "# remove: deny %s;")
@@ -31,7 +31,7 @@ RATE_APPLY = ("rate_limit", "limit_req zone=%s;", "Apply rate limit zone '%s' to
 DEFAULT_ZONE = "threat_limit"
 DEFAULT_RATE = "10r/m"
 DRY_RUN = "[DRY RUN] %s"
-FOOT = 1 << 62  # order numbers of a message's last lines
+HEAD, BODY, FOOT = 0, 1, 2  # sections of a message
 
 RULE_COLUMNS = ("rule_type", "command", "description", "critical", "rollback_command")
 
@@ -134,11 +134,10 @@ def rate_rules(alerts: DataFrame) -> DataFrame:
 def resolve_ips(targets: DataFrame, dictionary: DataFrame) -> DataFrame:
     """IP tokens back to addresses; unknown tokens and plain addresses stay.
 
-    ``dictionary``: token, original. Not every target is a token, and one token
-    may be in many alerts, so the join is salted by alert.
+    ``dictionary``: token, original. Not every target is a token.
     """
     names = dictionary.select(F.col("token").alias("ip"), "original")
-    return salted_join(targets, names, ["ip"], spread="alert_id").withColumn(
+    return targets.join(names, "ip", "left").withColumn(
         "ip", F.coalesce("original", "ip")
     ).drop("original")
 
@@ -164,8 +163,7 @@ def mitigation_rules(
     acts = F.col("effective_action")
     # the target rows know their alert; AQE splits or broadcasts this join by size
     blocked = alerts.where(acts == "block_ip").select("alert_id", "source_label")
-    ips = salted_join(targets.select("alert_id", "ip", "ord"), blocked, ["alert_id"],
-                      spread="ip", how="inner")
+    ips = targets.select("alert_id", "ip", "ord").join(blocked, "alert_id")
     if dictionary is not None:
         ips = resolve_ips(ips, dictionary)
     closed = alerts.where(acts == "block_path")
@@ -173,9 +171,8 @@ def mitigation_rules(
         paths = closed.where(F.coalesce("path", F.lit("")) != "").select(
             "alert_id", "source_label", "path", F.lit(0).cast("bigint").alias("ord"))
     else:
-        paths = salted_join(path_targets.select("alert_id", "path", "ord"),
-                            closed.select("alert_id", "source_label"), ["alert_id"],
-                            spread="path", how="inner")
+        paths = path_targets.select("alert_id", "path", "ord").join(
+            closed.select("alert_id", "source_label"), "alert_id")
     return (
         ip_rules(ips, options)
         .unionByName(path_rules(paths))
@@ -284,9 +281,7 @@ def execute_dry(alerts: DataFrame, rules: DataFrame, executed_at: Column) -> Dat
         F.format_string(DRY_RUN, "command").alias("output"),
         "rollback_command",
     )
-    commands = salted_join(
-        results, head.where("record_success"), ["alert_id"], spread="step", how="inner"
-    )
+    commands = results.join(head.where("record_success"), "alert_id")
     bare = head.where(~F.col("record_success") | (F.col("n_rules") == 0))
     ledger = commands.unionByName(bare, allowMissingColumns=True)
     return ledger.select(*LEDGER.names)
@@ -306,11 +301,11 @@ def rollback_plan(ledger: DataFrame, requests: DataFrame, executed_at: Column) -
     runs = ledger.where(F.col("kind") == "execute")
     asked = requests.select("alert_id").distinct()
     latest = (
-        salted_join(runs, asked, ["alert_id"], spread="step", how="left_semi")
+        runs.join(asked, "alert_id", "left_semi")
         .groupBy("alert_id")
         .agg(F.max("executed_at").alias("executed_at"))
     )
-    steps = salted_join(runs, latest, ["alert_id", "executed_at"], spread="step", how="inner")
+    steps = runs.join(latest, ["alert_id", "executed_at"])
     wanted = steps.where(F.coalesce("rollback_command", F.lit("")) != "")
     return wanted.select(
         "alert_id",
@@ -442,49 +437,42 @@ def status_line() -> Column:
 
 
 def message_lines(alerts: DataFrame, rules: DataFrame, channel: str) -> DataFrame:
-    """Message of each alert as ordered rows (alert_id, line_ord, line).
+    """Message of each alert as rows (alert_id, section, line_ord, line).
 
     ``channel`` is chat or plain. ``alerts`` need n_rules, status and
-    ``indicators ARRAY<STRING>``. Head lines have negative order numbers.
+    ``indicators ARRAY<STRING>``. Lines are ordered by section (head, rules, foot),
+    then by number within it.
     """
     head = (chat_head if channel == "chat" else plain_head)()
     tops = alerts.select("alert_id", F.posexplode(head).alias("k", "line")).select(
-        "alert_id", (F.col("k") - 1000).cast("bigint").alias("line_ord"), "line"
+        "alert_id", F.lit(HEAD).alias("section"), F.col("k").cast("bigint").alias("line_ord"), "line"
     )
     command = (
         F.concat(F.lit("`"), escape_markdown(F.col("command")), F.lit("`"))
         if channel == "chat" else F.concat(F.lit("  "), F.col("command"))
     )
-    # rules of alerts that are not sent are left out; salted, as one alert may own most rules
-    known = alerts.select("alert_id", F.lit(1).alias("_sent"))
-    bodies = salted_join(
-        rules.select("alert_id", F.col("rule_ord").alias("line_ord"), command.alias("line")),
-        known, ["alert_id"], spread="line_ord", how="inner",
-    ).drop("_sent")
+    # rules of alerts that are not sent are left out
+    bodies = rules.select(
+        "alert_id", F.lit(BODY).alias("section"), F.col("rule_ord").alias("line_ord"), command.alias("line")
+    ).join(alerts.select("alert_id"), "alert_id", "left_semi")
     out = tops.unionByName(bodies)
     if channel == "chat":
         return out
     ends = alerts.select(
         "alert_id", F.posexplode(F.array(F.lit(""), status_line())).alias("k", "line")
-    ).select("alert_id", (F.lit(FOOT) + F.col("k")).alias("line_ord"), "line")
+    ).select("alert_id", F.lit(FOOT).alias("section"), F.col("k").cast("bigint").alias("line_ord"), "line")
     return out.unionByName(ends)
 
 
-def messages(
-    lines: DataFrame, max_lines: int = 100, *, width: int | None = None
-) -> DataFrame:
+def messages(lines: DataFrame, max_lines: int = 100) -> DataFrame:
     """Join message lines into texts of at most ``max_lines`` lines each.
 
     Nothing is cut: an alert with more lines gets several numbered parts. Columns
-    other than line_ord and line (alert_id, and a channel if there is one) tell
-    the messages apart.
+    other than section, line_ord and line (alert_id, and a channel if there is one)
+    tell the messages apart.
     """
-    keys = [c for c in lines.columns if c not in ("line_ord", "line")]
-    if width is None:
-        # the rules' lines only: head and foot lines are numbered far below and above
-        body = lines.where((F.col("line_ord") >= 0) & (F.col("line_ord") < FOOT))
-        width = fitting_width(body, "line_ord")
-    placed = running_rank(lines, "line_ord", keys, width=width, name="_place")
+    keys = [c for c in lines.columns if c not in ("section", "line_ord", "line")]
+    placed = running_rank(lines, "section", keys, ties=["line_ord"], name="_place")
     part = F.call_function("div", F.col("_place") - 1, F.lit(max_lines))
     return (
         placed.withColumn("part", part)

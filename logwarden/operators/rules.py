@@ -24,7 +24,6 @@ from ..functions import fixed
 from ..functions.once import computed_once
 from ..options import RuleOptions
 from .noise import any_of
-from .ordering import salted_join
 
 ROW, COUNT, PATHS = "row", "count", "paths"
 
@@ -392,7 +391,7 @@ def label_rows(
 
     none = {f"q_{r.name}": F.lit(False) for r in rules if r.kind != ROW}
     settled = marked.where(~open_rule).withColumns(none).withColumn("label", label)
-    joined = salted_join(marked.where(open_rule), qualified, [*scope, "actor"], spread="seq")
+    joined = marked.where(open_rule).join(qualified, [*scope, "actor"], "left")
     contested = joined.withColumn("label", label)
     keep = [*entries.columns, "label"]
     return settled.select(*keep).unionByName(contested.select(*keep))

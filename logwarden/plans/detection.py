@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import batches as B
 from ..operators import ingest, mask, noise, respond, rules, scoring
-from ..operators.ordering import fitting_width
 from ..options import Options
 from ..sources.landing import land
 
@@ -76,8 +75,7 @@ def open_batches(
     rules, texts and contexts all read the other.
     """
     landed = land(entries_, "entries")
-    width = fitting_width(landed, "seq")
-    batched = land(B.assign_batches(landed, options.batch, width=width), "batched")
+    batched = land(B.assign_batches(landed, options.batch), "batched")
     labelled = rules.label_rows(batched, SCOPE, options.rules)
     caught = labelled.where(F.col("label").isNotNull()).select("batch_id").distinct()
     texts = B.batch_texts(batched, text).join(caught, "batch_id", "left_anti")
@@ -85,7 +83,7 @@ def open_batches(
     shown = batched.withColumns({
         name: mask.mask_with(F.col(name), F.col("token_list")) for name in ("path", "user_agent")
     }) if "token_list" in batched.columns else batched
-    contexts = B.batch_contexts(shown, options.batch, width=width)
+    contexts = B.batch_contexts(shown, options.batch)
     return texts.join(contexts, "batch_id", "left").withColumn(
         "context_text", B.context_text(F.col("context"))
     ).drop("context")

@@ -102,7 +102,7 @@ def test_masking_equals_a_plain_python_one(spark):
 
 def test_numbered_tokens(spark):
     work = masked(spark, "b 10.0.0.2 10.0.0.1", "10.0.0.1 a@b.org", "10.0.0.3")
-    dictionary = mask.token_dictionary(mask.token_occurrences(work), width=1)
+    dictionary = mask.token_dictionary(mask.token_occurrences(work))
     numbered = mask.mask_numbered(work, dictionary).orderBy("seq").collect()
     assert [r.sanitized_line for r in numbered] == [
         "b [IP_001] [IP_002]", "[IP_002] [EMAIL_001]", "[IP_003]"]
@@ -111,7 +111,7 @@ def test_numbered_tokens(spark):
 def test_numbers_grow_past_their_width(spark):
     lines = lines_of(spark, *[f"10.{i // 250}.{i % 250}.1" for i in range(1100)])
     work = mask.mask_hashed(lines, OPTIONS)
-    dictionary = mask.token_dictionary(mask.token_occurrences(work), width=64)
+    dictionary = mask.token_dictionary(mask.token_occurrences(work))
     rows = {r.first_seq: r.token for r in dictionary.collect()}
     assert rows[0] == "[IP_001]" and rows[998] == "[IP_999]" and rows[999] == "[IP_1000]"
     assert len(set(rows.values())) == 1100

@@ -200,7 +200,7 @@ def test_every_special_character_is_escaped(spark):
 def test_long_messages_are_parted_not_cut(spark):
     rules = [("a", i, "x", f"c{i}", "u") for i in range(250)]
     out, table = gated(spark, [alert("a")], rules)
-    parts = respond.messages(respond.message_lines(out, table, "plain"), 100, width=64).orderBy(
+    parts = respond.messages(respond.message_lines(out, table, "plain"), 100).orderBy(
         "part").collect()
     lines = "\n".join(p.message for p in parts).split("\n")
     assert [p.part for p in parts] == [0, 1, 2]

@@ -120,7 +120,7 @@ def test_without_a_deep_scorer(spark):
 
 def test_batches(spark):
     entries = entries_of(spark, [{"at": 0}] * 5 + [{"at": 31}] * 3)
-    rows = B.assign_batches(entries, BatchOptions(size=2, interval_seconds=30), width=2).orderBy(
+    rows = B.assign_batches(entries, BatchOptions(size=2, interval_seconds=30)).orderBy(
         "seq").collect()
     assert [r.batch_no for r in rows] == [0, 0, 1, 1, 2, 0, 0, 1]
     assert len({r.batch_id for r in rows}) == 5
@@ -152,7 +152,7 @@ def test_prompts_hold_no_personal_data(spark):
 def test_context_keeps_the_last_rows(spark):
     entries = entries_of(spark, [{"source": "a" if i % 5 else "b", "noise": i % 7 == 0}
                                  for i in range(300)])
-    rows = B.rolling_context(entries, ["source_label"], 30, ("status",), width=16, chunk=50).collect()
+    rows = B.rolling_context(entries, ["source_label"], 30, ("status",), chunk=50).collect()
     signal = [i for i in range(300) if i % 7]
     for row in rows:
         mine = [i for i in signal if (i % 5 == 0) == (row.seq % 5 == 0) and i <= row.seq][-30:]
