@@ -1,7 +1,8 @@
 """Lines -> typed log entries, with everything that does not parse kept aside.
 
 Input of every function: ``source_label STRING, raw_line STRING`` and ``seq BIGINT``,
-a total order that only ``parse_access`` can do without.
+a total order, which ``sources.files.read_lines`` gives to text files. Lines of a stream
+have no ``seq``; they are put in time order.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lines as L
 from ..functions.once import computed_once
 from ..options import IngestOptions
+from ..sources.registry import check_sources
 
 PARSED = "_entry"
 
@@ -28,16 +30,32 @@ class LineFormat(NamedTuple):
 def line_formats(options: IngestOptions = IngestOptions()) -> dict[str, LineFormat]:
     """Format name -> expressions. Callers may add their own entries."""
     access = LineFormat(L.access_groups, L.access_entry)
-    return {
-        "nginx": access,
-        "apache": access,
-        "syslog": LineFormat(
-            L.syslog_groups, lambda parts: L.syslog_entry(parts, options.syslog_year)
+    syslog = LineFormat(
+        L.syslog_groups, lambda parts: L.syslog_entry(parts, options.syslog_year)
+    )
+    if options.accept_rfc5424:
+        syslog = either(syslog, LineFormat(L.syslog_5424_groups, L.syslog_5424_entry))
+    return {"nginx": access, "apache": access, "syslog": syslog}
+
+
+def either(first: LineFormat, second: LineFormat) -> LineFormat:
+    """A format whose lines may be of two kinds: the first that matches counts."""
+
+    def entry(parts: Column) -> Column:
+        own, other = first.entry(parts["first"]), second.entry(parts["second"])
+        return F.when(own["matched"] | ~other["matched"], own).otherwise(other)
+
+    return LineFormat(
+        lambda line: F.struct(
+            first.groups(line).alias("first"), second.groups(line).alias("second")
         ),
-    }
+        entry,
+    )
 
 
 def _tagged(lines: DataFrame, fmt: LineFormat) -> DataFrame:
+    if "seq" not in lines.columns:
+        lines = lines.withColumn("seq", F.lit(None).cast("bigint"))
     grouped = lines.withColumn("_parts", fmt.groups(F.col("raw_line")))
     return computed_once(grouped, PARSED, fmt.entry(F.col("_parts")))
 
@@ -59,33 +77,31 @@ def _reason() -> Column:
 
 
 def in_time_order(entries: DataFrame) -> DataFrame:
-    """Add ``seq`` to entries of text files: time first, then a hash of the line.
+    """Fill a null ``seq``: time first, then a hash of the line.
 
-    Text files keep no line number. Seconds take the high bits and 30 bits of hash
-    the low ones, so the order is the same in every run, without a sort; it has
-    gaps, and equal lines of one second share a number.
+    For streams, whose lines cannot be counted. Seconds take the high bits and 28 bits of
+    hash the low ones, so the order is the same in every run, without a sort; it has
+    gaps, and equal lines of one second share a number. Times beyond the year 2242 (or as
+    far before 1970) are kept in the row and share their end's numbers.
     """
-    low = F.pmod(F.xxhash64("source_label", "raw_line"), F.lit(1 << 30))
-    return entries.withColumn("seq", F.unix_seconds("ts") * F.lit(1 << 30) + low)
+    low = F.pmod(F.xxhash64("source_label", "raw_line"), F.lit(1 << 28))
+    end = F.lit(1 << 33)
+    seconds = F.greatest(F.least(F.unix_seconds("ts"), end), -end)
+    return entries.withColumn("seq", F.coalesce("seq", seconds * F.lit(1 << 28) + low))
 
 
 def parse_access(lines: DataFrame) -> DataFrame:
-    """Combined access log (nginx and apache share it).
-
-    Lines without ``seq``, as text files give them, are put in time order.
-    """
-    ordered = "seq" in lines.columns
-    numbered = lines if ordered else lines.withColumn("seq", F.lit(0).cast("bigint"))
-    entries = _flatten(_tagged(numbered, line_formats()["nginx"]).where(_reason().isNull()))
-    return entries if ordered else in_time_order(entries)
+    """Combined access log (nginx and apache share it)."""
+    return _parsed(lines, line_formats()["nginx"])
 
 
 def parse_syslog(lines: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
-    tagged = _tagged(lines, line_formats(options)["syslog"])
-    if options.accept_rfc5424:
-        newer = _tagged(lines, LineFormat(L.syslog_5424_groups, L.syslog_5424_entry))
-        tagged = tagged.where(_reason().isNull()).unionByName(newer.where(_reason().isNull()))
-    return _flatten(tagged.where(_reason().isNull()))
+    return _parsed(lines, line_formats(options)["syslog"])
+
+
+def _parsed(lines: DataFrame, fmt: LineFormat) -> DataFrame:
+    entries = _flatten(_tagged(lines, fmt).where(_reason().isNull()))
+    return entries if "seq" in lines.columns else in_time_order(entries)
 
 
 def quarantine(lines: DataFrame, fmt: str, options: IngestOptions = IngestOptions()) -> DataFrame:
@@ -98,9 +114,11 @@ def quarantine(lines: DataFrame, fmt: str, options: IngestOptions = IngestOption
     )
 
 
-def format_coverage(lines: DataFrame, fmt: str) -> DataFrame:
+def format_coverage(
+    lines: DataFrame, fmt: str, options: IngestOptions = IngestOptions()
+) -> DataFrame:
     """Share of lines per source that match the format, whatever their time says."""
-    matched = _tagged(lines, line_formats()[fmt]).select(
+    matched = _tagged(lines, line_formats(options)[fmt]).select(
         "source_label", F.col(f"{PARSED}.matched").cast("int").alias("m")
     )
     return matched.groupBy("source_label").agg(
@@ -118,12 +136,15 @@ def route(
 ) -> DataFrame:
     """Parse a mix of sources in one pass, each row by its source's format.
 
-    ``sources`` is the configured registry (a handful of rows, see
-    ``sources.registry``), so it is broadcast. Rows that yield no entry come
-    back with ``reason`` set: no_match, bad_time, unknown_format, unknown_source.
-    Disabled sources are dropped, as they would not be read at all.
+    ``sources`` is the configured registry; it is broadcast, so its size is checked, and
+    a name that is there twice is an error: it would double its lines. Rows that yield no
+    entry come back with ``reason`` set: no_match, bad_time, unknown_format,
+    unknown_source. Disabled sources are dropped, as they would not be read at all.
     """
+    check_sources(sources)
     formats = formats or line_formats(options)
+    if "seq" not in lines.columns:
+        lines = lines.withColumn("seq", F.lit(None).cast("bigint"))
     dims = sources.select(
         F.col("name").alias("source_label"), "format", "enabled", "tags"
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .landing import land
 
-def _labelled(raw: DataFrame, labels: dict[str, str] | None) -> DataFrame:
+
+def _labelled(raw: DataFrame, labels: dict[str, str] | None, *extra: str) -> DataFrame:
     """Label from the file's path: a listed path part, else the file name."""
     path = F.col("_metadata.file_path")
     name = F.col("_metadata.file_name")
@@ -19,14 +21,36 @@ def _labelled(raw: DataFrame, labels: dict[str, str] | None) -> DataFrame:
     return raw.where(F.col("value") != "").select(
         chosen.alias("source_label"), F.col("value").alias("raw_line"),
         path.alias("file_path"),
+        *extra,
     )
 
 
 def read_lines(
     spark: SparkSession, paths: Sequence[str], labels: dict[str, str] | None = None
 ) -> DataFrame:
-    """Non-empty lines of all files: source_label, raw_line, file_path."""
-    return _labelled(spark.read.text(list(paths)), labels)
+    """Non-empty lines of all files: seq, source_label, raw_line, file_path.
+
+    ``seq`` is a total order: file by file in order of their paths, and as the lines stand in
+    a file. It has gaps only where empty lines were. Spark reads a file in splits: lines are counted per split,
+    the counts (landed, a row per split) are summed up in order, and a line's number is its
+    split's start and its place there. Files that change between the two reads are an
+    error of the caller; ship or rotate them first.
+    """
+    raw = spark.read.text(list(paths)).withColumns({
+        "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id(),
+    })
+    lines = _labelled(raw, labels, "_block", "_row")
+    sizes = land(lines.groupBy("file_path", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_low"), F.max("_row").alias("_high")
+    ), "splits")
+    before = Window.orderBy("file_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # empty lines are left out but have a place: a split's places are counted with them
+    starts = sizes.select("file_path", "_block", "_low", F.coalesce(
+        F.sum(F.col("_high") - F.col("_low") + 1).over(before), F.lit(0)).alias("_start"))
+    return lines.join(starts, ["file_path", "_block"]).select(
+        (F.col("_start") + F.col("_row") - F.col("_low")).alias("seq"),
+        "source_label", "raw_line", "file_path",
+    )
 
 
 def stream_lines(

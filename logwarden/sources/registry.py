@@ -17,6 +17,9 @@ def load_sources(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     listed = config.get("sources") or config.get("pipeline", {}).get("log_sources") or []
     if len(listed) > MAX_SOURCES:
         raise ValueError(f"{len(listed)} sources; at most {MAX_SOURCES} can be registered")
+    names = [s["name"] for s in listed]
+    if len(set(names)) < len(names):
+        raise ValueError(f"sources named twice: {sorted({n for n in names if names.count(n) > 1})}")
     rows = [
         (s["name"], str(s["path"]), s["format"], bool(s.get("enabled", True)),
          [str(t) for t in s.get("tags", [])])
@@ -25,6 +28,15 @@ def load_sources(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, SOURCES)
 
 
+def check_sources(sources: DataFrame) -> None:
+    """Raise if a registry is too large for a broadcast or names a source twice."""
+    rows, names = sources.agg(F.count("name"), F.countDistinct("name")).first()
+    if rows > MAX_SOURCES:
+        raise ValueError(f"{rows} sources; at most {MAX_SOURCES} can be registered")
+    if names < rows:
+        raise ValueError(f"{rows - names} sources share a name with another")
+
+
 def enabled(sources: DataFrame) -> DataFrame:
     return sources.where("enabled")
 

@@ -1,8 +1,9 @@
 """Operators that keep their own state: token epochs, approvals, consumed context.
 
 They need the RocksDB state store (``use_rocksdb``). State per key is small and
-bounded: one anchor, one alert, or one context of a few dozen rows. Rows of a key
-arrive as an iterator of Arrow batches and are never gathered.
+bounded: one anchor, one alert, or one context of a few dozen rows. Of a key's rows in one
+micro-batch, only what the operator needs in order is gathered (distinct seconds, an alert's
+decisions, a shard's rows), so the source's admission limit bounds the memory.
 """
 
 from __future__ import annotations
@@ -49,13 +50,17 @@ class _EpochState(StatefulProcessor):
         pass
 
 
-def stream_token_epochs(occurrences: DataFrame, ttl_seconds: int) -> DataFrame:
+def stream_token_epochs(
+    occurrences: DataFrame, ttl_seconds: int, delay: str = "10 minutes"
+) -> DataFrame:
     """(value, epoch_no, epoch_start) as epochs open. Input: value, epoch, ts.
 
     Repeats within a second are dropped first, keyed by (value, second), so a hot
-    value's rows are thinned on many tasks before they reach its state.
+    value's rows are thinned on many tasks before they reach its state. ``delay`` is how
+    late sightings may come: choose it by the source. Later ones are not used; the query's
+    progress counts them (``numRowsDroppedByWatermark``).
     """
-    thin = occurrences.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(
+    thin = occurrences.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["value", "epoch"]
     )
     return thin.groupBy("value").transformWithStateInPandas(

@@ -257,3 +257,52 @@ def test_context_lives_across_batches(spark, tmp_path):
     got = {(r.source_label, 0, r.actor, r.first_seq, r.last_seq, r.n)
            for r in detect.run_once(spark, found, ["actor", "last_seq"]).collect()}
     assert got == consume_by_hand([(i, s, 0, a, f) for i, s, a, f in rows], 10, 3)
+
+
+def test_tail_finishes_a_file_rotated_between_plan_and_read(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("one\ntwo\n")
+    reader = tail.GrowingLogReader({"paths": str(path)})
+    end = reader.latestOffset()
+    spans = reader.partitions({}, end)
+    os.rename(path, tmp_path / "a.log.1")
+    path.write_text("new\n")
+    assert [r[1] for s in spans for r in reader.read(s)] == ["one", "two"]
+    with open(tmp_path / "a.log.1", "a") as old:
+        old.write("three\nhalf")
+    later = reader.latestOffset()
+    texts = [r[1] for s in reader.partitions(end, later) for r in reader.read(s)]
+    assert texts == ["three", "half", "new"]
+    # read to its end, the old file may go
+    os.rename(tmp_path / "a.log.1", tmp_path.parent / f"{tmp_path.name}-gone")
+    assert reader.partitions(later, reader.latestOffset()) == []
+
+
+def test_tail_fails_rather_than_skip_what_is_gone(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("one\n")
+    for on_lost in ("fail", "skip"):
+        reader = tail.GrowingLogReader({"paths": f"{tmp_path}/*.log", "on_lost": on_lost})
+        end = reader.latestOffset()
+        (span,) = reader.partitions({}, end)
+        os.rename(path, tmp_path.parent / f"{tmp_path.name}-{on_lost}")
+        path.write_text("one\n")
+        if on_lost == "fail":
+            with pytest.raises(FileNotFoundError):
+                list(reader.read(span))
+            with pytest.raises(RuntimeError, match="gone before its end"):
+                reader.latestOffset()
+        else:
+            assert list(reader.read(span)) == []
+            assert len(reader.partitions(end, reader.latestOffset())) == 1
+
+
+def test_tail_reads_a_rotated_file_once_though_its_new_name_matches(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("one\n")
+    reader = tail.GrowingLogReader({"paths": f"{tmp_path}/a.log*"})
+    end = reader.latestOffset()
+    os.rename(path, tmp_path / "a.log.1")
+    path.write_text("two\n")
+    later = reader.latestOffset()
+    assert [r[1] for s in reader.partitions(end, later) for r in reader.read(s)] == ["two"]
