@@ -682,10 +682,17 @@ SELECT *, CASE WHEN n_after = 0 THEN 'resolved' WHEN n_after > n_before THEN 'es
 
 _W = "ts_epoch - ts_epoch % 86400"
 oracle("stream_detect", f"""{BASE},
-w AS (SELECT {_W} AS window_start, source_label, actor,
-    count(*) FILTER ({_SQLI}) AS sqli, count(*) FILTER ({_TRAV}) AS traversal,
-    count(*) FILTER ({_BRUTE}) AS bruteforce, count(*) FILTER ({_SCAN}) AS scanner,
-    count(DISTINCT path) FILTER ({_FUZZ}) AS path_fuzz FROM signal GROUP BY 1, 2, 3),
+x AS (SELECT {_W} AS window_start, source_label, actor, path, coalesce({_SQLI}, false) AS s,
+    coalesce({_TRAV}, false) AS t, coalesce({_BRUTE}, false) AS b, coalesce({_SCAN}, false) AS c,
+    coalesce({_FUZZ}, false) AS f FROM signal),
+y AS (SELECT *, count(*) FILTER (b AND NOT s AND NOT t)
+    OVER (PARTITION BY window_start, source_label, actor) >= 2 AS q FROM x),
+w AS (SELECT window_start, source_label, actor,
+    count(*) FILTER (s) AS sqli, count(*) FILTER (t AND NOT s) AS traversal,
+    count(*) FILTER (b AND NOT s AND NOT t) AS bruteforce,
+    count(*) FILTER (c AND NOT s AND NOT t AND NOT (q AND b)) AS scanner,
+    count(DISTINCT path) FILTER (f AND NOT s AND NOT t AND NOT c AND NOT (q AND b)) AS path_fuzz
+    FROM y GROUP BY 1, 2, 3),
 u AS (UNPIVOT w ON sqli, traversal, bruteforce, scanner, path_fuzz INTO NAME rule VALUE n)""", """
 SELECT window_start, source_label, actor, rule, CASE rule WHEN 'sqli' THEN 'critical'
   WHEN 'path_fuzz' THEN 'medium' ELSE 'high' END AS severity, n FROM u
@@ -696,3 +703,16 @@ starts AS (SELECT value, min(epoch) AS s, 1 AS k FROM seen GROUP BY 1
   UNION ALL SELECT p.value, min(o.epoch), p.k + 1 FROM starts p JOIN seen o
     ON o.value = p.value AND o.epoch > p.s + 3600 GROUP BY p.value, p.s, p.k)""",
        "SELECT value, CAST(k AS BIGINT) AS epoch_no, s AS epoch_start FROM starts")
+
+# --- the whole path -------------------------------------------------------------------
+
+oracle("pipeline_rejected", "", f"""
+SELECT source_label, reason, count(*) AS n_lines FROM ({ORACLES["format_routing"]})
+WHERE reason IS NOT NULL GROUP BY 1, 2""")
+oracle("pipeline_alerts", "", f"""
+SELECT rule, source_label, category, severity, effective_action, 'local_rules' AS analyzed_by
+FROM ({ORACLES["alerts"]})
+UNION ALL SELECT 'batch ' || batch_id, source_label, category, severity,
+  CASE category WHEN 'bruteforce' THEN 'block_ip' ELSE 'rate_limit' END, analyzed_by
+FROM ({ORACLES["score_cascade"]}) WHERE category <> 'normal'""")
+oracle("windowed_findings", "", ORACLES["stream_detect"])

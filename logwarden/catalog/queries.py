@@ -611,6 +611,46 @@ def alert_messages(spark, sf_dir):
     return respond.messages(chat.unionByName(plain))
 
 
+# --- the whole path: all formats, both levels -----------------------------------------------
+
+
+@query
+def pipeline_rejected(spark, sf_dir):
+    """Lines of all formats that no entry came out of, per source and reason."""
+    sources = registry.load_sources(spark, D.SITES)
+    rejected = P.ingest_all(D.all_lines(spark, sf_dir), sources, OPTIONS).rejected
+    return rejected.groupBy("source_label", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _both_levels(spark, sf_dir):
+    masked = land(_masked(spark, sf_dir), "masked")
+    judged = P.score_open(masked, scoring.keyword_scorer, scoring.keyword_deep_scorer, OPTIONS)
+    return P.respond_to(masked, _created(), OPTIONS, assessments=judged)
+
+
+@query
+def pipeline_alerts(spark, sf_dir):
+    """Alerts of the rules and of the scorer, from one table of findings."""
+    return _both_levels(spark, sf_dir).alerts.select(
+        "rule", "source_label", "category", "severity", "effective_action", "analyzed_by")
+
+
+@query
+def windowed_findings(spark, sf_dir):
+    """The cascade per day: batch twin of ``stream_detect`` with other thresholds."""
+    options = OPTIONS.overlay({"rules": {"brute_force_threshold": 2, "path_fuzz_threshold": 2}})
+    days = P.in_windows(_entries(spark, sf_dir), "1 day")
+    actors = rules.profile(days, ("source_label", "window_start"), options.rules)
+    registered = rules.default_rules(options.rules)
+    hits = F.array_compact(F.array(*[
+        F.when(F.col(f"q_{r.name}"), F.struct(
+            F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
+            F.col(f"n_{r.name}").alias("n"))) for r in registered]))
+    return actors.select(
+        F.unix_seconds("window_start").alias("window_start"), "source_label", "actor",
+        F.inline(hits))
+
+
 # --- across sources and over time --------------------------------------------------------
 
 

@@ -101,14 +101,16 @@ def actor_key(source_ip: str = "source_ip", text: str = "raw_line") -> Column:
 
 
 def masked_actor(masked: DataFrame, options: MaskOptions) -> DataFrame:
-    """Actor of masked rows: first IP token, else the parsed address hashed."""
+    """Actor of masked rows: first IP token, else the parsed address hashed.
+
+    Behind a one-row generator: a filter on it must not copy the masking into itself.
+    """
     own = F.filter("token_list", lambda t: t["prefix"] == "[IP_")
     hidden = F.when(
         F.col("source_ip") != "", M.hash_token("[IP_", F.col("source_ip"), options.salt)
     )
-    return masked.withColumn(
-        "actor", F.coalesce(F.get(own, F.lit(0))["token"], hidden, F.lit("unknown"))
-    )
+    actor = F.coalesce(F.get(own, F.lit(0))["token"], hidden, F.lit("unknown"))
+    return masked.withColumn("actor", F.explode(F.array(actor)))
 
 
 def actor_dictionary(masked: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,47 +27,124 @@ def masked_entries(lines: DataFrame, options: Options) -> DataFrame:
     return mask.masked_actor(mask.mask_hashed(parsed, options.mask), options.mask)
 
 
+class Ingested(NamedTuple):
+    entries: DataFrame
+    rejected: DataFrame
+
+
+def ingest_all(lines: DataFrame, sources: DataFrame, options: Options = Options()) -> Ingested:
+    """Lines of all registered sources and formats: entries, and what is kept aside with its reason.
+
+    Entries are masked if masking has a salt, and have a noise flag and an actor. The lines are
+    parsed once into a landed table that both results read.
+    """
+    routed = land(ingest.route(lines, sources, options.ingest), "routed")
+    rejected = routed.where(F.col("reason").isNotNull()).select(
+        "seq", "source_label", "raw_line", "reason")
+    parsed = noise.with_noise(
+        routed.where(F.col("reason").isNull()).drop("format", "tags", "reason"), options.noise)
+    if not options.mask.salt:
+        return Ingested(parsed.withColumn("actor", mask.actor_key()), rejected)
+    masked = mask.mask_hashed(parsed, options.mask)
+    return Ingested(mask.masked_actor(masked, options.mask), rejected)
+
+
+def in_windows(entries_: DataFrame, width: str) -> DataFrame:
+    """Add ``window_start``, for detection per window: scope=("source_label", "window_start")."""
+    return entries_.withColumn("window_start", F.window("ts", width)["start"])
+
+
 class Response(NamedTuple):
     alerts: DataFrame
     targets: DataFrame
     rules: DataFrame
 
 
+def second_level(assessments: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """A scorer's assessments in the shape of findings: one per batch, named by it.
+
+    The addresses and paths that the scorer names are bounded by its reply. ``ips`` and
+    ``paths`` carry them on, as do ``zone_name`` and ``rate``.
+    """
+    one = lambda some, alone: F.when(
+        F.coalesce(F.size(some), F.lit(0)) > 0, F.array_distinct(some)
+    ).otherwise(F.array_compact(F.array(alone)))
+    ips = one(F.col("details.ips"), F.nullif(F.col("details.ip"), F.lit("")))
+    paths = one(F.col("details.paths"), F.nullif(F.col("details.path"), F.lit("")))
+    # a batch is of one source; what else the scope has, it does not know
+    extra = [F.lit(None).alias(c) for c in scope if c not in assessments.columns]
+    return assessments.select(
+        F.concat(F.lit("batch "), "batch_id").alias("rule"),
+        *[c for c in scope if c in assessments.columns], *extra,
+        F.lit(None).cast("string").alias("actor"), "category", "severity", "confidence", "summary",
+        "indicators", "recommended_action", F.get(ips, F.lit(0)).alias("ip"),
+        F.size(ips).cast("bigint").alias("n_ips"), F.get(paths, F.lit(0)).alias("path"),
+        F.col("n_rows").cast("bigint").alias("n"), F.col("n_rows").cast("bigint").alias("n_rows"),
+        "first_seq", "analyzed_by", F.col("details.zone_name").alias("zone_name"),
+        F.col("details.rate").alias("rate"), ips.alias("ips"), paths.alias("paths"),
+    )
+
+
 def respond_to(
     entries_: DataFrame,
     created_at: Column,
     options: Options = Options(),
     dictionary: DataFrame | None = None,
+    *,
+    scope: Sequence[str] = SCOPE,
+    assessments: DataFrame | None = None,
 ) -> Response:
-    """Findings of the rules as gated alerts with their proposed rules.
+    """Findings of the rules, and a scorer's ``assessments``, as gated alerts with proposed rules.
 
-    Runs the detection once and lands its (scope, actor) table.
+    Runs the detection once and lands its (scope, actor) table. ``assessments`` come from
+    ``score_open``; they and the findings are one table from here on.
     """
+    scope = tuple(scope)
     # the one pass over the input; what follows reads its small result several times
-    actors = land(rules.profile(entries_, SCOPE, options.rules), "actors")
-    found = rules.findings_of(actors, SCOPE, options.rules)
-    key = ("rule", *SCOPE, "actor")
-    alerts = land(respond.raise_alerts(found, key, created_at, options.alerts), "alerts")
+    actors = land(rules.profile(entries_, scope, options.rules), "actors")
+    found = rules.findings_of(actors, scope, options.rules).withColumn(
+        "indicators", F.array("indicator")).drop("indicator")
+    key = ("rule", *scope, "actor")
+    everything = found
+    if assessments is not None:
+        judged = second_level(assessments, scope)
+        judged = judged.withColumns({
+            c: F.col(c).cast(found.schema[c].dataType) for c in scope if c not in assessments.columns})
+        everything = found.unionByName(judged, allowMissingColumns=True)
+    alerts = land(respond.raise_alerts(everything, key, created_at, options.alerts), "alerts")
     if options.rules.actor_scope == "scope":
-        named = rules.finding_actors(actors, SCOPE, options.rules).where(
+        named = rules.finding_actors(actors, scope, options.rules).where(
             F.col("actor").isNotNull()
-        ).unionByName(rules.scope_actors(entries_, found, SCOPE))
+        ).unionByName(rules.scope_actors(entries_, found, scope))
     else:
-        named = rules.finding_actors(actors, SCOPE, options.rules)
+        named = rules.finding_actors(actors, scope, options.rules)
     targets = named.select(
         respond.alert_id(*key).alias("alert_id"), "ip", F.col("ip_seq").alias("ord")
     )
+    path_targets = None
+    if assessments is not None:
+        place = lambda name, alone: alerts.select(
+            "alert_id", F.posexplode(name).alias("k", alone)
+        ).select("alert_id", alone, F.col("k").cast("bigint").alias("ord"))
+        targets = targets.unionByName(place("ips", "ip"))
+        own = alerts.where("paths is null and coalesce(path, '') <> ''").select(
+            "alert_id", "path", F.lit(0).cast("bigint").alias("ord"))
+        path_targets = own.unionByName(place("paths", "path"))
+        alerts = alerts.drop("ips", "paths")
     proposed = land(
-        respond.mitigation_rules(alerts, targets, options.response, dictionary), "rules"
+        respond.mitigation_rules(alerts, targets, options.response, dictionary, path_targets),
+        "rules",
     )
     gated = respond.gate(alerts, proposed, created_at, options.response)
-    return Response(
-        gated.withColumn("indicators", F.array("indicator")), targets, proposed
-    )
+    return Response(gated, targets, proposed)
 
 
 def open_batches(
-    entries_: DataFrame, options: Options, text: str = "sanitized_line"
+    entries_: DataFrame,
+    options: Options,
+    text: str = "sanitized_line",
+    *,
+    scope: Sequence[str] = SCOPE,
 ) -> DataFrame:
     """Batches no rule caught, with the texts a scorer gets.
 
@@ -76,7 +154,7 @@ def open_batches(
     """
     landed = land(entries_, "entries")
     batched = land(B.assign_batches(landed, options.batch), "batched")
-    labelled = rules.label_rows(batched, SCOPE, options.rules)
+    labelled = rules.label_rows(batched, tuple(scope), options.rules)
     caught = labelled.where(F.col("label").isNotNull()).select("batch_id").distinct()
     texts = B.batch_texts(batched, text).join(caught, "batch_id", "left_anti")
     # contexts quote fields, so those are masked like the line they are from
@@ -95,6 +173,12 @@ def score_open(
     deep: scoring.Scorer | None,
     options: Options,
     text: str = "sanitized_line",
+    *,
+    scope: Sequence[str] = SCOPE,
 ) -> DataFrame:
-    """Second-level assessments of the batches the rules left open."""
-    return scoring.cascade(open_batches(entries_, options, text), fast, deep, options.score)
+    """Second-level assessments of the batches the rules left open.
+
+    Landed: each batch is scored once, however often the result is read.
+    """
+    texts = open_batches(entries_, options, text, scope=scope)
+    return land(scoring.cascade(texts, fast, deep, options.score), "assessments")

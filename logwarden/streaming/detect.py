@@ -29,31 +29,27 @@ def path_counts(
     slide: str | None = None,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Rows per (window, source, actor, path) and rule. State is one row of counts per key."""
+    """The cascade's counts per (window, source, actor, path). State is one row per key.
+
+    Rules take rows by priority, as in ``operators.rules``, with the window as part of the scope.
+    """
     rules = R.default_rules(options.rules)
     marked = R.candidates(rows, rules).withWatermark("ts", delay)
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
-    hits = F.lit(False)
-    for rule in rules:
-        hits = hits | F.col(f"_m_{rule.name}")
-    return marked.where(hits).groupBy(span, "source_label", "actor", "path").agg(
-        *[F.count_if(f"_m_{r.name}").alias(r.name) for r in rules]
-    )
+    return R.path_profile(marked.withColumn("window", span), rules, SCOPE)
 
 
-PATH_KEYS = ("window", "source_label", "actor", "path")
+SCOPE = ("window", "source_label")
+PATH_KEYS = (*SCOPE, "actor", "path", "user_agent")
 
 
 def window_counts(paths: DataFrame, options: Options = Options()) -> DataFrame:
-    """Per (window, source, actor) what each rule counts: rows, or distinct paths.
+    """Per (window, source, actor) which rules are reached, and what each counts.
 
     Exact on tables and on append streams. An update stream keeps ``path_counts``
     with ``write_keyed`` and counts what ``latest`` reads.
     """
-    measure = lambda r: F.count_if(F.col(r.name) > 0) if r.kind == R.PATHS else F.sum(r.name)
-    return paths.groupBy("window", "source_label", "actor").agg(
-        *[measure(r).alias(r.name) for r in R.default_rules(options.rules)]
-    )
+    return R.actor_profile(paths, R.default_rules(options.rules), SCOPE)
 
 
 def window_findings(counts: DataFrame, options: Options = Options()) -> DataFrame:
@@ -61,10 +57,10 @@ def window_findings(counts: DataFrame, options: Options = Options()) -> DataFram
     rules = R.default_rules(options.rules)
     found = F.array_compact(F.array(*[
         F.when(
-            F.col(r.name) >= r.threshold,
+            F.col(f"q_{r.name}"),
             F.struct(
                 F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"),
-                F.lit(r.severity).alias("severity"), F.col(r.name).alias("n"),
+                F.lit(r.severity).alias("severity"), F.col(f"n_{r.name}").alias("n"),
             ),
         )
         for r in rules
