@@ -43,7 +43,8 @@ NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar widget footer comment comments disqus reply replies respond cookie cookies consent "
     "notice gdpr popup modal overlay share sharing social related recommended newsletter subscribe subscription login "
-    "signup search pagination pager toolbar skip".split())
+    "signup search pagination pager toolbar skip alert alerts notification notifications toast announcement disclaimer "
+    "masthead topbar".split())
 GOOD_WORDS = frozenset("article content post entry main story text body".split())
 #: Elements that an opening tag ends if one is open: the tag, what it ends, and what it does not look beyond.
 ENDS = {
@@ -148,6 +149,9 @@ class Page:
         if not out and name not in ("html", "body", "main", "article"):
             if name in NEVER or "hidden" in has or has.get("aria-hidden") == "true" or has.get("role", "").lower() in NEVER_ROLES:
                 out = "always"
+            elif (name == "header" or "header" in words and not words & GOOD_WORDS) and not any(
+                    self.tag[e] in ARTICLES for e in self.line(parent)):
+                out = "class"  # a page's header; an article's own holds its title
             elif words & NEVER_WORDS and name not in ("p", "h1", "a", "span", "b", "i", "em", "strong"):
                 out = "class"
         self.parent.append(parent)

@@ -46,6 +46,15 @@ def test_a_page_with_all_kinds_of_boilerplate():
     assert page.path(page.best()) == "#>html>body.home.page>div.col.wrap>div.post-body"
 
 
+def test_headers_of_pages_go_and_those_of_articles_stay():
+    html = ("<body><div class=site-header>Name and claim</div><div class='alert alert-info'>Notice</div><main>"
+            "<article><header><h1>Title</h1></header><div class=article-body><p>Text of it.</p></div>"
+            "<footer>About the author</footer></article><div id=comments><p>Long reader comment here</p></div></main></body>")
+    assert extract(html) == "Title\nText of it."
+    plain = "<body><div class=header>Name</div><div class=post><div class=post-header><h1>T</h1></div><p>Body text.</p></div></body>"
+    assert extract(plain) == "T\nBody text."
+
+
 def test_hosts_agree_on_a_path(spark):
     long, short = "words and more words. " * 20, "tiny text"
     normal = f"<body><div class=top1>{short}</div><div class=text2><p>{long}</p></div></body>"
