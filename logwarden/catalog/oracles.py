@@ -716,3 +716,37 @@ UNION ALL SELECT 'batch ' || batch_id, source_label, category, severity,
   CASE category WHEN 'bruteforce' THEN 'block_ip' ELSE 'rate_limit' END, analyzed_by
 FROM ({ORACLES["score_cascade"]}) WHERE category <> 'normal'""")
 oracle("windowed_findings", "", ORACLES["stream_detect"])
+oracle("l1_finding_paths", f"{BASE}, {LABELS}", """
+SELECT label AS rule, source_label, CASE WHEN label IN ('bruteforce', 'path_fuzz') THEN actor END
+  AS actor, path, min(seq) AS path_seq FROM labelled WHERE label IS NOT NULL GROUP BY 1, 2, 3, 4""")
+oracle("stream_tail", f"{LINES}, {_access('lines', 'parsed')}",
+       "SELECT ts_epoch, source_ip, method, path, status FROM parsed")
+# each step of the recursion takes the next row of every shard into its list of recent rows
+oracle("context_consume", f"""RECURSIVE {BASE},
+tries AS (SELECT seq, source_label, actor, coalesce({_BRUTE}, false) AS failed,
+    CAST(CAST('0x' || substr(md5(actor), 1, 8) AS BIGINT) % 16 AS INT) AS shard FROM signal),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_label, shard ORDER BY seq) AS n FROM tries),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS n, source_label, shard,
+    CAST([] AS STRUCT(seq BIGINT, actor VARCHAR, failed BOOLEAN)[]) AS recent,
+    CAST(NULL AS VARCHAR) AS actor, CAST(0 AS BIGINT) AS first_seq, CAST(0 AS BIGINT) AS last_seq,
+    CAST(0 AS BIGINT) AS k FROM (SELECT DISTINCT source_label, shard FROM r)
+  UNION ALL
+  SELECT n, source_label, shard,
+    CASE WHEN hit THEN list_filter(cur, lambda x: NOT (x.failed AND x.actor = who)) ELSE cur END,
+    CASE WHEN hit THEN who END, mine[1].seq, at_seq, len(mine)
+  FROM (SELECT *, failed AND len(mine) >= 3 AS hit FROM (
+    SELECT *, list_filter(cur, lambda x: x.failed AND x.actor = who) AS mine FROM (
+      SELECT r.n, r.source_label, r.shard, r.actor AS who, r.seq AS at_seq, r.failed,
+        list_append(s.recent, {{'seq': r.seq, 'actor': r.actor, 'failed': r.failed}})[-30:] AS cur
+      FROM st s JOIN r ON r.source_label = s.source_label AND r.shard = s.shard AND r.n = s.n + 1)))
+)""", """
+SELECT source_label, shard, actor, first_seq, last_seq, CAST(k AS INT) AS n FROM st
+WHERE actor IS NOT NULL""")
+oracle("noise_reasons", BASE, f"""
+SELECT source_label, noise_reason, count(*) AS n_rows FROM (SELECT source_label, CASE
+    WHEN noise_reason IS NOT NULL THEN noise_reason
+    WHEN status IN ({_list(fixed.SUSPICIOUS_STATUSES)}) AND ({_PARTS}) THEN NULL
+    WHEN status = 404 THEN 'ignored_status'
+    WHEN method = 'GET' AND status = 200 AND response_size < 500 THEN 'small_get' END AS noise_reason
+  FROM entries) GROUP BY 1, 2""")

@@ -11,7 +11,7 @@ from ..operators import activity, batches as B, ingest, mask, noise, respond, ru
 from ..operators import scoring, stats
 from ..options import BatchOptions, MaskOptions, Options, ResponseOptions
 from ..plans import detection as P
-from ..sources import files, registry
+from ..sources import files, registry, tail
 from ..sources.landing import fresh_folder, land
 from ..streaming import detect, stateful
 from . import derived as D
@@ -145,6 +145,13 @@ def noise_summary(spark, sf_dir):
     )
 
 
+@query
+def noise_reasons(spark, sf_dir):
+    options = OPTIONS.overlay({"noise": {"ignore_status_codes": [404], "small_get_below": 500}})
+    parsed = ingest.parse_access(D.access_lines(spark, sf_dir))
+    return noise.noise_reasons(noise.with_noise(parsed, options.noise))
+
+
 @query
 def health_semi_join(spark, sf_dir):
     paths = spark.createDataFrame([(p,) for p in OPTIONS.noise.health_paths], "path string")
@@ -329,6 +336,12 @@ def l1_assessments(spark, sf_dir):
     return _findings(spark, sf_dir)
 
 
+@query
+def l1_finding_paths(spark, sf_dir):
+    labelled = rules.label_rows(_entries(spark, sf_dir), P.SCOPE, OPTIONS.rules)
+    return rules.finding_paths(labelled, P.SCOPE, OPTIONS.rules)
+
+
 @query
 def l1_finding_actors(spark, sf_dir):
     actors = rules.profile(_entries(spark, sf_dir), P.SCOPE, OPTIONS.rules)
@@ -722,6 +735,24 @@ def stream_detect(spark, sf_dir):
     )
 
 
+@query
+def stream_tail(spark, sf_dir):
+    """Lines written out as files that grow in place, tailed and parsed.
+
+    The tail reads files where all workers mount them, so the shared folder must be such a place.
+    """
+    folder = fresh_folder(spark, "grown")
+    D.access_lines(spark, sf_dir).select("raw_line").write.text(folder)
+    tail.register(spark)
+    lines = spark.readStream.format("growing_log").option(
+        "paths", f"{folder.removeprefix('file://')}/part-*").load()
+    table, checkpoint = fresh_folder(spark, "tailed"), fresh_folder(spark, "tailed-state")
+    entries = ingest.parse_access(lines).select(
+        F.unix_seconds("ts").alias("ts_epoch"), "source_ip", "method", "path", "status")
+    detect.write_keyed(entries, table, checkpoint, once=True).awaitTermination()
+    return spark.read.parquet(table).drop("batch_no")
+
+
 @query
 def stream_token_epochs(spark, sf_dir):
     stateful.use_rocksdb(spark)

@@ -67,6 +67,11 @@ def noise_summary(flagged: DataFrame) -> DataFrame:
     )
 
 
+def noise_reasons(flagged: DataFrame) -> DataFrame:
+    """Rows per source and reason, whatever reasons the options switch on; kept rows have none."""
+    return flagged.groupBy("source_label", "noise_reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def health_rows(entries: DataFrame, health_paths: DataFrame) -> DataFrame:
     """Rows whose full path is in a table of health paths (column ``path``)."""
     return entries.join(health_paths.select("path").distinct(), "path", "left_semi")

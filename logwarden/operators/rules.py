@@ -345,6 +345,24 @@ def finding_actors(
     return caught.select("rule", *scope, "actor", "ip", F.col("first.seq").alias("ip_seq"))
 
 
+def finding_paths(
+    labelled: DataFrame,
+    scope: Sequence[str],
+    options: RuleOptions = RuleOptions(),
+    rules: Sequence[Rule] | None = None,
+) -> DataFrame:
+    """Paths of each finding, from the rows of ``label_rows``: (rule, scope, actor, path, path_seq).
+
+    ``path_seq`` is the path's first row, the order of the list. ``actor`` is null for row rules.
+    """
+    by_actor = [r.name for r in rules or default_rules(options) if r.kind != ROW]
+    taken = labelled.where(F.col("label").isNotNull())
+    actor = F.when(F.col("label").isin(*by_actor), F.col("actor"))
+    return taken.groupBy(
+        F.col("label").alias("rule"), *scope, actor.alias("actor"), "path"
+    ).agg(F.min("seq").alias("path_seq"))
+
+
 def scope_actors(entries: DataFrame, found: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Parity list: row-rule findings name every actor of their scope, seen or not."""
     rows = entries.where(~F.col("is_noise")) if "is_noise" in entries.columns else entries

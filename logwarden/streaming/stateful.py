@@ -177,7 +177,8 @@ def context_consume(
     context then holds the last rows of the shard. ``shards=1`` is one context per
     source. ``rows``: seq, source_label, actor, failed BOOLEAN.
     """
-    shard = F.pmod(F.xxhash64("actor"), F.lit(shards)).cast("int")
+    digits = F.substring(F.md5(F.coalesce("actor", F.lit("")).cast("binary")), 1, 8)
+    shard = (F.conv(digits, 16, 10).cast("bigint") % shards).cast("int")
     return rows.withColumn("shard", shard).groupBy(
         "source_label", "shard"
     ).transformWithStateInPandas(
