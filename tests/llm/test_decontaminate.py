@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from oracle import compared
+from .oracle import compared
 from pyspark.sql import functions as F
 
 from logwarden.llm import decontaminate, oracles, queries

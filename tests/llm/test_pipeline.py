@@ -3,10 +3,10 @@ from __future__ import annotations
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from test_decontaminate import words_of
-from test_packing import check
-from test_secret_scan import plain
-from test_simhash import brute as brute_components
+from .test_decontaminate import words_of
+from .test_packing import check
+from .test_secret_scan import plain
+from .test_simhash import brute as brute_components
 from tokenizers import Tokenizer
 
 from logwarden.llm import packing, queries, tokens, toxicity

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from oracle import compared
+from .oracle import compared
 from pyspark.sql import functions as F
 
 from logwarden.llm import oracles, quality, queries

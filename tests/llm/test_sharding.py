@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from oracle import compared
+from .oracle import compared
 from pyspark.sql import functions as F
 
 from logwarden.llm import oracles, queries, sharding
