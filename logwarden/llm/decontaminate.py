@@ -191,8 +191,8 @@ def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
 
 
-def hits(block: Block, queries: Queries) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
-    """Marked words of a block, per document its items and the words of the longest match in it."""
+def hits(block: Block, queries: Queries) -> tuple[np.ndarray, list[list[str]]]:
+    """Which words of a block are hit, and per document the items that hit it."""
     _, _, first, last = block.search(queries)
     found = np.flatnonzero(first < last)
     covered = np.zeros(len(block.words) + 1, np.int64)
@@ -212,8 +212,7 @@ def hits(block: Block, queries: Queries) -> tuple[np.ndarray, np.ndarray, list[l
     items: list[set[str]] = [set() for _ in block.counts]
     for pair in pairs.tolist():
         items[pair // len(kinds)] |= items_of[pair % len(kinds)]
-    marked = np.cumsum(covered[:-1]) > 0
-    return marked, np.bincount(block.doc[marked], minlength=len(block.counts)), [sorted(x) for x in items]
+    return np.cumsum(covered[:-1]) > 0, [sorted(x) for x in items]
 
 
 def cuts(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -246,7 +245,7 @@ def scan(docs: DataFrame, part: Broadcast, block_bytes: int, text: str, spans: s
             data, offsets = flat_utf8(batch.column(names.index(text)))
             for a, b in cuts(offsets, block_bytes):
                 block = Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                marked, _, found = hits(block, queries)
+                marked, found = hits(block, queries)
                 rows = batch.slice(a, b - a)
                 so_far = [x + y for x, y in zip(rows.column(names.index(spans)).to_pylist(),
                                                 spans_of(marked, block.doc, block.counts))]

@@ -8,9 +8,10 @@ is chosen by dynamic programming over the cut positions of a stretch of the stre
 ``cut`` is nothing after a document, little after a sentence, much elsewhere. Padding
 is ``capacity - length``, or none where the length is a power of two. The first
 case is a sliding-window minimum of cost(i) + i, kept in a monotone queue; the second
-is one look-up for each power from a sixteenth of the capacity up. A stretch ends at its cheapest cut within one capacity of its
-end, and the rest is carried to the next stretch, so memory is bounded by a stretch and
-one document. What is left at the end of a partition is cut into powers of two.
+is one look-up for each power from a sixteenth of the capacity up. A stretch ends at its
+cheapest cut within one capacity of its end, and the rest is carried to the next stretch, so
+memory is bounded by a stretch and one document. What is left at the end of a partition is
+cut into powers of two.
 
 Nothing is shuffled: partitions are independent, and a lost task is simply run again.
 
@@ -144,7 +145,8 @@ class Stream:
         doc_ends = np.cumsum(left)
         doc_ends = doc_ends[doc_ends <= len(ids)]
         sentence_ends = np.flatnonzero(is_any(ids, self.sentence_ids)) + 1
-        ends = best_cuts(*cut_positions(len(ids), doc_ends, sentence_ends, self.capacity // STEPS), self.capacity, last)
+        places = cut_positions(len(ids), doc_ends, sentence_ends, max(1, self.capacity // STEPS))
+        ends = best_cuts(*places, self.capacity, last)
         if last and ends:
             begin = ends[-2] if len(ends) > 1 else 0
             parts = binary_parts(ends[-1] - begin)
