@@ -750,3 +750,8 @@ SELECT source_label, noise_reason, count(*) AS n_rows FROM (SELECT source_label,
     WHEN status = 404 THEN 'ignored_status'
     WHEN method = 'GET' AND status = 200 AND response_size < 500 THEN 'small_get' END AS noise_reason
   FROM entries) GROUP BY 1, 2""")
+oracle("execution_status", "", f"""
+SELECT a.alert_id, CASE WHEN a.status = 'approved' THEN CASE WHEN l.good THEN 'executed' ELSE 'failed' END
+  ELSE a.status END AS status FROM ({ORACLES["apply_decisions"]}) a
+JOIN (SELECT alert_id, bool_and(step IS NULL OR step % 5 <> 0) AS good
+  FROM ({ORACLES["execution_dry_run"]}) GROUP BY 1) l USING (alert_id)""")

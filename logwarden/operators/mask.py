@@ -56,12 +56,6 @@ def _unfold(df: DataFrame, values: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode_outer(values)).where(F.col(name).isNotNull())
 
 
-def token_map(token_list: Column) -> Column:
-    """``token_list`` as MAP<token, original>."""
-    pairs = F.transform(token_list, lambda t: F.struct(t["token"], t["original"]))
-    return F.map_from_entries(F.array_distinct(pairs))
-
-
 def mask_with(text: Column, token_list: Column) -> Column:
     """Mask another field of a line with the tokens of the line."""
     return M.replace_all(text, token_list, "original", "token")

@@ -257,12 +257,20 @@ def ignored_decisions(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
 # --- ledgers ------------------------------------------------------------------
 
 
-def execute_dry(alerts: DataFrame, rules: DataFrame, executed_at: Column) -> DataFrame:
+def execute_dry(
+    alerts: DataFrame,
+    rules: DataFrame,
+    executed_at: Column,
+    options: ResponseOptions = ResponseOptions(),
+) -> DataFrame:
     """Dry-run ledger of all alerts (from ``gate``), one row per command.
 
     An alert that is not approved gets a failed record without commands, an
-    approved one without rules a successful record without commands.
+    approved one without rules a successful record without commands. Live runs are
+    not built: ``dry_run=False`` is an error, not a silent dry run.
     """
+    if not options.dry_run:
+        raise ValueError("commands are proposed and recorded here, never run")
     approved = F.col("status") == "approved"
     head = alerts.select(
         "alert_id",
@@ -287,10 +295,33 @@ def execute_dry(alerts: DataFrame, rules: DataFrame, executed_at: Column) -> Dat
     return ledger.select(*LEDGER.names)
 
 
-def executed_status(alerts: DataFrame) -> DataFrame:
-    """Approved alerts are executed once their dry run is on the ledger."""
-    done = F.col("status") == "approved"
-    return alerts.withColumn("status", F.when(done, "executed").otherwise(F.col("status")))
+def report_results(ledger: DataFrame, results: DataFrame) -> DataFrame:
+    """The ledger with what a runner reported: ``results`` has alert_id, step, success, output.
+
+    A record succeeds if all of its commands did; commands without a result keep theirs.
+    """
+    said = results.select(
+        "alert_id", "step", F.col("success").alias("_ok"), F.col("output").alias("_out"))
+    told = ledger.join(said, ["alert_id", "step"], "left").withColumns({
+        "success": F.coalesce("_ok", "success"), "output": F.coalesce("_out", "output"),
+    }).drop("_ok", "_out")
+    whole = told.groupBy("alert_id", "executed_at").agg(
+        F.bool_and(F.coalesce("success", F.lit(True))).alias("_all"))
+    return told.join(whole, ["alert_id", "executed_at"]).withColumn(
+        "record_success", F.col("record_success") & F.col("_all")).select(*LEDGER.names)
+
+
+def executed_status(alerts: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Approved alerts are executed, or failed if a record of theirs on the ledger failed."""
+    approved = F.col("status") == "approved"
+    if ledger is None:
+        return alerts.withColumn("status", F.when(approved, "executed").otherwise(F.col("status")))
+    runs = ledger.where(F.col("kind") == "execute").groupBy("alert_id").agg(
+        F.bool_and("record_success").alias("_all"))
+    after = F.when(F.col("_all"), "executed").when(~F.col("_all"), "failed")
+    return alerts.join(runs, "alert_id", "left").withColumn(
+        "status", F.when(approved, F.coalesce(after, "status")).otherwise(F.col("status"))
+    ).drop("_all")
 
 
 def rollback_plan(ledger: DataFrame, requests: DataFrame, executed_at: Column) -> DataFrame:
@@ -485,12 +516,20 @@ def messages(lines: DataFrame, max_lines: int = 100) -> DataFrame:
     )
 
 
-def dispatch(batch: DataFrame, channels: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
+def dispatch(
+    batch: DataFrame,
+    channels: dict[str, Callable[[DataFrame], None]],
+    options: AlertOptions | None = None,
+) -> dict[str, str]:
     """Hand a batch of messages to every channel; one failure does not stop the others.
 
+    With ``options``, to the channels they name; one that is named but not there has failed.
     Returns channel -> error text for the channels that failed.
     """
     failed = {}
+    if options is not None:
+        failed = {n: "no such channel" for n in options.channels if n not in channels}
+        channels = {n: channels[n] for n in options.channels if n in channels}
     for name, send in channels.items():
         try:
             send(batch)

@@ -4,12 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-LINES = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("source_label", T.StringType()),
-    T.StructField("raw_line", T.StringType()),
-])
-
 SOURCES = T.StructType([
     T.StructField("name", T.StringType(), False),
     T.StructField("path", T.StringType()),
@@ -18,20 +12,6 @@ SOURCES = T.StructType([
     T.StructField("tags", T.ArrayType(T.StringType())),
 ])
 
-LOG_ENTRIES = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("source_ip", T.StringType()),
-    T.StructField("method", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("response_size", T.LongType()),
-    T.StructField("user_agent", T.StringType()),
-    T.StructField("referer", T.StringType()),
-    T.StructField("raw_line", T.StringType()),
-    T.StructField("source_label", T.StringType()),
-])
-
 # One row per executed command; a record without commands is one row whose
 # step columns are null. Long form, so a record may hold any number of commands.
 LEDGER = T.StructType([

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from logwarden.functions import fixed
@@ -213,5 +214,26 @@ def test_one_channel_failing_does_not_stop_the_others(spark):
     def broken(df):
         raise RuntimeError("down")
 
+    chosen = respond.dispatch(spark.range(2), {"bad": broken, "good": lambda d: None},
+                              AlertOptions(channels=("good", "pager")))
+    assert chosen == {"pager": "no such channel"}
     failed = respond.dispatch(spark.range(3), {"bad": broken, "good": lambda d: sent.append(d.count())})
     assert sent == [3] and failed == {"bad": "down"}
+
+
+def test_results_of_a_runner_decide_the_final_status(spark):
+    out, table = gated(spark, [alert("a"), alert("b"), alert("c", severity="high")],
+                       [("a", 1, "x", "c1", "u"), ("a", 2, "x", "c2", "u"), ("b", 1, "x", "c3", "u")],
+                       auto_approve_severity=("low", "medium"))
+    out = out.withColumn("status", F.when(F.col("alert_id") == "c", "pending").otherwise("approved"))
+    when = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    ledger = respond.execute_dry(out, table, when)
+    results = spark.createDataFrame([("a", 2, False, "exit 1"), ("b", 1, True, "done")],
+                                    "alert_id string, step bigint, success boolean, output string")
+    told = respond.report_results(ledger, results)
+    assert {(r.alert_id, r.step, r.success, r.record_success) for r in told.collect()} == {
+        ("a", 1, True, False), ("a", 2, False, False), ("b", 1, True, True), ("c", None, None, False)}
+    got = {r.alert_id: r.status for r in respond.executed_status(out, told).collect()}
+    assert got == {"a": "failed", "b": "executed", "c": "pending"}
+    with pytest.raises(ValueError):
+        respond.execute_dry(out, table, when, ResponseOptions(dry_run=False))
