@@ -273,9 +273,12 @@ def annotated(docs: DataFrame, benchmark: DataFrame, window: int, part_words: in
         "*", F.col("text").cast("string").alias(TEXT), F.lit(0).cast("bigint").alias(COUNT),
         F.expr("cast(array() as array<array<bigint>>)").alias(SPANS_OF),
         F.expr("cast(array() as array<string>)").alias(ITEMS_OF))
-    parts = list(query_parts(benchmark, window, part_words)) or [Queries([], window)]
-    for part in parts:
+    some = False
+    for part in query_parts(benchmark, window, part_words):  # the driver holds one at a time
         rows = scan(rows, context.broadcast(part), block_bytes, TEXT, SPANS_OF, ITEMS_OF)
+        some = True
+    if not some:  # no benchmark: words are counted all the same
+        rows = scan(rows, context.broadcast(Queries([], window)), block_bytes, TEXT, SPANS_OF, ITEMS_OF)
     return rows.withColumn(HIT, merged(F.col(SPANS_OF)))
 
 
