@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase, digits
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -55,7 +56,10 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 QUOTED = re.compile(r'[rbfuRBFU]?(?:"""(?s:.*?)"""|\'\'\'(?s:.*?)\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\\n]|\\.)*`)')
 JOIN = re.compile(r"[ \t]*\+?[ \t]*(?=[rbfuRBFU]?[\"'`])")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?(?=[ \t]*(?:[;,)\]}#\n]|\Z))")
-BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>=&]+=*")
+IN_BARE = r"[^\s\"'`,;(){}\[\]<>=&]"
+#: Equals signs belong to a bare literal as padding only if no value follows them.
+BARE = re.compile(rf"{IN_BARE}+(?:=+(?!=|{IN_BARE}))?")
+YOURS = re.compile(r"(?ai:your[_-])")
 IN_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
 
 
@@ -102,41 +106,78 @@ def name_before(text: str, at: int) -> tuple[str, int]:
     return text[at:end], at
 
 
-def targets(text: str, at: int) -> list[str]:
-    """Names that an operator at ``at`` assigns to: the name, and the one its type annotation belongs to."""
+def targets(text: str, at: int, typed: bool = True) -> tuple[list[str], list[str]]:
+    """Names that an operator at ``at`` assigns to, and those of them that may be used as constants.
+
+    A name after ``other:`` may be the type of ``other`` or a name of its own (``Note: NAME=value``): both are
+    judged, but a type is no constant. ``typed`` tells whether a type is looked for.
+    """
     name, begin = name_before(text, at)
     names = [name] if name else []
-    if name and text[at] == "=":
+    constants = names
+    if name and typed and text[at] == "=":
         colon = begin
         while colon and text[colon - 1] in " \t":
             colon -= 1
         if colon and text[colon - 1] == ":":
             annotated, _ = name_before(text, colon - 1)
-            names = [annotated] if annotated else names
-    return names
+            if annotated:
+                names = [annotated, name]
+                constants = names if begin + len(name) == at else [annotated]
+    return names, constants
 
 
 class Literal(NamedTuple):
-    value: str
+    """A literal: how much it looks like a secret, and where it is."""
+
+    score: float
     start: int
     end: int
     quoted: bool
     parts: int
 
 
-def literal_after(text: str, at: int) -> Literal | None:
-    """The literal that begins at ``at``, strings joined."""
-    found = QUOTED.match(text, at)
-    if not found:
-        found = BARE.match(text, at)
-        return Literal(found[0], found.start(), found.end(), False, 1) if found else None
-    value, end = [], at
+def joined_strings(text: str, found: re.Match[str]) -> Literal | None:
+    """The literal that begins with the string found, strings joined; none if it is empty."""
+    value, at = [], found.start()
     while found:
         value.append(found[0].lstrip("rbfuRBFU").strip(found[0][-1]))
         end = found.end()
         joined = JOIN.match(text, end)
         found = QUOTED.match(text, joined.end()) if joined else None
-    return Literal("".join(value), at, end, True, len(value))
+    whole = "".join(value)
+    return Literal(value_score(whole, True), at, end, True, len(value)) if whole else None
+
+
+class Bare:
+    """A stretch of text without spaces, quotes and brackets, and the literals that begin after each ``:`` in it."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+        self.scores: dict[int, float] = {}
+
+    def literal(self, at: int) -> Literal:
+        if at == self.start:
+            score = value_score(self.text[at : self.end], False)
+        else:
+            self.scores = self.scores or self.inner_scores()
+            score = self.scores[at]
+        return Literal(score, at, self.end, False, 1)
+
+    def inner_scores(self) -> dict[int, float]:
+        """``value_score`` of what follows each ``:``, all in one pass from the end."""
+        counts: Counter[str] = Counter()
+        found, weight = {}, 0.0  # weight: sum of n log2 n over the counts
+        for at in range(self.end - 1, self.start - 1, -1):
+            char, size = self.text[at], self.end - at - 1
+            if char == ":" and size:
+                plain = PLACEHOLDER.fullmatch(self.text, at + 1, self.end) if not counts[":"] else YOURS.match(self.text, at + 1)
+                mixed = [any(counts[c] for c in some) for some in (ascii_lowercase, ascii_uppercase, digits)]
+                few = size < LEAST_VALUE or plain or not mixed[2]
+                found[at + 1] = 0.0 if few else shape_score(math.log2(size) - weight / size, sum(mixed))
+            n = counts[char] = counts[char] + 1
+            weight += n * math.log2(n) - ((n - 1) * math.log2(n - 1) if n > 1 else 0.0)
+        return found
 
 
 def name_score(name: str) -> float:
@@ -149,6 +190,10 @@ def name_score(name: str) -> float:
     return best * (0.3 if parts and ABOUT.intersection(parts[-1:] + parts[:1]) else 1.0)
 
 
+def shape_score(bits: float, mixed: int) -> float:
+    return min(1.0, min(1.0, bits / 3.5) * (0.7 + 0.15 * mixed))
+
+
 def value_score(value: str, quoted: bool) -> float:
     """0 for placeholders and short or spaced words, towards 1 for long values of many different characters."""
     if len(value) < LEAST_VALUE or PLACEHOLDER.fullmatch(value):
@@ -156,26 +201,30 @@ def value_score(value: str, quoted: bool) -> float:
     counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     mixed = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value))))
-    score = min(1.0, bits / 3.5) * (0.7 + 0.15 * mixed)
+    score = shape_score(bits, mixed)
     if not quoted and not re.search("[0-9]", value):
         return 0.0  # a bare word is prose, a type or another name
-    return min(1.0, score) * (0.4 if re.search(r"\s", value) else 1.0)
+    return score * (0.4 if re.search(r"\s", value) else 1.0)
 
 
 def assigned_spans(text: str) -> Iterator[Span]:
     """Literals that are assigned to secret names, directly or through constants."""
     constants: dict[str, Literal] = {}
     last, done = -2, 0
+    bare: Bare | None = None
     for operator in OPERATOR.finditer(text):
         at = operator.start()
         if at < done:
-            continue  # inside a bare literal or a chain of strings: no text is read again and again
+            continue  # inside a chain of strings: no text is read again and again
         if at == last + 1 or text[at + 1 : at + 2] == "=" and text[at] == "=":
             last = at  # the second half of := or ==
             if text[at - 1 : at + 1] != ":=":
                 continue
         last = at
-        names = targets(text, at - 1 if text[at - 1 : at + 1] == ":=" else at)
+        # an = that pads a value is none of the value's name, but may still stand after a name of its own
+        padding = bare is not None and bare.start < at < bare.end and text[at] == "=" and value_score(
+            text[bare.start : bare.end], False) > 0
+        names, kept = targets(text, at - 1 if text[at - 1 : at + 1] == ":=" else at, not padding)
         if not names:
             continue
         begin = at + 1
@@ -183,14 +232,24 @@ def assigned_spans(text: str) -> Iterator[Span]:
             begin += 1
         reference = REFERENCE.match(text, begin)
         reached = constants.get(reference[1]) if reference else None
-        literal = reached or literal_after(text, begin)
-        if not literal or not literal.value:
+        literal = reached
+        quoted = None if reached else QUOTED.match(text, begin)
+        if quoted:
+            literal = joined_strings(text, quoted)
+        elif not reached:
+            # what follows a : inside a bare stretch ends with the stretch, which is not read again
+            if not bare or not bare.start < begin < bare.end:
+                found = BARE.match(text, begin)
+                bare = Bare(text, begin, found.end()) if found else None
+            literal = bare.literal(begin) if bare else None
+        if not literal:
             continue
-        if not reached and (literal.parts > 1 or not literal.quoted):
+        if not reached and literal.parts > 1:
             done = literal.end
         for name in names:
-            constants[name] = literal
-            score = name_score(name) * value_score(literal.value, literal.quoted)
+            if name in kept:
+                constants[name] = literal
+            score = name_score(name) * literal.score
             if score >= THRESHOLD:
                 start, end = literal.start, literal.end
                 yield Span(start, 4 if reached else 3, end, start, end, round(score, 6))

@@ -94,3 +94,30 @@ def test_linear_time_on_hostile_texts():
 
 def test_empty_table(docs_of):
     assert secret_scan.spans(docs_of([])).count() == 0
+
+
+def test_pairs_inside_bare_literals_are_read():
+    value = "Zx8kQ2mN7pL4"
+    for text in ("Note: DB_PWD={}", "Note: DB_PWD = {}", "Note: DB_PWD= {}", "log: db_pwd:{}", "https://h.io/v1?access_key={}",
+                 "see: https://h.io/v1?access_key={}&page=2", "url=https://h.io/v1?page=1&client_auth={}"):
+        assert values(text.format(value)) == [("literal", value)], text
+    assert values(f'Note: DB_PWD="{value}"') == [("literal", f'"{value}"')]
+    assert values(f"Note: K={value}\npwd = K\n") == [("const", value)]
+    # padding stays with its value, what follows it is not another value, and a type is no constant
+    assert values(f"pwd: {value}== and b1b2b3b4c5") == [("literal", value + "==")]
+    assert values(f"pwd: {value}= foo99barX7") == [("literal", value + "=")]
+    assert values("name: str = 'a1b2c3d4e5'\npwd: str\n") == []
+
+
+def test_scores_inside_bare_literals_equal_those_of_the_values():
+    rng = random.Random(5)
+    for _ in range(2000):
+        run = "".join(rng.choice("ab1Z:9your_-x") for _ in range(rng.randrange(1, 40)))
+        for at, score in secret_scan.Bare(run, 0, len(run)).inner_scores().items():
+            assert abs(score - secret_scan.value_score(run[at:], False)) < 1e-9, (run, at)
+
+
+def test_linear_time_on_nested_pairs():
+    for text in ("pwd:" * 50_000, "pwd:a1=" * 30_000, "x: " + "pwd:your_1" * 20_000, 'a:b="c:d=' * 30_000,
+                 "K:" + "ab12" * 10_000 + "\n" + "pwd=K\n" * 20_000):
+        secret_scan.find(text)
