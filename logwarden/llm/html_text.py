@@ -4,8 +4,14 @@ Each page is read into elements and blocks of text. Containers are scored by the
 outside links that lies in them, nearest container first. A page votes, with its best
 container's score, for that container's generalised path: tags and classes from the root
 on, without digits. Spark sums up the votes per host (combined before the shuffle) and keeps
-each host's winner. Then every page is read again, and the element with the winning path is its
-article; a page on which that path holds little text, or is missing, uses its own best container.
+each host's winner. Then every page is read again, and the elements with the winning path are its
+article; a page on which that path holds little text, or less than nearly all of the text in the
+page's own best container that it lies in, or is missing, uses its own best container.
+
+Text may be dealt over containers. Where no article is marked, the best container gives way to
+the one around it while the rest of that holds more text outside links than inside (for the body, and
+what is around it: half as much text as the container), and containers with the same path that hold more text
+outside links than inside are taken together.
 
 Elements that never belong to an article (menus, forms, scripts, adverts, reader
 comments and the like, by tag, role or class) are left out wherever they stand. One that
@@ -59,8 +65,10 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HOST = re.compile(r"\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 #: An element left out by its class is kept if it holds so much of the page's text; a host's path is used on a page
-#: if it scores at least so much of what the page's own best container does.
-MOST, ENOUGH = 0.6, 0.3
+#: if it scores at least so much of what the page's own best container does, and, where it lies in that, holds so much of
+#: its text; a page's body is its article if its rest holds so much of what the best container does.
+MOST, ENOUGH, NEARLY, REST = 0.6, 0.3, 0.95, 0.5
+ROOTS = frozenset(("#", "html", "body"))
 
 
 class Page:
@@ -69,7 +77,11 @@ class Page:
     def __init__(self, html: str) -> None:
         self.parent, self.tag, self.label, self.out = [-1], ["#"], ["#"], [""]
         self.blocks: list[tuple[int, str, int]] = []
+        self.kind = [0]  # equal for elements of equal paths
+        self.kinds: dict[tuple[int, str], int] = {}
         self.scores: dict[int, float] = {}
+        self.plain: dict[int, int] = {}  # characters outside links, and in them, of containers
+        self.linked: dict[int, int] = {}
         self.read(html)
         self.keep_large()
         self.score()
@@ -157,6 +169,7 @@ class Page:
         self.parent.append(parent)
         self.tag.append(name)
         self.label.append(".".join([name, *classes]))
+        self.kind.append(self.kinds.setdefault((self.kind[parent], self.label[-1]), len(self.kinds) + 1))
         self.out.append(out)
         return len(self.tag) - 1
 
@@ -200,6 +213,7 @@ class Page:
                     seen[1] += linked
                     share += 1
         for e, (n, linked) in chars.items():
+            self.plain[e], self.linked[e] = n - linked, linked
             words = {w.lower() for w in WORDS.findall(self.label[e])}
             factor = 1.5 if self.tag[e] in ARTICLES else 1.25 if words & GOOD_WORDS else 1.0
             self.scores[e] *= factor * (1 - linked / n)
@@ -214,16 +228,53 @@ class Page:
     def path(self, element: int) -> str:
         return ">".join(self.label[e] for e in reversed(list(self.line(element))))
 
-    def with_path(self, path: str) -> int | None:
-        """The best-scored container with this path, if it holds enough of the page."""
+    def main(self) -> list[int]:
+        """The best container, climbed to what holds the text beside it, and those like it."""
+        best = self.best()
+        if self.tag[best] in ARTICLES or not self.scores:
+            return [best]
+        marked = {p for e in self.scores if self.tag[e] in ARTICLES for p in self.line(e)}
+        top = below = best
+        for e in self.line(self.parent[best]):
+            if e in marked:
+                break
+            if e not in self.scores:
+                continue
+            if self.tag[e] in ROOTS:
+                climb = self.plain[e] - self.plain[top] >= REST * self.plain[top]
+            else:
+                climb = self.plain[e] - self.plain[below] > self.linked[e] - self.linked[below]
+            below = e
+            top = e if climb else top
+        return self.alike(top)
+
+    def alike(self, element: int) -> list[int]:
+        """The container and those with its path that are no lists of links; an article stands alone."""
+        if self.tag[element] in ARTICLES:
+            return [element]
+        return [e for e in self.scores if e == element or self.kind[e] == self.kind[element] and self.plain[e] > self.linked[e]]
+
+    def with_path(self, path: str, own: list[int]) -> list[int] | None:
+        """The containers with this path, if they hold enough of the page, of which ``own`` is the main part."""
         last = path.rsplit(">", 1)[-1]
-        found = [e for e in self.scores if self.label[e] == last and self.path(e) == path]
-        top = max(found, key=lambda e: (self.scores[e], -e), default=None)
-        own = self.best()
-        return top if top is not None and self.scores[top] >= ENOUGH * self.scores.get(own, 0.0) else None
+        first = {self.kind[e]: e for e in self.scores if self.label[e] == last}
+        kind = next((k for k, e in first.items() if self.path(e) == path), None)
+        same = [e for e in self.scores if self.kind[e] == kind]
+        if not same:
+            return None
+        top = max(same, key=lambda e: (self.scores[e], -e))
+        found = self.alike(top)
+        if self.scores[top] < ENOUGH * self.scores.get(self.best(), 0.0):
+            return None
+        mine, inner = set(own), set(found)
+        if mine != inner and any(e in mine for f in found for e in self.line(f)):
+            held = sum(self.plain[f] for f in found)
+            around = sum(self.plain[e] for e in own if not any(p in inner for p in self.line(e)))
+            return found if held >= NEARLY * around else None
+        return found
 
-    def text(self, container: int) -> str:
-        inside = {container: True, -1: False}
+    def text(self, containers: list[int]) -> str:
+        inside = {-1: False} | dict.fromkeys(containers, True)
 
         def is_inside(element: int) -> bool:
             way = []
@@ -244,8 +295,8 @@ def host_of(url: str | None) -> str:
 
 def extract(html: str, path: str | None = None) -> str:
     page = Page(html)
-    container = page.with_path(path) if path else None
-    return page.text(page.best() if container is None else container)
+    own = page.main()
+    return page.text(page.with_path(path, own) or own if path else own)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -258,8 +309,8 @@ def votes(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 if host and html:
                     page = Page(html)
-                    best = page.best()
-                    rows.append((host, page.path(best), page.scores.get(best, 0.0)))
+                    own = page.main()
+                    rows.append((host, page.path(own[0]), sum(page.scores.get(e, 0.0) for e in own)))
             hosts, paths, scores = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())],

@@ -86,3 +86,21 @@ def test_edge_pages(spark):
 def test_a_class_does_not_hide_most_of_a_page():
     assert extract(f"<body><div class='comment page'><p>{'all of the text ' * 9}</p></div><p>x</p></body>").startswith("all of")
     assert extract("<body><div class=ad>a long advert, longer than the article</div><article>short</article>") == "short"
+
+
+def test_text_dealt_over_containers_is_whole(spark):
+    a, b, c = "first part of it. " * 60, "second part. " * 20, "third one. " * 10
+    whole = "\n".join(" ".join(t.split()) for t in (a, b, c))
+    menu = "<div class=left><a href=/1>one link of many</a> <a href=/2>another link</a></div>"
+    for page in (f"<div class=page><div class=part>{a}</div><div class=part>{b}</div><div class=part>{c}</div></div>",
+                 f"<div class=page><div class=intro>{a}</div><div class=details>{b}</div><p>{c}</p></div>",
+                 f"<div class=post><section>{a}</section><section>{b}</section><section>{c}</section></div>",
+                 f"<div class=part1>{a}</div>{menu}<div class=part2>{b}</div><div class=part3>{c}</div>"):
+        assert extract(f"<body>{page}</body>") == whole, page
+    equal = "".join(f"<section>{a}</section>" for _ in range(5))
+    one = f"<body><div class=page><section>{a}</section></div></body>"
+    rows = [(k, "http://h/x", one) for k in range(9)] + [(9, "http://h/y", f"<body><div class=page>{equal}</div></body>")]
+    rows += [(10, "http://h/z", f"<body><div class=page><section>{b}</section><div class=end>{a}</div></div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages_of(spark, rows)).collect()}
+    assert got[9] == "\n".join([" ".join(a.split())] * 5) and got[0] == " ".join(a.split())
+    assert got[10] == " ".join(b.split()) + "\n" + " ".join(a.split())
