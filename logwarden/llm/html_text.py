@@ -61,7 +61,8 @@ ENDS = {
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|\Z)", re.I)
+#: A whole attribute: name, and value in quotes or bare.
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HOST = re.compile(r"\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 #: An element left out by its class is kept if it holds so much of the page's text; a host's path is used on a page
@@ -154,7 +155,9 @@ class Page:
         flush()
 
     def element(self, parent: int, name: str, attributes: str) -> int:
-        has = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
+        has: dict[str, str] = {}
+        for k, a, b, c in ATTRIBUTE.findall(attributes):
+            has.setdefault(k.lower(), a or b or c)  # of repeated attributes the first counts
         classes = sorted({c for c in (re.sub(r"\d+", "", c).strip("-_") for c in has.get("class", "").split()) if c})
         words = {w.lower() for w in WORDS.findall(f"{has.get('class', '')} {has.get('id', '')}")} if has else set()
         out = self.out[parent] and "parent"

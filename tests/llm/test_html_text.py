@@ -104,3 +104,12 @@ def test_text_dealt_over_containers_is_whole(spark):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages_of(spark, rows)).collect()}
     assert got[9] == "\n".join([" ".join(a.split())] * 5) and got[0] == " ".join(a.split())
     assert got[10] == " ".join(b.split()) + "\n" + " ".join(a.split())
+
+
+def test_attributes_are_read_whole():
+    for attributes in ('data-hidden="false"', 'title="the hidden cost"', 'style="overflow:hidden !important"', "style=overflow:hidden",
+                       'data-class="menu"', "data-id=footer", 'title="a role=menu b"', 'class=post class=menu'):
+        assert extract(f"<body><div {attributes}>all of the text</div><p>and more</p></body>").startswith("all of the text"), attributes
+    for attributes in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "role = menu", 'title="x"hidden', "data-x=1 hidden"):
+        assert extract(f"<body><div {attributes}>a long text that is not shown</div><p>shown</p></body>") == "shown", attributes
+    assert Page("<div data-class=x class='post 9' id=y>t</div>").label[1] == "div.post"
