@@ -74,6 +74,58 @@ class WordTokenizer:
         return np.frombuffer(b"".join(parts), dtype=np.uint32)
 
 
+#: The byte-level vocabulary's split of texts of ASCII and Latin-1 letters.
+SPACED = re.compile(
+    r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9À-ÖØ-öø-ÿ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+SIMPLE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
+#: A single space always opens a pre-token, so a text may be cut in front of it.
+CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
+class ByteTokenizer(WordTokenizer):
+    """Ids of texts for a byte-level vocabulary that keeps white space (the file ``byte_bpe_50k.json``).
+
+    Texts of ASCII and Latin-1 letters are split into pre-tokens here; parts with other characters go
+    through the whole tokenizer.
+    """
+
+    def word(self, word: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self.words) >= MEMORY:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        known = self.words.get
+        return b"".join([known(w) or self.word(w) for w in SPACED.findall(text)])
+
+    def mixed(self, text: str) -> bytes:
+        return b"".join([
+            self.plain(part) if SIMPLE.fullmatch(part)
+            else array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
+            for part in CUT.split(text)
+        ])
+
+    def ids(self, text: str) -> np.ndarray:
+        """All ids of a text as unsigned 32-bit numbers."""
+        parts, begin = [], 0
+        while begin < len(text):
+            place = CUT.search(text, begin + STRETCH)
+            end = place.start() if place else len(text)
+            part = text[begin:end]
+            parts.append(self.plain(part) if SIMPLE.fullmatch(part) else self.mixed(part))
+            begin = end
+        return np.frombuffer(b"".join(parts), dtype=np.uint32)
+
+
+@lru_cache(maxsize=2)
+def byte_tokenizer(path: str) -> ByteTokenizer:
+    """One tokenizer for each Python worker, with its memory of pre-tokens."""
+    return ByteTokenizer(path)
+
+
 def stretches(text: str) -> Iterator[str]:
     """The text in parts of about ``STRETCH`` characters, cut at spaces."""
     begin = 0
