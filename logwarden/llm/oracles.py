@@ -38,6 +38,38 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from doc left join hit using (r) left join items using (r)
 """
 
+OP12 = rf"""
+with doc as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all({LOWER.format(text="text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), word as (select r, lang, source, unnest(w) as term from doc
+), kept as (select lang, term, count(*) as lang_n from word group by lang, term having count(distinct r) >= 10
+), size as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang
+), cell as (select lang, source, term, count(*) as n from word join kept using (lang, term) group by all
+), grp as (select distinct lang, source from doc
+), total as (select lang, source, sum(n) as total from cell group by all
+), share as (
+  select lang, source, term, coalesce(n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) as p,
+         1 + (1000000000::hugeint * (lang_n + 2)) // (lang_total + 2 * v) as q
+  from grp join kept using (lang) join size using (lang) left join total using (lang, source)
+  left join cell using (lang, source, term)
+), apart as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from share where n > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value,
+       cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from found qualify part = 'pair' or rank <= 10
+"""
+
 
 def draws(names: list[str], weights: list[int]) -> str:
     """The draws of some nodes, as columns."""

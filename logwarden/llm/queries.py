@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logwarden.llm import decontaminate, html_text, licenses, oracles, packing, quality, secret_scan, sharding, simhash, token_counts, token_store, toxicity
+from logwarden.llm import decontaminate, divergence, html_text, licenses, oracles, packing, quality, runs, secret_scan, sharding, simhash, token_counts, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,42 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth go on in a period from some word on, as the CRC of the id decides."""
+    id_crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(id_crc / 10).cast("bigint")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = F.floor((n - a) / (g % 8 + 3)).cast("int") + 1
+        again = F.transform(F.sequence(a, n - 1), lambda i: F.get(w, a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), again), " ")).otherwise("")
+
+    # the one-row array is there so that words are looked for once
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    planted = F.get(F.transform(words, periodic), 0)
+    return docs.select("doc_id", F.when(id_crc % 10 == 0, planted).otherwise(text).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.scan(with_planted_periods(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(table(spark, sf_dir, "documents"))
 
@@ -81,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
+    "op11_runs": op11_runs,
+    "op12_divergence": op12_divergence,
     "op13_token_store": op13_token_store,
 }
 
@@ -88,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op5_sharding": oracles.OP5,
     "op8_quality": oracles.OP8,
     "op9_decontamination": oracles.OP9,
+    "op12_divergence": oracles.OP12,
 }
