@@ -79,13 +79,14 @@ FROM {events}
 # second opinions: some unreadable, some missing, some with a label instead of a summary
 DEEP_REPLIES = """
 SELECT event_id AS batch_id, CASE
+  WHEN event_id % 17 = 0 THEN NULL
   WHEN event_id % 13 = 0 THEN 'garbage{{'
   WHEN event_id % 5 = 0 THEN concat('```json\n{{"severity":"high","confidence":0.9,',
        '"threat_type":"multi-stage","recommended_action":"block_ip",',
        '"action_details":{{"ip":"10.9.9.9","ips":["10.9.9.9","10.9.9.8"]}}}}\n```')
   ELSE '{{"severity":"critical","summary":"reviewed","recommended_action":"sing"}}'
   END AS deep_reply
-FROM {events} WHERE event_id % 17 <> 0
+FROM {events}
 """
 
 

@@ -1,8 +1,8 @@
 """Lines -> typed log entries, with everything that does not parse kept aside.
 
 Input of every function: ``source_label STRING, raw_line STRING`` and ``seq BIGINT``,
-a total order, which ``sources.files.read_lines`` gives to text files. Lines of a stream
-have no ``seq``; they are put in time order.
+a total order, which ``sources.files.read_lines`` gives to text files. Lines without a ``seq``
+(those of a stream, or a null) are put in time order.
 """
 
 from __future__ import annotations
@@ -100,8 +100,7 @@ def parse_syslog(lines: DataFrame, options: IngestOptions = IngestOptions()) ->
 
 
 def _parsed(lines: DataFrame, fmt: LineFormat) -> DataFrame:
-    entries = _flatten(_tagged(lines, fmt).where(_reason().isNull()))
-    return entries if "seq" in lines.columns else in_time_order(entries)
+    return in_time_order(_flatten(_tagged(lines, fmt).where(_reason().isNull())))
 
 
 def quarantine(lines: DataFrame, fmt: str, options: IngestOptions = IngestOptions()) -> DataFrame:
@@ -162,7 +161,8 @@ def route(
         .when(~F.col("format").isin(*formats), "unknown_format")
         .otherwise(_reason())
     )
-    return _flatten(
+    # lines without a number get one in time order, as nothing may be lost or unordered later on
+    return in_time_order(_flatten(
         computed_once(grouped, PARSED, entry).withColumn("reason", reason),
         "format", "tags", "reason",
-    )
+    ))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.landing import land
 
+
 def slice_of(order: Column, width: int) -> Column:
     """Floor division that also holds for negative numbers."""
     return F.call_function("div", order - F.pmod(order, F.lit(width)), F.lit(width))
@@ -33,17 +34,15 @@ def running_rank(
     group is many ranges. Rows equal in all of these are told apart by a hash of the row, so
     that they too can be split; only rows equal in every column stay together. Rows are
     numbered within their range and landed, so the ranges stay as they are; the sizes
-    of the ranges, summed up in order, give each its start. Rows with a null in ``by`` or
-    ``order`` are left out. ``df`` is read twice (sample, then rows): land it first when
+    of the ranges, summed up in order, give each its start. No row is left out: nulls in ``by`` are
+    a group, and rows with a null in ``order`` come last in theirs. ``df`` is read twice (sample, then rows): land it first when
     it is costly.
     """
     by = list(by)
-    for key in [*by, order]:
-        df = df.where(F.col(key).isNotNull())
     hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    keys = [*by, order, *ties, "_tie"]
+    keys = [*by, "_last", order, *ties, "_tie"]
     ranged = (
-        df.withColumn("_tie", F.xxhash64(*hashed))
+        df.withColumns({"_tie": F.xxhash64(*hashed), "_last": F.col(order).isNull()})
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumns({
@@ -51,18 +50,22 @@ def running_rank(
             "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
         })
     )
-    placed = land(ranged.drop("_tie"), "ranked")
+    placed = land(ranged.drop("_tie", "_last"), "ranked")
     sizes = placed.groupBy(*by, "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low")
     )
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        *by, "_part", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_part").alias("_of"), "_low",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
     )
+    same = F.col("_part") == F.col("_of")
+    for k, c in enumerate(by):
+        same = same & placed[c].eqNullSafe(starts[f"_by{k}"])
     return (
-        placed.join(starts, [*by, "_part"])
+        placed.join(starts, same)
         .withColumn(name, F.col("_start") + F.col("_i") - F.col("_low") + 1)
-        .drop("_part", "_i", "_low", "_start")
+        .drop("_part", "_i", "_low", "_start", "_of", *[f"_by{k}" for k in range(len(by))])
     )
 
 

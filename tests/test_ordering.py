@@ -65,3 +65,10 @@ def test_halo_frames_equal_whole_frames(skewed):
         "s", F.sum("id").over(frame("g", "_slice"))).where("_home")
     assert got.join(want, "id").where("s <> w").count() == 0
     assert got.count() == skewed.count()
+
+
+def test_nulls_are_ranked_too(spark):
+    rows = [("a", 3), ("a", None), (None, 2), (None, 1), ("a", 1), (None, None)]
+    got = running_rank(spark.createDataFrame(rows, "g string, seq bigint"), "seq", ["g"])
+    assert sorted(((r.g, r.seq, r["rank"]) for r in got.collect()), key=str) == sorted(
+        [("a", 1, 1), ("a", 3, 2), ("a", None, 3), (None, 1, 1), (None, 2, 2), (None, None, 3)], key=str)

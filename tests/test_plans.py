@@ -39,6 +39,20 @@ def test_all_formats_reach_the_detection_and_the_rest_is_kept_aside(spark):
     assert {r.rule for r in response.alerts.collect()} == {"sqli"}
 
 
+@pytest.mark.parametrize("numbers", ["none", "some"])
+def test_lines_without_numbers_are_scored(spark, numbers):
+    """Streams give no ``seq``; every line still reaches a batch, and the scorer."""
+    config = {"sources": [{"name": "web", "path": "/w", "format": "nginx"}]}
+    lines = lines_of(spark, *[WEB % (k, k, "GET", f"/p{k}", 200) for k in range(20)], label="web")
+    seq = F.when(F.col("seq") < 3, F.col("seq")) if numbers == "some" else None
+    lines = lines.drop("seq") if seq is None else lines.withColumn("seq", seq)
+    options = Options(mask=MaskOptions(salt="s")).overlay({"batch": {"interval_seconds": 3600}})
+    taken = detection.ingest_all(lines, registry.load_sources(spark, config), options)
+    assert taken.entries.where("seq is null").count() == 0
+    judged = detection.score_open(taken.entries, reply(), None, options)
+    assert judged.count() == 4 and judged.agg(F.sum("n_rows")).first()[0] == 20
+
+
 @pytest.mark.parametrize("fields, commands", [
     ({"recommended_action": "block_path", "action_details": {"paths": ["/p1", "/p2", "/p1"]}},
      {"location /p1 { deny all; }", "location /p2 { deny all; }"}),
