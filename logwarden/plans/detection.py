@@ -99,9 +99,28 @@ def respond_to(
     Runs the detection once and lands its (scope, actor) table. ``assessments`` come from
     ``score_open``; they and the findings are one table from here on.
     """
-    scope = tuple(scope)
     # the one pass over the input; what follows reads its small result several times
-    actors = land(rules.profile(entries_, scope, options.rules), "actors")
+    actors = land(rules.profile(entries_, tuple(scope), options.rules), "actors")
+    return respond_from(actors, created_at, options, dictionary, scope=scope,
+                        assessments=assessments, entries_=entries_)
+
+
+def respond_from(
+    actors: DataFrame,
+    created_at: Column,
+    options: Options = Options(),
+    dictionary: DataFrame | None = None,
+    *,
+    scope: Sequence[str] = SCOPE,
+    assessments: DataFrame | None = None,
+    entries_: DataFrame | None = None,
+    raised: DataFrame | None = None,
+) -> Response:
+    """The response out of the (scope, actor) table of ``rules.profile``, which is read several times.
+
+    Alerts whose ids are in ``raised`` are left out. Only ``actor_scope="scope"`` needs the entries.
+    """
+    scope = tuple(scope)
     found = rules.findings_of(actors, scope, options.rules).withColumn(
         "indicators", F.array("indicator")).drop("indicator")
     key = ("rule", *scope, "actor")
@@ -111,8 +130,13 @@ def respond_to(
         judged = judged.withColumns({
             c: F.col(c).cast(found.schema[c].dataType) for c in scope if c not in assessments.columns})
         everything = found.unionByName(judged, allowMissingColumns=True)
-    alerts = land(respond.raise_alerts(everything, key, created_at, options.alerts), "alerts")
+    fresh = respond.raise_alerts(everything, key, created_at, options.alerts)
+    if raised is not None:
+        fresh = fresh.join(raised.select("alert_id"), "alert_id", "left_anti")
+    alerts = land(fresh, "alerts")
     if options.rules.actor_scope == "scope":
+        if entries_ is None:
+            raise ValueError("lists of all actors of a scope need its entries")
         named = rules.finding_actors(actors, scope, options.rules).where(
             F.col("actor").isNotNull()
         ).unionByName(rules.scope_actors(entries_, found, scope))
