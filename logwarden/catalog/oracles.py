@@ -755,3 +755,19 @@ SELECT a.alert_id, CASE WHEN a.status = 'approved' THEN CASE WHEN l.good THEN 'e
   ELSE a.status END AS status FROM ({ORACLES["apply_decisions"]}) a
 JOIN (SELECT alert_id, bool_and(step IS NULL OR step % 5 <> 0) AS good
   FROM ({ORACLES["execution_dry_run"]}) GROUP BY 1) l USING (alert_id)""")
+
+# --- live ------------------------------------------------------------------------------
+
+# row rules are one alert per window and source, actor rules one per actor
+oracle("stream_alerts", "", f"""
+SELECT window_start, source_label, rule, actor, severity,
+  CASE WHEN severity = 'medium' THEN 'approved' ELSE 'pending' END AS status, channel,
+  CASE channel WHEN 'dead' THEN 'dead' ELSE 'sent' END AS state,
+  CAST(CASE channel WHEN 'dead' THEN 0 ELSE 1 END AS BIGINT) AS n_sent
+FROM (SELECT DISTINCT window_start, source_label, rule, severity,
+        CASE WHEN rule IN ('bruteforce', 'path_fuzz') THEN actor END AS actor
+      FROM ({ORACLES["stream_detect"]})),
+  (SELECT unnest(['chat', 'flaky', 'dead']) AS channel)""")
+oracle("stream_approvals", "", f"""
+SELECT alert_id, d.status FROM ({ORACLES["apply_decisions"]}) d
+JOIN (SELECT alert_id FROM ({ORACLES["hitl_gate"]}) WHERE status = 'pending') USING (alert_id)""")

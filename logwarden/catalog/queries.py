@@ -13,7 +13,7 @@ from ..options import BatchOptions, MaskOptions, Options, ResponseOptions
 from ..plans import detection as P
 from ..sources import files, registry, tail
 from ..sources.landing import fresh_folder, land
-from ..streaming import detect, stateful
+from ..streaming import detect, live, stateful
 from . import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -786,3 +786,59 @@ def context_consume(spark, sf_dir):
     found = stateful.context_consume(tries, context_rows=30, threshold=3)
     return detect.run_once(spark, found, ["source_label", "shard", "actor", "last_seq"],
                            "context")
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """Alerts raised and delivered live, in several micro-batches with a restart, one channel failing at first
+    and one for good: how often each channel got each alert."""
+    stateful.use_rocksdb(spark)
+    events, folder = fresh_folder(spark, "events"), fresh_folder(spark, "live")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(4, "ts").write.parquet(events)
+    source = spark.readStream.schema(spark.read.parquet(events).schema).option("maxFilesPerTrigger", 2)
+    options = OPTIONS.overlay({"rules": {"brute_force_threshold": 2, "path_fuzz_threshold": 2}})
+    calls = {"flaky": 0}
+
+    def into(name: str, fails: Callable[[], bool] = lambda: False):
+        def send(texts: DataFrame) -> None:
+            if fails():
+                raise ConnectionError(name)
+            texts.write.mode("append").parquet(f"{folder}/got/{name}")
+
+        return live.Channel(send)
+
+    def at_first() -> bool:
+        calls["flaky"] += 1
+        return calls["flaky"] < 3
+
+    channels = {"chat": into("chat"), "flaky": into("flaky", at_first), "dead": into("dead", lambda: True)}
+    for _ in range(2):  # the second run is a restart from what the first one left
+        pipeline = live.LiveAlerts(spark, folder, channels, options, lambda: F.col("window.end"), horizon="90 days")
+        lines = D.access_lines_of(spark, source.parquet(events))
+        pipeline.start(lines, "1 day", "60 days", once=True).awaitTermination()
+    pipeline.drain()
+    got = spark.read.parquet(*[f"{folder}/got/{name}" for name in ("chat", "flaky")])
+    sent = got.groupBy("alert_id", "channel").agg(F.count_if(F.col("part") == 0).alias("n_sent"))
+    return pipeline.alerts().join(pipeline.outbox.read().select("alert_id", "channel", "state"), "alert_id").join(
+        sent, ["alert_id", "channel"], "left").select(
+        F.unix_seconds("window.start").alias("window_start"), "source_label", "rule", "actor", "severity", "status",
+        "channel", "state", F.coalesce("n_sent", F.lit(0).cast("bigint")).alias("n_sent"))
+
+
+@query
+def stream_approvals(spark, sf_dir):
+    """Status of the alerts a person must judge, from keyed state with timers: as ``apply_decisions``."""
+    stateful.use_rocksdb(spark)
+    alerts = land(_response(spark, sf_dir).alerts.where("status = 'pending'"), "asked")
+    asked = alerts.select("alert_id", F.lit("alert").alias("kind"), F.col("created_at").alias("at"))
+    said = D.decisions(alerts).select("alert_id", F.col("decision").alias("kind"), F.col("decided_at").alias("at"))
+    # the clock goes on after the last decision: timers fire
+    tick = spark.range(1).select(F.lit("").alias("alert_id"), F.lit("tick").alias("kind"),
+                                 F.timestamp_seconds(F.lit(AS_OF + 3600)).alias("at"))
+    folder = fresh_folder(spark, "events")
+    asked.unionByName(said).unionByName(tick).write.parquet(folder)
+    events = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    states = stateful.stream_approvals(events, OPTIONS.response.timeout_seconds)
+    seen = detect.run_once(spark, states, ["alert_id", "status"], "approvals")
+    last = seen.groupBy("alert_id").agg(F.max_by("status", F.struct("at_ms", F.col("status") != "pending")).alias("status"))
+    return last.select("alert_id", "status")

@@ -105,14 +105,17 @@ class LiveAlerts:
             table = self.counts(batch.schema)
             table.put(batch, number)
             touched = table.changed().select(*detect.SCOPE).distinct()
-            paths = table.read().join(touched, list(detect.SCOPE), "left_semi")
-            self._raise(land(detect.window_counts(paths, self.options), "actors"), number)
+            if not touched.isEmpty():
+                paths = table.read().join(touched, list(detect.SCOPE), "left_semi")
+                self._raise(land(detect.window_counts(paths, self.options), "actors"), number)
         self.deliver()
 
     def _raise(self, actors: DataFrame, number: int) -> None:
         response = respond_from(
             actors, self.created_at(), self.options, scope=detect.SCOPE, raised=self.outbox.read())
         alerts = land(response.alerts, "raised")
+        if alerts.isEmpty():
+            return
         alerts.write.mode("overwrite").parquet(f"{self.folder}/alerts/raised_in={number}")
         response.rules.write.mode("overwrite").parquet(f"{self.folder}/rules/raised_in={number}")
         lines = None
@@ -131,6 +134,8 @@ class LiveAlerts:
         # messages of a channel that is no longer configured keep waiting
         waiting = self.outbox.read().where(
             F.col("state").isin(PENDING, SENDING) & F.col("channel").isin(*self.channels))
+        if waiting.isEmpty():
+            return {}
         asked = land(self._asked(waiting), "due")
         due, arrived = asked.where(F.col("state") != SENT), asked.where(F.col("state") == SENT)
         names = sorted(r["channel"] for r in due.select("channel").distinct().collect())
