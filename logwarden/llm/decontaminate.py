@@ -2,34 +2,36 @@
 
 Every task turns its documents into blocks of words and sorts all suffixes of a block
 by their words (a suffix array). All suffixes of the benchmark's items are then looked
-up at once by binary search, one word deeper per step, which gives for each the longest
-verbatim match in the block, how often it occurs and where. Each item's windows are
-found on the way: after as many words as the window has, a suffix's range in the array
-is the list of all places of the window.
+up at once by binary search, one word deeper per step. A suffix's range in the array
+shrinks with every step, and the places that fall out of it have their longest verbatim match
+there. Matches of a window or more are kept: per document and item the longest one, with where
+it begins in both, and the words that windows cover.
 
 The benchmark is the query set: it is read in parts of bounded size, one broadcast for
-each, and every part meets every block: the parts form a chain of passes within one
-stage. Nothing is shuffled.
+each. A task meets all parts with a block before it goes on to the next, so a block's suffix
+array is made once. Nothing is shuffled.
 
 Words are compared by 64-bit hashes; every benchmark word found in a block is
 compared as text once more.
 
 Defined cases: null and empty texts have no words and are clean. An item without words
 has no window; one of fewer than ``window`` words is one window. A null item_id is
-named ``null``. Repeated rows are judged one by one. Other columns are ignored by
-``overlaps`` and kept by ``decontaminate``.
+named ``null``. Repeated rows are judged one by one. Of equally long matches the
+first in the document is named, then the first in the item. Other columns are ignored by
+``overlaps`` and kept by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
-from logwarden.llm.rows import flat_utf8
+from logwarden.llm.rows import flat_utf8, spare
 from logwarden.llm.words import word_hashes, word_spans
 
 WINDOW = 13
@@ -39,25 +41,33 @@ PART_WORDS = 1_000_000
 #: One hit word in so many makes a document contaminated.
 SHARE = 20
 
-#: Working columns beside those of the documents.
-TEXT, COUNT, SPANS_OF, ITEMS_OF, HIT = "__text", "__n_words", "__spans", "__items", "__n_hit"
-SPANS, ITEMS = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
+#: Matches that are spread to their places at a time.
+GROUP = 1_000_000
+
+SPANS = "array<struct<begin:bigint,end:bigint>>"
+MATCHES = "array<struct<item:string,length:bigint,begin:bigint,item_begin:bigint>>"
+SPAN_TYPE = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+MATCH_TYPE = pa.list_(pa.struct([
+    ("item", pa.string()), ("length", pa.int64()), ("begin", pa.int64()), ("item_begin", pa.int64())]))
 
 
 class Queries:
     """A part of the benchmark: words of all items, numbered and end to end."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.names = [name for name, _ in items]
+        self.names = sorted({name for name, _ in items})
         data, offsets = flat_utf8(pa.array([text for _, text in items], pa.large_string()))
         starts, ends = word_spans(data, offsets)
         self.vocabulary, first, self.words = np.unique(
             word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.spelled = [bytes(data[starts[k] : ends[k]]).lower() for k in first]
-        self.item = np.searchsorted(offsets, starts, "right") - 1
-        self.end = np.searchsorted(self.item, self.item, "right")  # where each suffix's item ends
-        length = self.end - np.searchsorted(self.item, self.item)
-        place = self.end - np.arange(len(self.item))
+        item = np.searchsorted(offsets, starts, "right") - 1
+        number = {name: k for k, name in enumerate(self.names)}
+        self.name = np.array([number[name] for name, _ in items], np.int64)[item]
+        self.begin = np.searchsorted(item, item)  # where each suffix's item begins and ends
+        self.end = np.searchsorted(item, item, "right")
+        length = self.end - self.begin
+        place = self.end - np.arange(len(item))
         self.need = np.where(place >= window, window, np.where(place == length, length, 0))  # 0: begins no window
         self.longest = int(length.max(initial=0))
 
@@ -158,30 +168,40 @@ class Block:
                 number[k] = at[k] + 1
         return number[queries.words]
 
+    def sort(self, depth: int) -> None:
+        if self.array is None:
+            self.array = suffix_array(self.words, depth)
+
     def search(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per query suffix: words of its longest match and a place of it; range of slots of its window (or none)."""
+        """Longest matches of at least a window: suffix, first and last slot (exclusive), words that match."""
         n = len(queries)
-        if self.array is None:
-            self.array = suffix_array(self.words, queries.longest)
+        self.sort(queries.longest)
         number = self.numbers(queries)
         low, high = np.zeros(n, np.int64), np.full(n, len(self.array), np.int64)
-        longest, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
         alive = np.arange(n) if len(self.array) else np.zeros(0, np.int64)
+        found = [(alive[:0],) * 4]
         depth = 0
+
+        def done(suffix: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+            use = (queries.need[suffix] > 0) & (queries.need[suffix] <= depth) & (first < last)
+            if use.any():
+                found.append((suffix[use], first[use], last[use], np.full(use.sum(), depth)))
+
         while len(alive):
-            alive = alive[(alive + depth < queries.end[alive])]
-            alive = alive[number[alive + depth] > 0]
+            goes_on = alive + depth < queries.end[alive]
+            goes_on[goes_on] = number[alive[goes_on] + depth] > 0
+            done(alive[~goes_on], low[alive[~goes_on]], high[alive[~goes_on]])
+            alive = alive[goes_on]
             target = number[alive + depth]
             a = bisect(self.words, self.array, depth, low[alive], high[alive], target, False)
             b = bisect(self.words, self.array, depth, a, high[alive], target, True)
-            alive, a, b = alive[a < b], a[a < b], b[a < b]
+            # what falls out of the range matches no further
+            done(alive, low[alive], a)
+            done(alive, b, high[alive])
             low[alive], high[alive] = a, b
+            alive = alive[a < b]
             depth += 1
-            longest[alive], place[alive] = depth, self.array[a] if len(alive) else a
-            whole = alive[queries.need[alive] == depth]
-            first[whole], last[whole] = low[whole], high[whole]
-        return longest, place, first, last
+        return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,28 +211,31 @@ def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
 
 
-def hits(block: Block, queries: Queries) -> tuple[np.ndarray, list[list[str]]]:
-    """Which words of a block are hit, and per document the items that hit it."""
-    _, _, first, last = block.search(queries)
-    found = np.flatnonzero(first < last)
+def longest_matches(block: Block, queries: Queries) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which words windows cover, and per (document, item) the longest match: document, name, length, place, suffix."""
+    suffix, first, last, length = block.search(queries)
     covered = np.zeros(len(block.words) + 1, np.int64)
-    pairs = np.zeros(0, np.int64)
-    # equal windows have equal ranges and lengths: their places are listed once
-    kinds, kind = np.unique(
-        np.stack([first[found], last[found], queries.need[found]], axis=1), axis=0, return_inverse=True)
-    if len(kinds):
-        slots, owner = spread(kinds[:, 0], kinds[:, 1])
-        places = block.array[slots]
-        covered += np.bincount(places, minlength=len(covered))
-        covered -= np.bincount(places + kinds[owner, 2], minlength=len(covered))
-        pairs = np.unique(block.doc[places] * len(kinds) + owner)
-    items_of: list[set[str]] = [set() for _ in kinds]
-    for k, suffix in zip(kind.reshape(-1), found):
-        items_of[k].add(queries.names[queries.item[suffix]])
-    items: list[set[str]] = [set() for _ in block.counts]
-    for pair in pairs.tolist():
-        items[pair // len(kinds)] |= items_of[pair % len(kinds)]
-    return np.cumsum(covered[:-1]) > 0, [sorted(x) for x in items]
+    best = [(suffix[:0],) * 5]
+    sizes = np.cumsum(last - first)
+    at = 0
+    while at < len(suffix):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP, "right")))
+        slots, owner = spread(first[at:stop], last[at:stop])
+        place, owner = block.array[slots], owner + at
+        covered += np.bincount(place, minlength=len(covered))
+        covered -= np.bincount(place + queries.need[suffix[owner]], minlength=len(covered))
+        best.append(first_of_each(block.doc[place], queries.name[suffix[owner]], length[owner], place, suffix[owner]))
+        at = stop
+    return np.cumsum(covered[:-1]) > 0, first_of_each(*(np.concatenate(c) for c in zip(*best)))
+
+
+def first_of_each(doc: np.ndarray, name: np.ndarray, length: np.ndarray, place: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per (document, name) the longest match, then the first in the document, then the first in the benchmark."""
+    order = np.lexsort((suffix, place, -length, name, doc))
+    rows = [c[order] for c in (doc, name, length, place, suffix)]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    return tuple(c[new] for c in rows)
 
 
 def cuts(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -224,79 +247,93 @@ def cuts(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def spans_of(marked: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> list[list[list[int]]]:
-    """Per document the hit stretches of words, as [begin, end)."""
-    base = np.cumsum(counts + 1) - counts - 1
+def spans_of(marked: np.ndarray, doc: np.ndarray, base: np.ndarray) -> list[list[dict]]:
+    """Per document the stretches of words that windows cover."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8)))
-    spans: list[list[list[int]]] = [[] for _ in counts]
+    spans: list[list[dict]] = [[] for _ in base]
     for a, b in edges.reshape(-1, 2).tolist():
         d = doc[a]
-        spans[d].append([a - int(base[d]), b - int(base[d])])
+        spans[d].append({"begin": a - int(base[d]), "end": b - int(base[d])})
     return spans
 
 
-def scan(docs: DataFrame, part: Broadcast, block_bytes: int, text: str, spans: str, items: str) -> DataFrame:
-    """``docs`` with the hit stretches and items that one part of the benchmark adds to those it has."""
-    names = docs.columns
+def against_all(block: Block, parts: list[Queries]) -> tuple[np.ndarray, list[list[dict]], list[list[dict]]]:
+    """Per document of a block: words hit, the stretches they are in, and the longest match of every item."""
+    block.sort(max(p.longest for p in parts))
+    base = np.cumsum(block.counts + 1) - block.counts - 1
+    marked = np.zeros(len(block.words), bool)
+    items: list[dict[str, dict]] = [{} for _ in base]
+    for queries in parts:
+        covered, rows = longest_matches(block, queries)
+        marked |= covered
+        for d, name, length, place, suffix in zip(*(c.tolist() for c in rows)):
+            item, own = queries.names[name], items[d]
+            match = {"item": item, "length": length, "begin": place - int(base[d]),
+                     "item_begin": suffix - int(queries.begin[suffix])}
+            # an item_id may be there twice, also in two parts
+            if item not in own or (-length, match["begin"]) < (-own[item]["length"], own[item]["begin"]):
+                own[item] = match
+    n_hit = np.bincount(block.doc[marked], minlength=len(base))
+    return n_hit, spans_of(marked, block.doc, base), [[own[k] for k in sorted(own)] for own in items]
+
+
+class Names(NamedTuple):
+    """Columns that ``annotated`` adds."""
+
+    text: str
+    n_words: str
+    n_hit: str
+    spans: str
+    matches: str
+
+
+def annotated(docs: DataFrame, benchmark: DataFrame, window: int, part_words: int, block_bytes: int) -> tuple[DataFrame, Names]:
+    """``docs`` with words, words hit, stretches and longest matches, under names that no column of theirs has."""
+    names = Names(*(spare(docs, n) for n in Names._fields))
+    context = docs.sparkSession.sparkContext
+    # the driver holds one part at a time
+    parts = [context.broadcast(p) for p in query_parts(benchmark, window, part_words)] or [
+        context.broadcast(Queries([], window))]
+    rows = docs.withColumn(names.text, F.col("text").cast("string"))
+    columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = part.value
+        known = [p.value for p in parts]
         for batch in batches:
-            data, offsets = flat_utf8(batch.column(names.index(text)))
+            data, offsets = flat_utf8(batch.column(columns.index(names.text)))
             for a, b in cuts(offsets, block_bytes):
                 block = Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                marked, found = hits(block, queries)
-                rows = batch.slice(a, b - a)
-                so_far = [x + y for x, y in zip(rows.column(names.index(spans)).to_pylist(),
-                                                spans_of(marked, block.doc, block.counts))]
-                named = [x + y for x, y in zip(rows.column(names.index(items)).to_pylist(), found)]
-                new = {spans: pa.array(so_far, SPANS), items: pa.array(named, ITEMS),
-                       COUNT: pa.array(block.counts.astype(np.int64))}
+                n_hit, spans, matches = against_all(block, known)
                 yield pa.RecordBatch.from_arrays(
-                    [new.get(n, rows.column(k)) for k, n in enumerate(names)], names)
+                    [*batch.slice(a, b - a).columns, pa.array(block.counts.astype(np.int64)),
+                     pa.array(n_hit.astype(np.int64)), pa.array(spans, SPAN_TYPE), pa.array(matches, MATCH_TYPE)],
+                    [*columns, *names[1:]])
 
-    return docs.mapInArrow(run, docs.schema)
+    added = [StructField(names.n_words, LongType()), StructField(names.n_hit, LongType()),
+             *(StructField(n, DataType.fromDDL(t)) for n, t in ((names.spans, SPANS), (names.matches, MATCHES)))]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added])), names
 
 
-def merged(spans: Column) -> Column:
-    """Words covered by stretches sorted by begin: each adds what lies beyond the furthest end so far."""
-    state = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
-    return F.aggregate(F.sort_array(spans), state, lambda s, x: F.struct(
-        (s["n"] + F.greatest(F.lit(0), x[1] - F.greatest(s["end"], x[0]))).alias("n"),
-        F.greatest(s["end"], x[1]).alias("end")))["n"]
-
-
-def annotated(docs: DataFrame, benchmark: DataFrame, window: int, part_words: int, block_bytes: int) -> DataFrame:
-    """``docs`` and, under the names ``COUNT``, ``SPANS_OF`` and ``ITEMS_OF``, what ``scan`` finds; parts run in a chain."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(
-        "*", F.col("text").cast("string").alias(TEXT), F.lit(0).cast("bigint").alias(COUNT),
-        F.expr("cast(array() as array<array<bigint>>)").alias(SPANS_OF),
-        F.expr("cast(array() as array<string>)").alias(ITEMS_OF))
-    some = False
-    for part in query_parts(benchmark, window, part_words):  # the driver holds one at a time
-        rows = scan(rows, context.broadcast(part), block_bytes, TEXT, SPANS_OF, ITEMS_OF)
-        some = True
-    if not some:  # no benchmark: words are counted all the same
-        rows = scan(rows, context.broadcast(Queries([], window)), block_bytes, TEXT, SPANS_OF, ITEMS_OF)
-    return rows.withColumn(HIT, merged(F.col(SPANS_OF)))
-
-
-def is_contaminated() -> Column:
-    return (F.col(HIT) > 0) & (SHARE * F.col(HIT) >= F.col(COUNT))
+def is_contaminated(names: Names) -> Column:
+    return (F.col(names.n_hit) > 0) & (SHARE * F.col(names.n_hit) >= F.col(names.n_words))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS,
              block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, items (sorted as strings), contaminated."""
-    found = annotated(docs.select("doc_id", "text"), benchmark, window, part_words, block_bytes)
+    """Per row: doc_id, n_words, n_hit, contaminated, spans and matches.
+
+    ``spans`` are the stretches of words that benchmark windows cover, ``matches`` the longest verbatim match of every
+    item that has a window there, by item (as strings): its words, and where it begins in the document and the item.
+    """
+    found, names = annotated(docs.select("doc_id", "text"), benchmark, window, part_words, block_bytes)
     return found.select(
-        "doc_id", F.col(COUNT).alias("n_words"), F.col(HIT).alias("n_hit"),
-        F.array_sort(F.array_distinct(ITEMS_OF)).alias("items"), is_contaminated().alias("contaminated"))
+        "doc_id", F.col(names.n_words).alias("n_words"), F.col(names.n_hit).alias("n_hit"),
+        F.col(names.spans).alias("spans"), F.col(names.matches).alias("matches"),
+        is_contaminated(names).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
-    found = annotated(docs, benchmark, window, part_words, block_bytes)
-    return found.where(~is_contaminated()).drop(TEXT, COUNT, SPANS_OF, ITEMS_OF, HIT)
+    found, names = annotated(docs, benchmark, window, part_words, block_bytes)
+    return found.where(~is_contaminated(names)).select(docs.columns)

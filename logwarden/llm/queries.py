@@ -58,8 +58,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+        "doc_id", "n_words", "n_hit", F.size("matches").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("matches.item", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

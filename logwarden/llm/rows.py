@@ -13,6 +13,14 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name that no column of the table has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from logwarden.llm.components import components
-from logwarden.llm.rows import raw_texts, type_of
+from logwarden.llm.rows import raw_texts, spare, type_of
 from logwarden.sources.landing import land, shared_folder
 
 SEED = 42
@@ -135,7 +135,7 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, distance: int = 2) -> Data
     """One row of each group, all columns kept: the one with the smallest doc_id.
 
     Null ids come last; among rows of one id the text's hash decides, and of rows
-    equal in both, one stays. Rows are found again by id and text hash, so repeated
+    equal in both, one stays, chosen by a hash of all columns. Rows are found again by id and text hash, so repeated
     reads of ``docs`` need not give rows in one order.
     """
     groups = near_duplicates(docs, size, distance)
@@ -145,8 +145,12 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, distance: int = 2) -> Data
         F.col("best.at.doc_id").alias("keep_id"), F.col("best.at.text_hash").alias("keep_hash"),
         F.col("best.n").alias("n"))
     best = land(best, "kept")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    match = keyed["doc_id"].eqNullSafe(best["keep_id"]) & (keyed["__hash"] == best["keep_hash"])
+    hashed = spare(docs, "hash")
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    match = keyed["doc_id"].eqNullSafe(best["keep_id"]) & (keyed[hashed] == best["keep_hash"])
     single = keyed.join(best.where("n = 1"), match, "left_semi")
-    repeated = keyed.join(best.where("n > 1"), match, "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return single.unionByName(repeated).drop("__hash")
+    # which of the rows of one id and text stays is decided by a hash of all their columns
+    rest = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    repeated = keyed.join(best.where("n > 1"), match, "left_semi").groupBy("doc_id", hashed).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*rest)).alias("row")).select("row.*")
+    return single.drop(hashed).unionByName(repeated)

@@ -10,8 +10,9 @@ density / (density + threshold), which is 0.5 where the density is at the thresh
 Training uses labelled rows whose crc32(doc_id) mod 5 is 1, 2 or 3 for the terms and
 exceptions, and 4 for the threshold; remainder 0 is held out. At most ``SAMPLE`` labelled
 rows are used (those with the smallest hashes of their ids), which bounds the broadcast of
-their labels; counting terms is distributed, and at most ``CANDIDATES`` terms, the
-most telling ones, reach the driver.
+their labels, and with it the telling terms and phrases that are in enough of them. Counting is
+distributed, and only closed terms (no longer term is in the same documents) reach the driver; none
+is cut.
 
 Defined cases: null and empty texts have density and score 0. Null labels and ids are no
 training rows; a doc_id labelled twice is toxic if any label says so. Without toxic rows the lexicon
@@ -33,10 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from logwarden.llm.rows import texts
+from logwarden.llm.rows import spare, texts
 
 SAMPLE = 20_000
-CANDIDATES = 20_000
 FOLDS = 5
 SHORTEST, LONGEST = 3, 12
 #: Share of toxic documents among those with a term, and the chance (natural log) that luck alone does it.
@@ -152,16 +152,17 @@ def counted(rows: DataFrame, things: Callable[[str], set[str]]) -> DataFrame:
     return parts.groupBy("thing").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def chosen_terms(found: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Closed terms (no longer term is in the same documents) and their weights: smoothed log odds."""
-    counts = {term: (a, b) for term, a, b in found}
-    closed = set(counts)
-    for term, pair in counts.items():
-        if counts.get(term[:-1]) == pair:
-            closed.discard(term[:-1])
+def closed_terms(telling: DataFrame) -> DataFrame:
+    """Terms without those that a term longer by one letter is found as often as."""
+    longer = telling.select(F.expr("substring(thing, 1, length(thing) - 1)").alias("thing"), "toxic", "clean")
+    return telling.join(longer, ["thing", "toxic", "clean"], "left_anti")
+
+
+def weights(found: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Smoothed log odds of (term, toxic, clean) counts."""
     return {
-        term: round(math.log((counts[term][0] + 0.5) / (n_toxic + 1)) - math.log((counts[term][1] + 0.5) / (n_clean + 1)), 6)
-        for term in sorted(closed)
+        term: round(math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1)), 6)
+        for term, toxic, clean in sorted(found)
     }
 
 
@@ -180,8 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
         luck = F.col("toxic") * math.log(base) if base < 1 else F.lit(0.0)
         tried = counted(first, lambda text: beginnings(fold(text)))
         telling = tried.where((F.col("toxic") >= PRECISION * both) & (F.col("toxic") >= 3)).withColumn("luck", luck)
-        found = telling.where(F.col("luck") <= LUCK).orderBy("luck", "clean", "thing").limit(CANDIDATES).collect()
-        terms = chosen_terms([(r["thing"], r["toxic"], r["clean"]) for r in found], n_toxic, n_clean)
+        found = closed_terms(telling.where(F.col("luck") <= LUCK)).collect()
+        terms = weights([(r["thing"], r["toxic"], r["clean"]) for r in found], n_toxic, n_clean)
         learned = learned_exceptions(first, Lexicon(terms, exceptions)) if terms else ()
         lexicon = Lexicon(terms, (*exceptions, *learned))
         return Model(terms, lexicon.exceptions, threshold(rows.where(f"fold = {FOLDS - 1}"), lexicon))
@@ -205,7 +206,7 @@ def learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
     seen = counted(rows, phrases)
     kept = seen.where((F.col("clean") >= EXCEPTION_SUPPORT) & (
         F.col("clean") >= EXCEPTION_PRECISION * (F.col("toxic") + F.col("clean"))))
-    return tuple(r["thing"] for r in kept.orderBy(F.desc("clean"), "thing").limit(CANDIDATES).collect())
+    return tuple(sorted(r["thing"] for r in kept.collect()))
 
 
 _BUILT: list = [None, None]
@@ -266,4 +267,5 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not toxic, all columns kept."""
-    return scored(docs, model, "__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    name = spare(docs, "toxicity")
+    return scored(docs, model, name).where(F.col(name) < 0.5).drop(name)

@@ -19,21 +19,31 @@ def words_of(text):
 
 
 def brute(docs, items, window):
+    """doc_id, n_words, n_hit, longest match (item, length, begin, item_begin) of every item, contaminated."""
     out = []
     for doc_id, text in docs:
-        words, hit, named = words_of(text), set(), set()
+        words, hit, best = words_of(text), set(), {}
         for item_id, passage in items:
-            other = words_of(passage)
+            other, name = words_of(passage), "null" if item_id is None else str(item_id)
             size = min(window, len(other))
             for k in range(len(other) - size + 1 if other else 0):
                 for i in range(len(words) - size + 1):
-                    if words[i:i + size] == other[k:k + size]:
-                        hit |= set(range(i, i + size))
-                        named.add("null" if item_id is None else str(item_id))
-        out.append((doc_id, len(words), len(hit), sorted(named), len(hit) > 0 and 20 * len(hit) >= len(words)))
+                    if words[i:i + size] != other[k:k + size]:
+                        continue
+                    hit |= set(range(i, i + size))
+                    n = size
+                    while i + n < len(words) and k + n < len(other) and words[i + n] == other[k + n]:
+                        n += 1
+                    best[name] = min(best.get(name, (0, 0, 0)), (-n, i, k)) if name in best else (-n, i, k)
+        matches = [(name, -n, i, k) for name, (n, i, k) in sorted(best.items())]
+        out.append((doc_id, len(words), len(hit), matches, len(hit) > 0 and 20 * len(hit) >= len(words)))
     return sorted(out, key=str)
 
 
+def row_of(r):
+    return (r["doc_id"], r["n_words"], r["n_hit"], [tuple(m) for m in r["matches"]], r["contaminated"])
+
+
 def items_of(spark, items):
     return spark.createDataFrame(items, "item_id bigint, text string")
 
@@ -53,11 +63,17 @@ def cases():
 
 def test_brute_force_with_small_windows_parts_and_blocks(spark, docs_of):
     rows, items = cases()
-    docs = docs_of(rows).withColumns({n: F.lit(1) for n in ("items", "n_words", "n_hit", "contaminated", "item_id")})
+    docs = docs_of(rows).withColumns({n: F.lit(1) for n in (
+        "items", "N_WORDS", "n_hit", "contaminated", "item_id", "spans", "_spans", "matches", "__text", "__n_words", "__spans")})
     want = brute(rows, items, 4)
     for part_words, block_bytes in ((10**6, 10**6), (20, 64)):
         got = decontaminate.overlaps(docs, items_of(spark, items), 4, part_words, block_bytes).collect()
-        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got), key=str) == want
+        assert sorted(map(row_of, got), key=str) == want
+        for r in got:
+            assert sum(e - b for b, e in r["spans"]) == r["n_hit"]
+            assert all(x[1] < y[0] for x, y in zip(r["spans"], r["spans"][1:]))
+            for _, length, begin, _ in r["matches"]:
+                assert any(b <= begin and begin + length <= e for b, e in r["spans"])
         kept = decontaminate.decontaminate(docs, items_of(spark, items), 4, part_words, block_bytes)
         assert kept.columns == docs.columns
         clean = sorted((r[0] for r in want if not r[4]), key=str)
@@ -67,7 +83,7 @@ def test_brute_force_with_small_windows_parts_and_blocks(spark, docs_of):
 def test_empty_tables(spark, docs_of):
     assert decontaminate.overlaps(docs_of([]), items_of(spark, [(1, "a b")])).count() == 0
     rows = decontaminate.overlaps(docs_of([(1, "a b"), (2, None)]), items_of(spark, [])).collect()
-    assert [(r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in sorted(rows)] == [(2, 0, [], False), (0, 0, [], False)]
+    assert [(r["n_words"], r["n_hit"], r["matches"], r["contaminated"]) for r in sorted(rows)] == [(2, 0, [], False), (0, 0, [], False)]
 
 
 def test_suffix_array_and_longest_matches():
@@ -83,15 +99,36 @@ def test_suffix_array_and_longest_matches():
     block = decontaminate.Block(*flat_utf8(pa.array(text)))
     items = [("1", " ".join(rng.choice("abcq") for _ in range(80))), ("2", "c c c c c"), ("3", "nowhere")]
     parts = decontaminate.Queries(items, 5)
-    longest, place, _, _ = block.search(parts)
-    at = 0
+    suffix, first, last, length = block.search(parts)
+    found = {}
+    for k, a, b, n in zip(suffix.tolist(), first.tolist(), last.tolist(), length.tolist()):
+        for place in block.array[a:b].tolist():
+            assert found.setdefault((k, place), n) == n
+    want, at = {}, 0
+    numbers = block.numbers(parts)
     for _, passage in items:
-        other = passage.split()
-        for k in range(len(other)):
-            best = max((n for n in range(len(other) - k + 1) for t in text
-                        if f" {' '.join(other[k:k + n])} " in f" {t} " or n == 0), default=0)
-            assert longest[at] == best
-            if best:
-                found = block.words[place[at]: place[at] + best]
-                assert (found == block.numbers(parts)[at: at + best]).all()
-            at += 1
+        size = len(passage.split())
+        for k in range(at, at + size):
+            for place in range(len(block.words)):
+                n = 0
+                while k + n < at + size and numbers[k + n] > 0 and block.words[place + n] == numbers[k + n]:
+                    n += 1
+                if n >= 5:
+                    want[k, place] = n
+        at += size
+    assert found == want and max(want.values()) > 5
+
+
+def test_parts_share_a_blocks_suffix_array(spark, docs_of, monkeypatch):
+    rows, items = cases()
+    made, real = [], decontaminate.suffix_array
+    monkeypatch.setattr(decontaminate, "suffix_array", lambda *a: made.append(1) or real(*a))
+    parts = [decontaminate.Queries([(str(i), t or "")], 4) for i, t in items]
+    block = decontaminate.Block(*flat_utf8(pa.array([t or "" for _, t in rows])))
+    n_hit, _, matches = decontaminate.against_all(block, parts)
+    assert len(made) == 1
+    assert [(int(n), [(m["item"], m["length"], m["begin"], m["item_begin"]) for m in found])
+            for n, found in zip(n_hit, matches)] == [
+        (r[2], [("None" if m[0] == "null" else m[0], *m[1:]) for m in r[3]]) for row in rows for r in brute([row], items, 4)]
+    plan = decontaminate.overlaps(docs_of(rows), items_of(spark, items), 4, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

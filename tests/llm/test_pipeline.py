@@ -9,7 +9,7 @@ from .test_secret_scan import plain
 from .test_simhash import brute as brute_components
 from tokenizers import Tokenizer
 
-from logwarden.llm import packing, queries, tokens, toxicity
+from logwarden.llm import packing, queries, simhash, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +98,25 @@ def test_every_query_is_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+NAMES = ("toxicity", "hash", "chars", "text_", "n_words", "n_hit", "spans", "matches", "item", "count", "row", "key", "fp")
+
+
+def test_columns_of_any_name_are_kept(spark, docs_of):
+    """Names that the stages might use themselves, plain, with underscores and in capitals."""
+    rows = [(k, f"plain words of document number {k} token=abcdef{k}12") for k in range(6)] + [(2, "copy"), (2, "copy")]
+    names = [f"{u}{n}" for n in NAMES for u in ("", "_", "__")] + ["HASH_", "__KEEP_ID", "best"]
+    docs = docs_of(rows).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names), name
+
+
+def test_which_copy_stays_does_not_depend_on_the_run(spark):
+    rows = [(1, "same text of all", k) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    kept = {simhash.deduplicate(frame.repartition(n)).first()["other"] for n in (1, 3, 7)}
+    assert len(kept) == 1
