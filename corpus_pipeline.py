@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logwarden.llm import decontaminate, packing, secret_scan, simhash, toxicity
+from logwarden.llm.rows import spare
 from logwarden.sources.landing import land
 
 
@@ -33,9 +34,10 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked; ``n_chars`` follows the text where that changed."""
-    masked = secret_scan.redact(docs.withColumn("__chars", F.length("text")))
-    changed = F.length("text") - F.col("__chars")
-    return masked.withColumn("n_chars", F.col("n_chars") + F.coalesce(changed, F.lit(0))).drop("__chars")
+    chars = spare(docs, "chars")
+    masked = secret_scan.redact(docs.withColumn(chars, F.length("text")))
+    changed = F.length("text") - F.col(chars)
+    return masked.withColumn("n_chars", F.col("n_chars") + F.coalesce(changed, F.lit(0))).drop(chars)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
