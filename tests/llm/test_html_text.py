@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 from html import unescape
 
 from pyspark.sql import functions as F
@@ -113,3 +115,78 @@ def test_attributes_are_read_whole():
     for attributes in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "role = menu", 'title="x"hidden', "data-x=1 hidden"):
         assert extract(f"<body><div {attributes}>a long text that is not shown</div><p>shown</p></body>") == "shown", attributes
     assert Page("<div data-class=x class='post 9' id=y>t</div>").label[1] == "div.post"
+
+
+LONG = "words of the article, and more of them. " * 8
+
+
+def test_a_form_around_the_page_is_no_form():
+    text = " ".join(LONG.split())
+    fields = "<label>Name</label><input name=a><select><option>one<option>two</select><button>Send</button>"
+    for inner in (f"<article><p>{LONG}</p></article>", f"<div class=page><p>{LONG}</p></div>"):
+        assert extract(f"<body><form id=aspnetForm>{fields}<nav><a href=/>menu</a></nav>{inner}</form></body>") == text
+    assert extract(f"<body><article><p>{LONG}</p><form>Your name {fields} please</form></article></body>") == text
+
+
+def test_phrases_that_are_left_out_leave_their_paragraph():
+    for phrase in ("<button>Copy</button>", "<label>Name</label>", "<select><option>one</select>", "<span hidden>secret</span>",
+                   "<a role=navigation>next</a>", "<span class=advert>buy</span>", "<span style='color:red; display: none'>x</span>",
+                   "<b aria-hidden=true>x</b>"):
+        for tag in ("article", "div class=post"):
+            html = f"<body><{tag}><p>One {phrase} two.</p><p>{LONG}</p></{tag.split()[0]}></body>"
+            assert extract(html) == "One two.\n" + " ".join(LONG.split()), phrase
+    assert extract(f"<body><article><p class=ad>AD</p><p class=comment-ish>{LONG}</p></article></body>") == " ".join(LONG.split())
+
+
+def test_doubtful_classes_within_an_article():
+    text = " ".join(LONG.split())
+    links = "<ul><li><a href=/1>one link</a><li><a href=/2>another link</a></ul>"
+    for name in ("search-results", "related-work", "text notice-period"):
+        assert extract(f"<article><p>{LONG}</p><div class='{name}'><p>Part of it.</p></div></article>") == f"{text}\nPart of it.", name
+        assert extract(f"<article><p>{LONG}</p><div class='{name}'>{links}</div></article>") == text, name
+    for name in ("comments", "share-buttons", "notice", "alert alert-info", "cookie-notice", "related", "newsletter-box"):
+        assert extract(f"<article><p>{LONG}</p><div class='{name}'><p>No part of it.</p></div></article>") == text, name
+
+
+def test_hidden_styles():
+    for style in ("display:none", "DISPLAY : none;", "margin:0;visibility:hidden"):
+        assert extract(f"<body><p>{LONG}</p><div style='{style}'>not shown</div></body>") == " ".join(LONG.split())
+    assert extract(f"<body><p style='overflow:hidden;display:block'>{LONG}</p></body>") == " ".join(LONG.split())
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    """A megabyte each, in seconds."""
+    deep = 60_000
+    for html in ("<div><p>word " * deep, "<div><p>word</p>" * deep + "</div>" * deep, "<b>x" * deep + "<p>y</p>" * deep,
+                 "<div>" * deep + "</p>x</span>" * deep, "<article><div class=a>x " * (deep // 2), "<form><p>x" * deep,
+                 "<ul><li>x" * deep, "<table><tr><td>x" * (deep // 2), "<div class=related>x" * deep):
+        begin = time.perf_counter()
+        extract(html, "#>html>body>div")
+        assert time.perf_counter() - begin < 8, html[:40]
+
+
+def page_without_marks(k, path, size):
+    """A page with boilerplate of all kinds and an article in plain divs; and the article's text."""
+    rng = random.Random(k)
+    words = lambda n: " ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=n))
+    parts = [words(size) + "." for _ in range(3)]
+    teasers = "".join(f"<div class=teaser><p>{words(30)}.</p><a href=/{j}>{words(4)}</a></div>" for j in range(4))
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    html = (f"<html><body><div class=top{k}><a href=/>{words(3)}</a> {words(2)}</div><ul class=main-menu><li><a href=/x>{words(2)}</a></ul>"
+            f"<div class='{path}'>{body}<span class=sponsored>{words(3)}</span></div>"
+            f"<div class=latest>{teasers}</div><div class=footer>{words(20)}</div></body></html>")
+    return html, "\n".join(parts)
+
+
+def test_hosts_votes_decide_where_no_article_is_marked(spark):
+    """Long articles win on their pages; on pages with a short one the teasers would, were it not for the host."""
+    rows, want, alone = [], {}, 0
+    for k in range(60):
+        host = f"http://host{k % 3}.example/{k}"
+        html, text = page_without_marks(k, ("entry-text", "x9 col", "c-lead")[k % 3], 150 if k % 5 else 10)
+        rows.append((k, host, html))
+        want[k] = text
+        alone += extract(html) != text
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages_of(spark, rows)).collect()}
+    assert alone == 12, "the vote should decide something"
+    assert got == want
