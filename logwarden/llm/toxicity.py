@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from logwarden.llm.rows import spare, texts
+from logwarden.sources.landing import land
 
 SAMPLE = 20_000
 FOLDS = 5
@@ -181,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
         luck = F.col("toxic") * math.log(base) if base < 1 else F.lit(0.0)
         tried = counted(first, lambda text: beginnings(fold(text)))
         telling = tried.where((F.col("toxic") >= PRECISION * both) & (F.col("toxic") >= 3)).withColumn("luck", luck)
-        found = closed_terms(telling.where(F.col("luck") <= LUCK)).collect()
+        found = closed_terms(land(telling.where(F.col("luck") <= LUCK), "terms")).collect()
         terms = weights([(r["thing"], r["toxic"], r["clean"]) for r in found], n_toxic, n_clean)
         learned = learned_exceptions(first, Lexicon(terms, exceptions)) if terms else ()
         lexicon = Lexicon(terms, (*exceptions, *learned))
