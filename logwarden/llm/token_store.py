@@ -218,8 +218,9 @@ def documents(written: DataFrame) -> DataFrame:
                     + [pa.array(c, pa.int64()) for c in columns[2:5]] + [pa.array(columns[5], pa.bool_())],
                     ["file", "ordinal", "doc_id", "start", "n_tokens", "ids_crc32", "whole"])
 
-    pieces = written.mapInArrow(
-        run, f"file int, ordinal bigint, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, whole boolean")
+    # landed, as whole documents and parted ones read it: the files are decoded once
+    pieces = land(written.mapInArrow(
+        run, f"file int, ordinal bigint, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, whole boolean"), "pieces")
     joined = pieces.where(~F.col("whole")).groupBy("file", "ordinal").agg(
         F.max("doc_id").alias("doc_id"), F.max("start").alias("start"), F.max("n_tokens").alias("n_tokens"),
         F.bit_xor("ids_crc32").alias("ids_crc32"))
