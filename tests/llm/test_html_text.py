@@ -170,7 +170,7 @@ def page_without_marks(k, path, size):
     rng = random.Random(k)
     words = lambda n: " ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=n))
     parts = [words(size) + "." for _ in range(3)]
-    teasers = "".join(f"<div class=teaser><p>{words(30)}.</p><a href=/{j}>{words(4)}</a></div>" for j in range(4))
+    teasers = "".join(f"<p>{words(30)}.</p><a href=/{j}>{words(4)}</a>" for j in range(4))
     body = "".join(f"<p>{p}</p>" for p in parts)
     html = (f"<html><body><div class=top{k}><a href=/>{words(3)}</a> {words(2)}</div><ul class=main-menu><li><a href=/x>{words(2)}</a></ul>"
             f"<div class='{path}'>{body}<span class=sponsored>{words(3)}</span></div>"
@@ -183,7 +183,7 @@ def test_hosts_votes_decide_where_no_article_is_marked(spark):
     rows, want, alone = [], {}, 0
     for k in range(60):
         host = f"http://host{k % 3}.example/{k}"
-        html, text = page_without_marks(k, ("entry-text", "x9 col", "c-lead")[k % 3], 150 if k % 5 else 10)
+        html, text = page_without_marks(k, ("entry-text", "x9 col", "c-lead")[k % 3], 150 if k % 5 else 14)
         rows.append((k, host, html))
         want[k] = text
         alone += extract(html) != text
