@@ -2,9 +2,13 @@
 
 Texts are lowered (A-Z), cut into words and joined by single spaces. A notice that may
 have k edits is split into k + 1 seeds; if it occurs with at most k edits, one seed occurs
-as it is (pigeonhole). All seeds of all notices are found in one pass (Aho-Corasick). Around
-every seed, the regex library's fuzzy matching with at most k edits says whether the notice
-is there, with how many edits, and where.
+as it is (pigeonhole). All seeds of all notices are found in one pass (Aho-Corasick). Every seed
+has a window of its own, as long as the notice and k edits on both sides. Windows that can't hold it are
+ruled out first: an edit spoils at most ``GRAM`` of a notice's runs of ``GRAM`` characters, so too many runs must not
+be lacking, and the fewest edits up to each character (bit vectors of differences, one step a character) must
+not exceed k. Then the regex library's matching with bounded errors, no more than these, says where the notice
+is. Of overlapping matches of one notice that with the fewest edits stays, then
+the first. Equal windows are judged once, so a text that repeats itself costs little.
 
 Defined cases: null and empty texts have no words, no labels and score 0. Repeated rows are
 scanned one by one. Extra columns are ignored.
@@ -47,13 +51,18 @@ NOTICES = {
     "public-domain": ("released into the public domain", "dedicated to the public domain"),
 }
 PER_EDIT = 12
+GRAM = 4
+#: Windows whose matches a worker remembers.
+REMEMBERED = 100_000
 
 
 class Notice(NamedTuple):
     label: str
     text: str
     edits: int
-    pattern: regex.Pattern
+    patterns: tuple[regex.Pattern, ...]  # by number of edits
+    grams: frozenset[str]
+    masks: dict[str, int]
 
 
 class Found(NamedTuple):
@@ -70,16 +79,61 @@ def seeds(text: str, edits: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def grams_of(text: str) -> frozenset[str]:
+    return frozenset(text[k:k + GRAM] for k in range(len(text) - GRAM + 1))
+
+
+def masks_of(text: str) -> dict[str, int]:
+    return {char: sum(1 << k for k, c in enumerate(text) if c == char) for char in set(text)}
+
+
+def fewest_edits(masks: dict[str, int], size: int, window: str) -> tuple[int, int]:
+    """The fewest edits between a notice and any part of the window, and where the first such part ends.
+
+    ``masks`` has, for each character, the places where the notice has it. The column of edit distances to all
+    beginnings of the notice is kept as the bits that rise and those that fall from one to the next.
+    """
+    full, top = (1 << size) - 1, 1 << size - 1
+    rises, falls, edits = full, 0, size
+    least, place = size, 0
+    for k, char in enumerate(window, 1):
+        same = masks.get(char, 0)
+        down = same | falls
+        across = (((same & rises) + rises) ^ rises) | same
+        more, less = falls | ~(across | rises) & full, rises & across
+        edits += bool(more & top) - bool(less & top)
+        more, less = more << 1, less << 1
+        rises, falls = (less | ~(down | more)) & full, more & down & full
+        if edits < least:
+            least, place = edits, k
+    return least, place
+
+
+@lru_cache(maxsize=REMEMBERED)
+def verified(notices: tuple[tuple[str, str], ...], per_edit: int, k: int, window: str) -> tuple[int, int, int] | None:
+    """Begin, end and edits of notice ``k`` in a window, with the fewest edits; the first of such."""
+    notice = index(notices, per_edit)[0][k]
+    size = len(notice.text)
+    if len(notice.grams) - len(notice.grams & grams_of(window)) > GRAM * notice.edits:
+        return None
+    edits, end = fewest_edits(notice.masks, size, window)
+    if edits > notice.edits:
+        return None
+    begin = max(0, end - size - edits)
+    match = notice.patterns[edits].search(window, begin, end)
+    return (match.start(), match.end(), sum(match.fuzzy_counts)) if match and match[0].strip() else None
+
+
 @lru_cache(maxsize=4)
 def index(notices: tuple[tuple[str, str], ...], per_edit: int) -> tuple[list[Notice], ahocorasick.Automaton]:
     """The notices, and an automaton from each seed to the notices and places in them that it stands for."""
     known, places = [], {}
     for label, text in notices:
         edits = len(text) // per_edit
-        pattern = regex.compile(f"(?b)(?:{regex.escape(text, special_only=True)}){{e<={edits}}}")
+        patterns = tuple(regex.compile(f"(?:{regex.escape(text, special_only=True)}){{e<={e}}}") for e in range(edits + 1))
         for at, seed in seeds(text, edits):
             places.setdefault(seed, []).append((len(known), at))
-        known.append(Notice(label, text, edits, pattern))
+        known.append(Notice(label, text, edits, patterns, grams_of(text), masks_of(text)))
     automaton = ahocorasick.Automaton()
     for seed, where in places.items():
         automaton.add_word(seed, (len(seed), where))
@@ -92,20 +146,13 @@ def normal(text: bytes) -> str:
     return " " + " ".join(WORD.findall(text.lower().decode("utf-8", "replace"))) + " "
 
 
-def windows(text: str, known: list[Notice], automaton: ahocorasick.Automaton) -> dict[int, list[tuple[int, int]]]:
-    """Per notice, the stretches of text it could lie in, overlapping ones joined."""
-    found: dict[int, list[tuple[int, int]]] = {}
+def windows(text: str, known: list[Notice], automaton: ahocorasick.Automaton) -> dict[int, list[int]]:
+    """Per notice, the places where it would begin by the seeds found, in order."""
+    found: dict[int, set[int]] = {}
     for end, (size, where) in automaton.iter(text):
         for k, at in where:
-            notice = known[k]
-            begin = max(0, end + 1 - size - at - notice.edits)
-            stop = min(len(text), end + 1 - size - at + len(notice.text) + notice.edits)
-            parts = found.setdefault(k, [])
-            if parts and begin <= parts[-1][1]:
-                parts[-1] = (min(begin, parts[-1][0]), max(parts[-1][1], stop))
-            else:
-                parts.append((begin, stop))
-    return found
+            found.setdefault(k, set()).add(end + 1 - size - at)
+    return {k: sorted(places) for k, places in found.items()}
 
 
 def fuzzy(text: str, notices: tuple[tuple[str, str], ...], per_edit: int) -> list[Found]:
@@ -113,23 +160,36 @@ def fuzzy(text: str, notices: tuple[tuple[str, str], ...], per_edit: int) -> lis
     known, automaton = index(notices, per_edit)
     spaces: list[int] | None = None
     found = []
-    for k, parts in windows(text, known, automaton).items():
+    for k, places in windows(text, known, automaton).items():
         notice = known[k]
-        for begin, stop in parts:
-            for match in notice.pattern.finditer(text, begin, stop):
-                inner = match[0].strip()
-                if not inner:
-                    continue
-                if spaces is None:
-                    spaces = [m.start() for m in re.finditer(" ", text)]
-                start = match.start() + len(match[0]) - len(match[0].lstrip())
-                edits = sum(match.fuzzy_counts)
-                found.append(Found(
-                    notice.label, bisect_right(spaces, start) - 1, bisect_right(spaces, start + len(inner) - 1) - 1,
-                    edits, round(1 - edits / len(notice.text), 6)))
+        matches = set()
+        for place in places:
+            begin, stop = max(0, place - notice.edits), place + len(notice.text) + notice.edits
+            match = verified(notices, per_edit, k, text[begin:stop])
+            if match:
+                a, b = begin + match[0], begin + match[1]
+                matches.add((match[2], a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())))
+        for edits, start, end in apart(matches):
+            if spaces is None:
+                spaces = [m.start() for m in re.finditer(" ", text)]
+            found.append(Found(
+                notice.label, bisect_right(spaces, start) - 1, bisect_right(spaces, end - 1) - 1,
+                edits, round(1 - edits / len(notice.text), 6)))
     return sorted(found)
 
 
+def apart(matches: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches (edits, begin, end) without those that overlap one with fewer edits, or as many and an earlier begin."""
+    kept: list[tuple[int, int]] = []  # in order of place, none overlapping
+    out = []
+    for edits, begin, end in sorted(matches):
+        at = bisect_right(kept, (begin, end))
+        if (at == 0 or kept[at - 1][1] <= begin) and (at == len(kept) or end <= kept[at][0]):
+            kept.insert(at, (begin, end))
+            out.append((edits, begin, end))
+    return out
+
+
 def base_places(text: str) -> list[tuple[int, int, str]]:
     """First word, number of words and label of every place of a base phrase in a normal text."""
     hits = []

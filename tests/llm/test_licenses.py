@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,42 @@ def test_edge_rows_and_clashing_columns(docs_of):
     assert sorted(((r["doc_id"], *row_of(r)) for r in got), key=str) == sorted(((i, *brute_base(t)) for i, t in rows), key=str)
     assert all(r["score"] == 0 and r["labels"] == "" for r in got if r["doc_id"] in (1, 2, 3))
     assert licenses.scan(docs_of([])).count() == 0
+
+
+PAIRS = tuple((label, text) for label, some in licenses.NOTICES.items() for text in some)
+
+
+def test_repeated_notices_are_all_found():
+    """As many spans as copies, whatever was misspelled in which."""
+    rng = random.Random(4)
+    for label, notice in (("reserved", "all rights reserved"), ("gpl", "gnu general public license")):
+        for _ in range(40):
+            copies = []
+            for _ in range(rng.randrange(1, 7)):
+                chars = list(notice)
+                for _ in range(rng.randrange(len(notice) // licenses.PER_EDIT + 1)):
+                    k = rng.randrange(1, len(chars) - 1)
+                    if chars[k] != " ":
+                        chars[k:k + 1] = rng.choice([["z"], [], [chars[k], "z"]])
+                copies.append("".join(chars))
+            text = licenses.normal(" ".join(copies).encode())
+            found = [f for f in licenses.fuzzy(text, ((label, notice),), licenses.PER_EDIT) if f.label == label]
+            assert len(found) == len(copies), (text, found)
+            for f, copy in zip(sorted(found, key=lambda f: f.first_word), copies):
+                assert f.edits == distance_inside(notice, f" {copy} ")
+    text = licenses.normal(b"all rights reservd all rights reserved all rights rezerved")
+    assert [(f.first_word, f.last_word, f.edits) for f in licenses.fuzzy(text, (("r", "all rights reserved"),), 12)] == [
+        (0, 2, 1), (3, 5, 0), (6, 8, 1)]
+
+
+def test_near_misses_cost_little():
+    """A megabyte of beginnings of notices, alike and each a little different, in seconds."""
+    rng = random.Random(8)
+    begin = "permission to use copy modify and "
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    for text in (begin * 30_000, "".join(f"{begin}{word()} " for _ in range(25_000)), "all rights " * 90_000,
+                 "".join(f"gnu general {word()} license " for _ in range(40_000)),
+                 "".join(f"permission to use copy modify {word()} or distribute {word()} software for " for _ in range(14_000))):
+        start = time.perf_counter()
+        licenses.fuzzy(licenses.normal(text.encode()), PAIRS, licenses.PER_EDIT)
+        assert time.perf_counter() - start < 10, text[:60]
