@@ -672,8 +672,8 @@ oracle("mitigation_verdict", f"""{_R},
 acts AS (SELECT alert_id, actor, {AS_OF - 16 * 86_400} - first_seq % 600 AS acted FROM gate
   WHERE actor IS NOT NULL),
 c AS (SELECT alert_id, acts.actor,
-    count(*) FILTER (ts_epoch >= acted - 432000 AND ts_epoch < acted) AS n_before,
-    count(*) FILTER (ts_epoch >= acted AND ts_epoch < acted + 432000) AS n_after
+    count(*) FILTER (ts_epoch >= acted - 86400 AND ts_epoch < acted) AS n_before,
+    count(*) FILTER (ts_epoch >= acted AND ts_epoch < acted + 86400) AS n_after
   FROM acts LEFT JOIN signal ON signal.actor = acts.actor GROUP BY 1, 2)""", """
 SELECT *, CASE WHEN n_after = 0 THEN 'resolved' WHEN n_after > n_before THEN 'escalated'
   ELSE 'ongoing' END AS verdict FROM c""")
@@ -771,3 +771,46 @@ FROM (SELECT DISTINCT window_start, source_label, rule, severity,
 oracle("stream_approvals", "", f"""
 SELECT alert_id, d.status FROM ({ORACLES["apply_decisions"]}) d
 JOIN (SELECT alert_id FROM ({ORACLES["hitl_gate"]}) WHERE status = 'pending') USING (alert_id)""")
+
+oracle("epoch_tokens", f"""RECURSIVE {MASKED}, {OCCURRENCES},
+seen AS (SELECT DISTINCT hashed AS value, ts_epoch AS epoch FROM occ),
+starts AS (SELECT value, min(epoch) AS s, 1 AS k FROM seen GROUP BY 1
+  UNION ALL SELECT p.value, min(o.epoch), p.k + 1 FROM starts p JOIN seen o
+    ON o.value = p.value AND o.epoch > p.s + 3600 GROUP BY p.value, p.s, p.k)""", f"""
+SELECT seq, prefix, original, CAST(k AS BIGINT) AS epoch_no, s AS epoch_start,
+  prefix || left(sha256('{SALT}' || original || '|' || s), 32) || ']' AS token
+FROM occ JOIN starts ON value = hashed AND ts_epoch BETWEEN s AND s + 3600""")
+oracle("token_state_purge", f"""RECURSIVE {BASE},
+seen AS (SELECT DISTINCT actor AS value, ts_epoch AS epoch FROM signal),
+starts AS (SELECT value, min(epoch) AS s FROM seen GROUP BY 1
+  UNION ALL SELECT p.value, min(o.epoch) FROM starts p JOIN seen o
+    ON o.value = p.value AND o.epoch > p.s + 86400 GROUP BY p.value, p.s)""", """
+SELECT value, max(s) AS epoch_start,
+  max(s) + 86400 <= (SELECT max(ts_epoch) FROM signal) - 3600 AS purged FROM starts GROUP BY 1""")
+# contexts as in CONTEXT, of the rows that no rule took
+_C_OPEN = f"""{_B_RAW}, {LABELS}, {TEXTS.format(line='raw_line')},
+caught AS (SELECT DISTINCT batch_id FROM labelled JOIN batched USING (seq) WHERE label IS NOT NULL),
+rest AS (SELECT * FROM batched ANTI JOIN (SELECT seq FROM labelled WHERE label IS NOT NULL) USING (seq)),
+{CONTEXT[len(_B_RAW) + 2:].replace("FROM batched WHERE NOT is_noise", "FROM rest WHERE NOT is_noise")},
+c AS (SELECT h.b AS batch_id, h.t || chr(10) || chr(10) || blocks.t || coalesce(chr(10) || freq.t, '')
+    AS context_text FROM heads h JOIN blocks USING (b) LEFT JOIN freq USING (b)),
+asked AS (SELECT batch_id, source_label, batch_text, context_text,
+    chr(10) || 'Source: ' || source_label || chr(10) || 'Context:' || chr(10) || context_text || chr(10)
+      || 'Lines:' || chr(10) || batch_text AS tail,
+    CASE WHEN contains(context_text, '(status 401:') THEN 'bruteforce'
+      WHEN len(string_split(context_text, ' hits from ')) > 5 THEN 'suspicious' ELSE 'normal' END AS category
+  FROM texts ANTI JOIN caught USING (batch_id) JOIN c USING (batch_id))"""
+oracle("scored_context", _C_OPEN, f"""
+SELECT batch_id, '{HEAD}' || tail AS prompt, category,
+  CASE category WHEN 'bruteforce' THEN 'medium' ELSE 'low' END AS severity,
+  category = 'suspicious' AS escalate FROM asked""")
+DEEP_HEAD = _q(
+    "Investigate the activity below in depth: stages, links between lines, techniques. Answer with one JSON object: "
+    "threat_type, attack_pattern, mitre_ttps, severity (low, medium, high, critical), confidence (0.0 to 1.0), summary, "
+    "recommended_action (block_ip, block_path, rate_limit, alert_only, investigate), action_details with ip, ips, path "
+    "and paths, zone_name and rate for a rate limit. Copy addresses, tokens such as [IP_001] and paths exactly as the "
+    "lines show them."
+)
+oracle("deep_prompts", _C_OPEN, f"""
+SELECT batch_id, '{DEEP_HEAD}' || chr(10) || 'First opinion: suspicious at 0.50' || tail AS prompt
+FROM asked WHERE category = 'suspicious'""")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import verdict as V
-from ..operators import activity, batches as B, ingest, mask, noise, respond, rules
+from ..operators import activity, batches as B, epochs, ingest, mask, noise, respond, rules
 from ..operators import scoring, stats
 from ..options import BatchOptions, MaskOptions, Options, ResponseOptions
 from ..plans import detection as P
@@ -842,3 +842,51 @@ def stream_approvals(spark, sf_dir):
     seen = detect.run_once(spark, states, ["alert_id", "status"], "approvals")
     last = seen.groupBy("alert_id").agg(F.max_by("status", F.struct("at_ms", F.col("status") != "pending")).alias("status"))
     return last.select("alert_id", "status")
+
+
+# --- epochs of tokens, and contexts of what no rule took ---------------------------------------
+
+
+@query
+def epoch_tokens(spark, sf_dir):
+    """Every masked value of every line with the token of its epoch: a fresh one after the time to live."""
+    masked = _masked(spark, sf_dir)
+    return epochs.epoch_occurrences(masked, OPTIONS.mask).select(
+        "seq", "prefix", "original", "epoch_no", "epoch_start", "token")
+
+
+@query
+def token_state_purge(spark, sf_dir):
+    """Each value's last epoch, and whether the stream has dropped its state at the end of the table."""
+    stateful.use_rocksdb(spark)
+    rows = detect.signal_rows(_event_stream(spark, sf_dir), OPTIONS)
+    sightings = rows.select(F.col("actor").alias("value"), F.unix_seconds("ts").alias("epoch"), "ts")
+    seen = detect.run_once(
+        spark, stateful.stream_living_epochs(sightings, 86_400, "1 hour"), ["value", "epoch_start", "event"], "purge")
+    last = seen.groupBy("value").agg(F.max("epoch_start").alias("epoch_start"))
+    gone = seen.where("event = 'purged'").select("value", "epoch_start", F.lit(True).alias("purged"))
+    return last.join(gone, ["value", "epoch_start"], "left").fillna(False, ["purged"])
+
+
+def _unexplained(spark, sf_dir) -> DataFrame:
+    options = OPTIONS.overlay({"batch": {"consume": True}})
+    return P.open_batches(_entries(spark, sf_dir), options, "raw_line")
+
+
+@query
+def scored_context(spark, sf_dir):
+    """Open batches with contexts of rows that no rule took: the whole prompt, and what a scorer that reads the context says."""
+    texts = land(_unexplained(spark, sf_dir), "texts")
+    judged = scoring.cascade(texts, scoring.context_scorer, None, OPTIONS.score)
+    prompts = texts.select("batch_id", B.fast_prompt().alias("prompt"))
+    return judged.select("batch_id", "category", "severity", "escalate").join(prompts, "batch_id")
+
+
+@query
+def deep_prompts(spark, sf_dir):
+    """What the deeper scorer is asked about the batches that the first one doubts."""
+    texts = _unexplained(spark, sf_dir)
+    prompts = texts.withColumn("prompt", B.fast_prompt())
+    judged = scoring.assess_fast(
+        scoring.score(prompts, scoring.context_scorer, "prompt", "reply"), options=OPTIONS.score)
+    return judged.where("escalate").select("batch_id", B.deep_prompt("category", "confidence").alias("prompt"))

@@ -146,3 +146,18 @@ def keyword_deep_scorer(prompts: list[str]) -> list[str]:
     """Deterministic second opinion for ``keyword_scorer``."""
     reply = '{"threat_type":"probing","severity":"high","confidence":0.85}'
     return [reply for _ in prompts]
+
+
+def context_scorer(prompts: list[str]) -> list[str]:
+    """Stand-in that judges by the context alone: failures there, and five frequent paths or more."""
+    out = []
+    for prompt in prompts:
+        context = prompt.partition("\nContext:\n")[2].rsplit("\nLines:\n", 1)[0]
+        if "(status 401:" in context:
+            reply = '{"category":"bruteforce","severity":"medium","confidence":0.9}'
+        elif context.count(" hits from ") >= 5:
+            reply = '{"category":"suspicious","severity":"low","confidence":0.5}'
+        else:
+            reply = '{"category":"normal","severity":"low","confidence":0.9}'
+        out.append(reply)
+    return out

@@ -50,6 +50,8 @@ class BatchOptions:
     size: int = 5
     interval_seconds: int = 30
     context_rows: int = 30
+    # leave rows that a rule took out of the contexts a scorer gets
+    consume: bool = False
 
 
 @dataclass(frozen=True)

@@ -174,7 +174,8 @@ def open_batches(
 
     Needs ``entries`` with ``text``; adds batch_text, source_label, context_text.
     Entries and batched rows are landed: the ranking reads the one twice, and
-    rules, texts and contexts all read the other.
+    rules, texts and contexts all read the other. With ``options.batch.consume`` the rows that a
+    rule took are in no context: a scorer sees the last rows that are still unexplained.
     """
     landed = land(entries_, "entries")
     batched = land(B.assign_batches(landed, options.batch), "batched")
@@ -185,6 +186,9 @@ def open_batches(
     shown = batched.withColumns({
         name: mask.mask_with(F.col(name), F.col("token_list")) for name in ("path", "user_agent")
     }) if "token_list" in batched.columns else batched
+    if options.batch.consume:
+        taken = labelled.where(F.col("label").isNotNull()).select("seq")
+        shown = shown.join(taken, "seq", "left_anti")
     contexts = B.batch_contexts(shown, options.batch)
     return texts.join(contexts, "batch_id", "left").withColumn(
         "context_text", B.context_text(F.col("context"))

@@ -71,6 +71,62 @@ def stream_token_epochs(
     )
 
 
+class _LivingEpochState(StatefulProcessor):
+    """The anchor of a value's epoch, for as long as the epoch lasts."""
+
+    def __init__(self, ttl: int) -> None:
+        self._ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._anchor = handle.getValueState("anchor", "anchor bigint")
+
+    def _end(self, anchor: int) -> int:
+        return (anchor + self._ttl) * 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        anchor = self._anchor.get()[0] if self._anchor.exists() else None
+        before, opened = anchor, []
+        for t in sorted({int(t) for pdf in rows for t in pdf["epoch"].unique()}):
+            if anchor is None or t > anchor + self._ttl:
+                anchor = t
+                opened.append((key[0], anchor, "opened"))
+        if anchor != before:
+            if before is not None:
+                self._handle.deleteTimer(self._end(before))
+            self._anchor.update((int(anchor),))
+            self._handle.registerTimer(self._end(anchor))
+        yield pd.DataFrame(opened, columns=["value", "epoch_start", "event"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gone = []
+        if self._anchor.exists():
+            gone.append((key[0], int(self._anchor.get()[0]), "purged"))
+            self._anchor.clear()
+        yield pd.DataFrame(gone, columns=["value", "epoch_start", "event"]).astype({"epoch_start": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_living_epochs(
+    occurrences: DataFrame, ttl_seconds: int, delay: str = "10 minutes"
+) -> DataFrame:
+    """(value, epoch_start, event): epochs as they open, and as their state is dropped.
+
+    The state of a value is dropped by an event-time timer once the watermark has passed the end of its epoch:
+    whatever comes later opens a new epoch anyway, so nothing changes but the size of the state, which is
+    the values seen within the time to live. ``occurrences``: value, epoch, ts.
+    """
+    thin = occurrences.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["value", "epoch"])
+    return thin.groupBy("value").transformWithStateInPandas(
+        statefulProcessor=_LivingEpochState(ttl_seconds),
+        outputStructType="value string, epoch_start bigint, event string",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 # --- approvals --------------------------------------------------------------------
 
 
