@@ -814,3 +814,10 @@ DEEP_HEAD = _q(
 oracle("deep_prompts", _C_OPEN, f"""
 SELECT batch_id, '{DEEP_HEAD}' || chr(10) || 'First opinion: suspicious at 0.50' || tail AS prompt
 FROM asked WHERE category = 'suspicious'""")
+
+oracle("cached_replies", BASE, """
+SELECT seq, CASE WHEN status = 401 THEN '{"category":"bruteforce","severity":"medium","confidence":0.9}'
+  WHEN status IN (403, 404) THEN '{"category":"suspicious","severity":"medium","confidence":0.5}'
+  ELSE '{"category":"normal","severity":"low","confidence":0.9}' END AS reply FROM entries""")
+oracle("stream_correlation", "", f"""
+SELECT window_start, actor, web_404, auth_failed FROM ({ORACLES["source_correlation"]}) WHERE coordinated""")

@@ -13,7 +13,7 @@ from ..options import BatchOptions, MaskOptions, Options, ResponseOptions
 from ..plans import detection as P
 from ..sources import files, registry, tail
 from ..sources.landing import fresh_folder, land
-from ..streaming import detect, live, stateful
+from ..streaming import correlate, detect, live, stateful
 from . import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -890,3 +890,38 @@ def deep_prompts(spark, sf_dir):
     judged = scoring.assess_fast(
         scoring.score(prompts, scoring.context_scorer, "prompt", "reply"), options=OPTIONS.score)
     return judged.where("escalate").select("batch_id", B.deep_prompt("category", "confidence").alias("prompt"))
+
+
+@query
+def cached_replies(spark, sf_dir):
+    """A scorer's reply for every line, asked once per distinct request, and not again in a second run."""
+    folder = fresh_folder(spark, "replies")
+    lines = _entries(spark, sf_dir).select(
+        "seq", F.format_string('Lines:\n%s %s" %d ', "method", "path", "status").alias("prompt"))
+    first = scoring.score_once(lines, scoring.keyword_scorer, "prompt", "reply", scoring.reply_cache(spark, folder), 4)
+    first.select("seq", "reply").write.format("noop").mode("overwrite").save()
+
+    def no_one(prompts: list[str]) -> list[str]:
+        raise RuntimeError("the cache knows all prompts")
+
+    again = scoring.score_once(lines, no_one, "prompt", "reply", scoring.reply_cache(spark, folder))
+    return again.select("seq", "reply")
+
+
+@query
+def stream_correlation(spark, sf_dir):
+    """Coordinated actors of closed windows, from web and auth streams joined by window."""
+    parsed = _routed(spark, sf_dir).where(F.col("reason").isNull())
+    rows = parsed.select("ts", F.col("source_ip").alias("actor"), "format", "status", "method")
+    # the clock goes on after the last line, on both sides: all other windows close
+    tick = spark.range(1).select(
+        F.timestamp_seconds(F.lit(AS_OF + 90 * 86_400)).alias("ts"), F.lit("tick").alias("actor"),
+        F.explode(F.array(F.lit("nginx"), F.lit("syslog"))).alias("format"), F.lit(404).alias("status"),
+        F.lit("FAILED").alias("method"))
+    folder, table = fresh_folder(spark, "rows"), fresh_folder(spark, "together")
+    rows.unionByName(tick).write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    found = correlate.stream_correlation(stream, 86_400, "1 day")
+    found.writeStream.format("parquet").option("path", table).option(
+        "checkpointLocation", fresh_folder(spark, "together-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(table)

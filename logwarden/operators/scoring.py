@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import replies as R
 from ..functions import verdict as V
 from ..options import ScoreOptions
+from ..streaming.keyed import KeyedTable
 from . import batches as B
 
 Scorer = Callable[[list[str]], list[str]]
@@ -43,6 +44,42 @@ def score(
     return df.mapInPandas(run, schema)
 
 
+REPLIES = T.StructType([T.StructField("prompt_key", T.StringType()), T.StructField("reply", T.StringType())])
+
+
+def reply_cache(spark: SparkSession, folder: str) -> KeyedTable:
+    """A table of replies by the hash of their prompts, for ``score_once``."""
+    return KeyedTable(spark, folder, ["prompt_key"], REPLIES)
+
+
+def score_once(
+    df: DataFrame, scorer: Scorer, prompt: str, reply: str, cache: KeyedTable, at_once: int | None = None
+) -> DataFrame:
+    """Add column ``reply``, asking the scorer once for each distinct prompt that the cache does not know.
+
+    New replies are landed in the cache before anything reads them: neither repeated prompts nor later runs nor a
+    second reading of the result ask again. ``at_once`` is how many tasks may ask at the same time. A null
+    prompt is not asked about.
+    """
+    key = spare(df, "prompt_key")
+    keyed = df.withColumn(key, F.sha2(prompt, 256))
+    asked = keyed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("prompt_key")).agg(
+        F.first(prompt).alias("prompt"))
+    new = asked.join(cache.read().select("prompt_key"), "prompt_key", "left_anti")
+    if at_once:
+        new = new.repartition(at_once, "prompt_key")
+    cache.put(score(new, scorer, "prompt", "reply").select("prompt_key", "reply"))
+    known = cache.read().select(F.col("prompt_key").alias(key), F.col("reply").alias(reply))
+    return keyed.join(known, key, "left").drop(key)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def enrich(df: DataFrame, batch: str = "batch_text") -> DataFrame:
     """Fill empty details from the batch text and sharpen passive actions.
 
