@@ -821,3 +821,50 @@ SELECT seq, CASE WHEN status = 401 THEN '{"category":"bruteforce","severity":"me
   ELSE '{"category":"normal","severity":"low","confidence":0.9}' END AS reply FROM entries""")
 oracle("stream_correlation", "", f"""
 SELECT window_start, actor, web_404, auth_failed FROM ({ORACLES["source_correlation"]}) WHERE coordinated""")
+
+# --- all formats to rules and status ------------------------------------------------------
+
+_SITE = "' (detected on ' || source_label || ')'"
+_ALL = f"""{LINES}, {SYSLOG}, {_access('lines', 'acc')},
+parsed AS (SELECT seq, source_label, raw_line, source_ip, method, path, status, user_agent, ts_epoch
+  FROM acc WHERE source_label <> 'site-2'
+  UNION ALL SELECT s.seq, s.source_label, a.raw_line, source_ip, method, path, status, '', ts_epoch
+  FROM sysl s JOIN auth a USING (seq)),
+{FLAGGED}, {ALERTS},
+named2 AS (SELECT 'batch ' || source_label || '-' || seq AS rule, source_label, CAST(NULL AS VARCHAR) AS actor,
+    seq AS first_seq, status, path, source_ip FROM signal
+  WHERE source_label <> 'auth-main' AND status IN (401, 403, 404)),
+second AS (SELECT *, {_ID} AS alert_id FROM named2),
+t401 AS (SELECT *, unnest(['0', '1']) AS k FROM second WHERE status = 401),
+i401 AS (SELECT * REPLACE (CAST(k AS BIGINT) AS k), CASE k WHEN '0' THEN source_ip ELSE '192.0.2.9' END AS ip FROM t401),
+t404 AS (SELECT *, unnest(['0', '1']) AS k FROM second WHERE status = 404),
+p404 AS (SELECT * REPLACE (CAST(k AS BIGINT) AS k, CASE k WHEN '0' THEN path ELSE '/extra' END AS path) FROM t404),
+more AS (
+  SELECT alert_id, k * 2 AS rule_ord, 'nginx_deny' AS rule_type, 'deny ' || ip || ';' AS command,
+    'Deny IP ' || ip || ' in Nginx' || {_SITE} AS description, true AS critical,
+    '# remove: deny ' || ip || ';' AS rollback_command FROM i401
+  UNION ALL SELECT alert_id, k * 2 + 1, 'ufw', 'sudo ufw deny from ' || ip,
+    'Block IP ' || ip || ' via UFW firewall' || {_SITE}, true, 'sudo ufw delete deny from ' || ip FROM i401
+  UNION ALL SELECT alert_id, k * 2, 'nginx_deny', 'location ' || path || ' {{ deny all; }}',
+    'Deny all access to path ' || path || {_SITE}, true, '# remove: location ' || path || ' {{ deny all; }}' FROM p404
+  UNION ALL SELECT alert_id, CAST(0 AS BIGINT), 'rate_limit',
+    'limit_req_zone $binary_remote_addr zone=z403:10m rate=3r/s;', 'Rate limit zone ''z403'' at 3r/s' || {_SITE}, false,
+    '# remove: limit_req_zone ... zone=z403:10m ...' FROM second WHERE status = 403
+  UNION ALL SELECT alert_id, CAST(1 AS BIGINT), 'rate_limit', 'limit_req zone=z403;',
+    'Apply rate limit zone ''z403'' to ' || path || {_SITE}, false, '# remove: limit_req zone=z403; from ' || path
+  FROM second WHERE status = 403),
+both_rules AS (SELECT * FROM rules UNION ALL SELECT * FROM more),
+both_alerts AS (
+  SELECT alert_id, rule, source_label, severity, recommended_action AS effective_action, created FROM alerts
+  UNION ALL SELECT alert_id, rule, source_label, 'high', CASE status WHEN 401 THEN 'block_ip' WHEN 403 THEN 'rate_limit'
+    ELSE 'block_path' END, {AS_OF} - first_seq % 600 FROM second)"""
+oracle("pipeline_rules", _ALL, """
+SELECT rule_ord, rule_type, command, description, critical, rollback_command, a.rule AS alert_rule, source_label
+FROM both_rules JOIN both_alerts a USING (alert_id)""")
+oracle("pipeline_status", _ALL, f"""
+SELECT alert_id, rule, source_label, severity, effective_action, n_rules, c AS critical,
+  CASE WHEN severity IN ('low', 'medium') AND NOT c THEN 'approved'
+    WHEN {AS_OF + 3600} - created > 300 THEN 'expired' ELSE 'pending' END AS status
+FROM (SELECT a.*, n_rules, severity IN ('high', 'critical') OR drastic AS c
+  FROM both_alerts a JOIN (SELECT alert_id, count(*) AS n_rules, bool_or(rule_type IN ('ufw', 'nginx_deny')) AS drastic
+    FROM both_rules GROUP BY 1) USING (alert_id))""")

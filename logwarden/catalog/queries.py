@@ -925,3 +925,34 @@ def stream_correlation(spark, sf_dir):
     found.writeStream.format("parquet").option("path", table).option(
         "checkpointLocation", fresh_folder(spark, "together-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(table)
+
+
+# --- all formats to rules and status ------------------------------------------------------------
+
+
+def _all_formats(spark, sf_dir) -> P.Response:
+    """Lines of all sources through both levels; the scorer sees every signal line by itself and names what to block."""
+    options = Options(ingest=OPTIONS.ingest, response=OPTIONS.response)
+    sources = registry.load_sources(spark, D.SITES)
+    entries = P.ingest_all(D.all_lines(spark, sf_dir), sources, options).entries
+    texts = entries.where(~F.col("is_noise")).select(
+        F.concat_ws("-", "source_label", "seq").alias("batch_id"), F.col("raw_line").alias("batch_text"),
+        "source_label", F.lit("").alias("context_text"), F.lit(1).alias("n_rows"), F.col("seq").alias("first_seq"))
+    judged = land(scoring.cascade(texts, scoring.naming_scorer, None, options.score), "judged")
+    return P.respond_to(entries, _created(), options, assessments=judged)
+
+
+@query
+def pipeline_rules(spark, sf_dir):
+    """Proposed rules of all formats and both levels: addresses, several paths, given zones and rates."""
+    response = _all_formats(spark, sf_dir)
+    about = response.alerts.select("alert_id", F.col("rule").alias("alert_rule"), "source_label")
+    return response.rules.join(about, "alert_id").drop("alert_id")
+
+
+@query
+def pipeline_status(spark, sf_dir):
+    """Where the alerts of all formats and both levels stand after the gate, and after an hour without decisions."""
+    gated = _all_formats(spark, sf_dir).alerts
+    later = respond.expire_pending(gated, F.timestamp_seconds(F.lit(AS_OF + 3600)), OPTIONS.response)
+    return later.select("alert_id", "rule", "source_label", "severity", "effective_action", "n_rules", "critical", "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -198,3 +200,23 @@ def context_scorer(prompts: list[str]) -> list[str]:
             reply = '{"category":"normal","severity":"low","confidence":0.9}'
         out.append(reply)
     return out
+
+
+_REQUEST = re.compile(r'^(\S+) .*?"\S+ (\S+) HTTP/[^"]*" (\d+) ', re.M)
+
+
+def naming_scorer(prompts: list[str]) -> list[str]:
+    """Stand-in that names what to block, by the status of the first request: addresses, paths, or a zone and a rate."""
+    out = []
+    for prompt in prompts:
+        found = _REQUEST.search(prompt.rsplit("Lines:\n", 1)[-1])
+        ip, path, status = found.groups() if found else ("", "", "")
+        action, details = {
+            "401": ("block_ip", {"ips": [ip, "192.0.2.9", ip]}),
+            "403": ("rate_limit", {"path": path, "zone_name": "z403", "rate": "3r/s"}),
+            "404": ("block_path", {"paths": [path, "/extra", path]}),
+        }.get(status, ("alert_only", {}))
+        out.append(json.dumps({
+            "category": "malicious" if details else "normal", "severity": "high" if details else "low",
+            "confidence": 0.9, "recommended_action": action, "action_details": details}))
+    return out
