@@ -26,24 +26,25 @@ FIELDS = (
 def score(
     df: DataFrame, scorer: Scorer, prompt: str, reply: str, when: str | None = None
 ) -> DataFrame:
-    """Add column ``reply`` = scorer(prompt), called once per row on Arrow batches.
+    """Add column ``reply`` = scorer(prompt), called once per row on Arrow batches of prompts.
 
-    Rows where ``when`` is false pass by unscored. ``scorer`` is any picklable
-    callable from a list of prompts to a list of replies; it owns its own rate
-    limit and retries, and ``repartition`` caps how many run at once.
+    Only prompts go to Python; a row's other columns stay where they are. Rows without a prompt, and those where
+    ``when`` is not true, pass by unscored. ``scorer`` is any picklable callable from a list of prompts to a list of
+    replies; it owns its own rate limit and retries, and ``repartition`` caps how many run at once.
     """
 
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks:
-            wanted = pdf[when].fillna(False).astype(bool) if when else pd.Series(
-                True, index=pdf.index)
-            answers = pd.Series(None, index=pdf.index, dtype=object)
+    @F.pandas_udf("string")
+    def ask(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in chunks:
+            wanted = prompts.notna()
+            answers = pd.Series(None, index=prompts.index, dtype=object)
             if wanted.any():
-                answers[wanted] = scorer(pdf.loc[wanted, prompt].tolist())
-            yield pdf.assign(**{reply: answers})
+                answers[wanted] = scorer(prompts[wanted].tolist())
+            yield answers
 
-    schema = T.StructType([*df.schema.fields, T.StructField(reply, T.StringType())])
-    return df.mapInPandas(run, schema)
+    # as a model need not answer alike twice, the optimizer must not ask it again
+    asked = F.col(prompt) if when is None else F.when(F.col(when), F.col(prompt))
+    return df.withColumn(reply, ask.asNondeterministic()(asked))
 
 
 REPLIES = T.StructType([T.StructField("prompt_key", T.StringType()), T.StructField("reply", T.StringType())])

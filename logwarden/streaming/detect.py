@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import rules as R
 from ..operators.ingest import parse_access
 from ..operators.mask import actor_key
 from ..operators.noise import with_noise
 from ..options import Options
-from ..sources.landing import fresh_folder
+from ..sources.landing import exists, fresh_folder
 
 INTERVAL = "30 seconds"  # default flush interval of the micro-batches
 
@@ -116,8 +117,15 @@ def write_keyed(stream: DataFrame, table: str, checkpoint: str, once: bool = Fal
         processingTime=INTERVAL).start()
 
 
-def latest(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
-    """Last update of every key written by ``write_keyed``."""
+def latest(
+    spark: SparkSession, table: str, keys: Sequence[str], schema: StructType | None = None
+) -> DataFrame:
+    """Last update of every key written by ``write_keyed``; with ``schema``, no rows if no batch was written.
+
+    For streams that end. One that goes on needs ``keyed.KeyedTable``, whose files stay few.
+    """
+    if schema is not None and not exists(spark, table):
+        return spark.createDataFrame([], schema)
     rows = spark.read.parquet(table)
     values = [c for c in rows.columns if c not in keys and c != "batch_no"]
     return (
@@ -133,4 +141,4 @@ def run_once(
     """Run a stream over what is there and return its final rows."""
     table, checkpoint = fresh_folder(spark, name), fresh_folder(spark, f"{name}-state")
     write_keyed(stream, table, checkpoint, once=True).awaitTermination()
-    return latest(spark, table, keys)
+    return latest(spark, table, keys, stream.schema)

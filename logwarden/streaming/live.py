@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import respond
 from ..options import Options
 from ..plans.detection import respond_from
-from ..sources.landing import land
+from ..sources.landing import exists, land
 from . import detect
 from .keyed import KeyedTable
 
@@ -191,5 +191,7 @@ class LiveAlerts:
             processingTime=detect.INTERVAL).start()
 
     def alerts(self) -> DataFrame:
-        """All alerts raised so far."""
+        """All alerts raised so far; before the first one, no rows and no other columns than the id."""
+        if not exists(self.spark, f"{self.folder}/alerts"):
+            return self.spark.createDataFrame([], "alert_id string")
         return self.spark.read.parquet(f"{self.folder}/alerts")

@@ -177,3 +177,15 @@ def test_old_windows_leave_the_tables(spark, tmp_path):
     pipeline.outbox.compact()
     assert states(pipeline) == {("c", "sent"): 2} and len(sink.got) == 4
     assert pipeline.alerts().count() == 4
+
+
+def test_nothing_to_tell(spark, source, tmp_path):
+    folder, add = source
+    sink = Sink()
+    pipeline = live.LiveAlerts(spark, str(tmp_path / "live"), {"c": live.Channel(sink.send)})
+    lines = files.stream_lines(spark, str(folder), {".log": "web"})
+    assert detect.run_once(spark, detect.path_counts(detect.signal_rows(lines)), detect.PATH_KEYS).count() == 0
+    add("a.log", LINE % (1, 1, 1, "GET", "/", 200) + "\n", 0)
+    pipeline.start(lines, once=True).awaitTermination()
+    pipeline.drain()
+    assert pipeline.alerts().count() == 0 and states(pipeline) == {} and sink.calls == 0
