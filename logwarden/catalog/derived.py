@@ -130,6 +130,24 @@ SITES = {
 }
 
 
+#: Rules in order: name, kind, predicate on an entry (Spark's and DuckDB's spelling is the same), threshold.
+CUSTOM_RULES = (
+    ("failed_post", "count", "method = 'POST' AND status = 401", 3),
+    ("missing", "paths", "status = 404", 3),
+    ("admin", "paths", "path LIKE '/admin/%'", 2),
+    ("denied", "count", "status IN (401, 403)", 2),
+    ("posts", "count", "method = 'POST'", 4),
+    ("probe", "row", "user_agent LIKE 'Nikto%'", 1),
+    ("large", "count", "response_size > 6000", 3),
+    ("profiles", "count", "path LIKE '/users/%'", 2),
+    ("pages", "paths", "path LIKE '/page%'", 3),
+    ("errors", "count", "status >= 400", 2),
+    ("orders", "count", "path LIKE '/checkout%'", 2),
+    ("small", "paths", "response_size < 2000", 2),
+    ("all", "count", "status = 200", 3),
+)
+
+
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access and auth lines as one table."""
     auth = auth_lines(spark, sf_dir)

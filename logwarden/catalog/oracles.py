@@ -441,6 +441,9 @@ oracle("path_status_hist", BASE, """SELECT day, path, status, count(*) AS n, min
 FROM signal WHERE path <> '' GROUP BY 1, 2, 3""")
 oracle("frequent_paths", BASE, _PATHS + " HAVING count(*) >= 3 OR count(DISTINCT actor) >= 2")
 
+oracle("path_stats_sketched", BASE, """SELECT path, count(*) AS request_count, min(seq) AS first_seq,
+  count(DISTINCT actor) AS n_ips, true AS within FROM signal WHERE path <> '' GROUP BY 1""")
+
 # --- rules -------------------------------------------------------------------------
 
 for _name, _predicate in (("l1_sqli", _SQLI), ("l1_traversal", _TRAV), ("l1_scanner", _SCAN)):
@@ -461,12 +464,35 @@ oracle("assessment_entries", f"{BASE}, {LABELS}", """
 SELECT label AS rule, source_label, CASE WHEN label IN ('bruteforce', 'path_fuzz') THEN actor END
   AS actor, seq FROM labelled WHERE label IS NOT NULL""")
 
+# one rule after the other takes its rows from what the earlier ones left
+_CUSTOM, _LEFT = [], "signal"
+for _k, (_name, _kind, _predicate, _least) in enumerate(D.CUSTOM_RULES):
+    _n = "count(DISTINCT path)" if _kind == "paths" else "count(*)"
+    _CUSTOM.append(f"""take{_k} AS MATERIALIZED (SELECT * FROM {_LEFT} JOIN (
+  SELECT source_label, actor, {_n} AS n FROM {_LEFT} WHERE {_predicate} GROUP BY 1, 2 HAVING {_n} >= {_least})
+  USING (source_label, actor) WHERE {_predicate}),
+left{_k} AS MATERIALIZED (SELECT * FROM {_LEFT} WHERE seq NOT IN (SELECT seq FROM take{_k}))""")
+    _LEFT = f"left{_k}"
+CUSTOM = ",\n".join([BASE, *_CUSTOM])
+oracle("custom_rules", CUSTOM, "\nUNION ALL ".join(f"""
+SELECT '{_name}' AS rule, source_label, {"CAST(NULL AS VARCHAR)" if _kind == "row" else "actor"} AS actor,
+  CAST({"count(*)" if _kind == "row" else "any_value(n)"} AS BIGINT) AS n, count(*) AS n_rows,
+  count(DISTINCT take{_k}.actor) AS n_ips, arg_min(take{_k}.actor, seq) AS ip, arg_min(path, seq) AS path, min(seq) AS first_seq,
+  CAST({"count(*)" if _kind == "row" else "any_value(n)"} AS VARCHAR) || ' of ' || arg_min(take{_k}.actor, seq) AS summary
+FROM take{_k} GROUP BY source_label{"" if _kind == "row" else f", take{_k}.actor"}"""
+    for _k, (_name, _kind, _, _) in enumerate(D.CUSTOM_RULES)))
+oracle("custom_labels", CUSTOM, "\nUNION ALL ".join([
+    *(f"SELECT source_label, actor, '{_name}' AS label, count(*) AS n FROM take{_k} GROUP BY 1, 2"
+      for _k, (_name, *_) in enumerate(D.CUSTOM_RULES)),
+    f"SELECT source_label, actor, 'none', count(*) FROM {_LEFT} GROUP BY 1, 2"]))
+
 TRIES = f"{BASE}, tries AS (SELECT * FROM signal WHERE {_BRUTE})"
 oracle("brute_force_rolling", f"""{TRIES},
 w AS (SELECT source_label, actor, ts_epoch, count(*) OVER (PARTITION BY source_label, actor
   ORDER BY ts_epoch RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW) AS c FROM tries)""", """
 SELECT source_label, actor, min(ts_epoch) AS reached_at, max(c) AS peak FROM w WHERE c >= 3
 GROUP BY 1, 2""")
+oracle("stream_rolling", "", ORACLES["brute_force_rolling"])
 oracle("detect_tumbling", TRIES, """
 SELECT source_label, actor, ts_epoch - ts_epoch % 86400 AS window_start, count(*) AS n FROM tries
 GROUP BY 1, 2, 3 HAVING count(*) >= 2""")

@@ -286,6 +286,18 @@ def path_status_hist(spark, sf_dir):
     return stats.path_status(_daily(spark, sf_dir), DAY)
 
 
+@query
+def path_stats_sketched(spark, sf_dir):
+    """Sketches of the actors per (day, path), stored, merged over the days; is the estimate within 2 % of the count?"""
+    entries = _daily(spark, sf_dir)
+    daily = land(stats.path_sketches(entries, DAY), "sketches")
+    estimated = stats.sketched_counts(stats.merged_sketches(daily, ()))
+    exact = stats.path_stats(entries, ()).select("path", F.col("n_ips").alias("exact"))
+    return estimated.join(exact, "path").select(
+        "path", "request_count", "first_seq", F.col("exact").alias("n_ips"),
+        (F.abs(F.col("n_ips") - F.col("exact")) <= F.col("exact") * 0.02).alias("within"))
+
+
 @query
 def frequent_paths(spark, sf_dir):
     return stats.frequent_paths(_daily(spark, sf_dir), DAY)
@@ -359,6 +371,33 @@ def l1_remaining(spark, sf_dir):
     return _labelled(spark, sf_dir).where(F.col("label").isNull()).select("seq", "actor")
 
 
+def _custom_rules() -> list[rules.Rule]:
+    """The rules of ``derived.CUSTOM_RULES``: twelve judge actors, one judges rows."""
+    return [
+        rules.Rule(name, kind, lambda p=predicate: F.expr(p), "custom", "medium", "rate_limit", threshold,
+                   summary=lambda: F.format_string("%d of %s", F.col("n"), F.col("ip")),
+                   indicator=lambda: F.col("path"))
+        for name, kind, predicate, threshold in D.CUSTOM_RULES
+    ]
+
+
+@query
+def custom_rules(spark, sf_dir):
+    """Findings of a registry of thirteen rules of one's own, per source."""
+    found = rules.findings(_entries(spark, sf_dir), P.SCOPE, OPTIONS.rules, _custom_rules())
+    return found.select("rule", "source_label", "actor", "n", "n_rows", "n_ips", "ip", "path", "first_seq", "summary")
+
+
+@query
+def custom_labels(spark, sf_dir):
+    """How many rows each of the thirteen rules took from each actor, and how many are left."""
+    entries = _landed_entries(spark, sf_dir, "seq", "source_label", "actor", "method", "path", "status",
+                              "response_size", "user_agent", "is_noise")
+    labelled = rules.label_rows(entries, P.SCOPE, OPTIONS.rules, _custom_rules())
+    return labelled.groupBy("source_label", "actor", F.coalesce("label", F.lit("none")).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query
 def assessment_entries(spark, sf_dir):
     by_actor = F.col("label").isin("bruteforce", "path_fuzz")
@@ -844,6 +883,32 @@ def stream_approvals(spark, sf_dir):
     return last.select("alert_id", "status")
 
 
+@query
+def stream_rolling(spark, sf_dir):
+    """As ``brute_force_rolling``, from a stream fed in four parts whose times overlap, with a restart after each."""
+    stateful.use_rocksdb(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(AS_OF - 31 * 86_400)) / 86_400)
+    part = F.least(F.lit(3), F.greatest(F.lit(0), F.floor((day + F.pmod("event_id", F.lit(3))) / 8)))
+    # the clock goes on after the last try: all seconds are passed on
+    tick = events.limit(1).withColumns({
+        "ts": F.timestamp_seconds(F.lit(AS_OF + 90 * 86_400)).cast(events.schema["ts"].dataType),
+        "event_type": F.lit("error"), "event_id": F.lit(1).cast(events.schema["event_id"].dataType)})
+    folder, table, state = (fresh_folder(spark, f"rolling-{name}") for name in ("events", "table", "state"))
+    for k in range(4):
+        mine = events.where(part == k)
+        (mine.unionByName(tick) if k == 3 else mine).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        rows = detect.signal_rows(D.access_lines_of(spark, stream), OPTIONS)
+        tries = rows.where(rules.is_failed_login(OPTIONS.rules)).select("ts", "source_label", "actor")
+        rolling = stateful.stream_rolling(tries, ["source_label", "actor"], 2 * 86_400, "3 days")
+        rolling.writeStream.format("parquet").option("path", table).option("checkpointLocation", state).trigger(
+            availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(rolling.schema).parquet(table)
+    return seen.where("rolling >= 3").groupBy("source_label", "actor").agg(
+        F.min("epoch").alias("reached_at"), F.max("rolling").alias("peak"))
+
+
 # --- epochs of tokens, and contexts of what no rule took ---------------------------------------
 
 

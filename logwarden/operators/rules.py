@@ -10,6 +10,10 @@ candidate rows by (scope, actor, path), with the counts each rule would see for
 every outcome of the earlier actor rules; a second, much smaller grouping by
 (scope, actor) picks the outcome. All findings come from that table: no row is
 joined back, and a hot actor is merged before the shuffle.
+
+The outcomes double with every actor rule. Registries with more than ``MOST_CASES`` of them
+carry a mask of matching rules with every path instead, and settle one actor rule after the
+other on what the earlier ones left (``residual_profile``): linear in the rules, same findings.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.once import computed_once
 from ..options import RuleOptions
+from ..sources.landing import land
 from .noise import any_of
 
 ROW, COUNT, PATHS = "row", "count", "paths"
 
+MOST_CASES = 3  # actor rules whose outcomes are counted side by side
+MOST_RULES = 62  # rules that fit a mask
+
 # Fixed texts of the findings.
 SUMMARIES = {
     "sqli": "SQL injection attempt detected: %s",
@@ -181,6 +189,8 @@ def path_profile(marked: DataFrame, rules: Sequence[Rule], scope: Sequence[str])
     Counts and row numbers only, so it is a hash aggregate. The user agent is part of
     the key just for rows whose rule quotes it.
     """
+    if _n_actor_rules(rules) > MOST_CASES:
+        raise ValueError(f"more than {MOST_CASES} actor rules need residual_profile")
     quoting = [r for r in rules if r.names_agent]
     kinds = [r.kind for r in rules]
     if quoting and PATHS in kinds and kinds.index(PATHS) < max(map(rules.index, quoting)):
@@ -227,6 +237,100 @@ def actor_profile(paths: DataFrame, rules: Sequence[Rule], scope: Sequence[str])
     return table.select(*keep)
 
 
+def _n_actor_rules(rules: Sequence[Rule]) -> int:
+    return sum(r.kind != ROW for r in rules)
+
+
+def _lowest_bit(mask: Column) -> Column:
+    return mask.bitwiseAND(-mask)
+
+
+def path_masks(marked: DataFrame, rules: Sequence[Rule], scope: Sequence[str]) -> DataFrame:
+    """Candidate rows merged per (scope, actor, path, mask): how many, and the first one's number.
+
+    Bit ``k`` of a mask says that rule ``k`` matches and no row rule before it does.
+    """
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"at most {MOST_RULES} rules")
+    matching, row_rules = F.lit(0).cast("bigint"), 0
+    for k, rule in enumerate(rules):
+        matching = matching + F.when(F.col(f"_m_{rule.name}"), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint")
+        row_rules |= (rule.kind == ROW) << k
+    first = _lowest_bit(F.col("_all").bitwiseAND(F.lit(row_rules).cast("bigint")))
+    mask = F.when(first == 0, F.col("_all")).otherwise(F.col("_all").bitwiseAND(first.bitwiseOR(first - 1)))
+    agent = F.when(_any_match([r for r in rules if r.names_agent]), F.col("user_agent"))
+    return marked.where(_any_match(rules)).withColumn("_all", matching).groupBy(
+        *scope, "actor", "path", agent.alias("user_agent"), mask.alias("mask")
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the other columns of ``facts``; a missing actor is an actor too."""
+    same = F.lit(True)
+    for key in keys:
+        same = same & rows[key].eqNullSafe(facts[key])
+    return rows.join(facts, same, "left").select(
+        *[rows[c] for c in rows.columns], *[facts[c] for c in facts.columns if c not in keys])
+
+
+def _with_settled(paths: DataFrame, settled: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """``paths`` with ``settled``: the bits of the actor rules that their actor qualifies for."""
+    none = F.lit(0).cast("bigint")
+    if settled is None:
+        return paths.withColumn("settled", none)
+    return _with_facts(paths, settled, keys).withColumn("settled", F.coalesce("settled", none))
+
+
+def residual_profile(marked: DataFrame, rules: Sequence[Rule], scope: Sequence[str]) -> DataFrame:
+    """The table of ``actor_profile`` for any number of actor rules.
+
+    Every actor rule counts the paths that the earlier ones left and adds the actors that qualify to a table of
+    one mask per (scope, actor). That table is landed per rule, so plans stay small and nothing is run twice.
+    Rows hold counts only of rules that caught the actor.
+    """
+    keys = [*scope, "actor"]
+    paths = land(path_masks(marked, rules, scope), "masks")
+    settled, always = None, 0
+    for k, rule in enumerate(rules):
+        if rule.kind == ROW:
+            always |= 1 << k
+            continue
+        left = _with_settled(paths.where(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0), settled, keys).where(
+            F.col("mask").bitwiseAND(F.col("settled")) == 0)
+        if rule.kind == PATHS:
+            counted = left.select(*keys, "path").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        else:
+            counted = left.groupBy(*keys).agg(F.sum("n").alias("n"))
+        reached = counted.where(F.col("n") >= rule.threshold).select(
+            *keys, F.lit(1 << k).cast("bigint").alias("settled"))
+        if settled is not None:
+            reached = settled.unionByName(reached).groupBy(*keys).agg(F.bit_or("settled").alias("settled"))
+        settled = land(reached, "settled")
+
+    takers = F.col("mask").bitwiseAND(F.col("settled").bitwiseOR(F.lit(always)))
+    taken = _with_settled(paths, settled, keys).withColumn("taker", _lowest_bit(takers)).where("taker <> 0")
+    per_path = taken.groupBy(*keys, "taker", "path").agg(
+        F.sum("n").alias("n"), F.min(F.struct("seq", "path", "user_agent")).alias("first"))
+    caught = per_path.groupBy(*keys, "taker").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_paths"), F.min("first").alias("first"))
+    columns = []
+    for k, rule in enumerate(rules):
+        mine = F.col("taker") == (1 << k)
+        columns += [
+            F.bool_or(mine).alias(f"q_{rule.name}"),
+            F.max(F.when(mine, F.col("n_paths" if rule.kind == PATHS else "n_rows"))).alias(f"n_{rule.name}"),
+            F.max(F.when(mine, F.col("n_rows"))).alias(f"rows_{rule.name}"),
+            F.min(F.when(mine, F.col("first"))).alias(f"f_{rule.name}"),
+        ]
+    return caught.groupBy(*keys).agg(*columns)
+
+
+def _profile(marked: DataFrame, rules: Sequence[Rule], scope: Sequence[str]) -> DataFrame:
+    if _n_actor_rules(rules) > MOST_CASES:
+        return residual_profile(marked, rules, scope)
+    return actor_profile(path_profile(marked, rules, scope), rules, scope)
+
+
 def findings(
     entries: DataFrame,
     scope: Sequence[str],
@@ -250,7 +354,7 @@ def profile(
     rules = rules or default_rules(options)
     if not options.enabled:
         entries = entries.where(F.lit(False))
-    return actor_profile(path_profile(candidates(entries, rules), rules, scope), rules, scope)
+    return _profile(candidates(entries, rules), rules, scope)
 
 
 def _caught(actors: DataFrame, rules: Sequence[Rule], scope: Sequence[str]) -> DataFrame:
@@ -388,7 +492,7 @@ def label_rows(
     rules = rules or default_rules(options)
     scope = list(scope)
     marked = candidates(entries, rules)
-    qualified = actor_profile(path_profile(marked, rules, scope), rules, scope).select(
+    qualified = _profile(marked, rules, scope).select(
         *scope, "actor", *[f"q_{r.name}" for r in rules if r.kind != ROW]
     )
 
@@ -409,7 +513,7 @@ def label_rows(
 
     none = {f"q_{r.name}": F.lit(False) for r in rules if r.kind != ROW}
     settled = marked.where(~open_rule).withColumns(none).withColumn("label", label)
-    joined = marked.where(open_rule).join(qualified, [*scope, "actor"], "left")
+    joined = _with_facts(marked.where(open_rule), qualified, [*scope, "actor"])
     contested = joined.withColumn("label", label)
     keep = [*entries.columns, "label"]
     return settled.select(*keep).unionByName(contested.select(*keep))

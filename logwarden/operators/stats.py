@@ -136,6 +136,33 @@ def path_stats(entries: DataFrame, by: Scope, *, approximate: bool = False) -> D
     )
 
 
+def path_sketches(entries: DataFrame, by: Scope, lg_k: int = 15) -> DataFrame:
+    """Requests and a sketch of the actors per non-empty path: one pass, no shuffle of actors.
+
+    Sketches are small (2^lg_k bytes at most, a few bytes for rare paths), can be stored, and merge by
+    ``merged_sketches``. The relative standard error is 1.04 / sqrt(2^lg_k), 0.6 % by default.
+    """
+    return signal(entries.where(F.col("path") != "")).groupBy(*by, "path").agg(
+        F.count(F.lit(1)).alias("request_count"),
+        F.hll_sketch_agg("actor", lg_k).alias("actors"),
+        F.min("seq").alias("first_seq"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: Scope) -> DataFrame:
+    """Sketches of finer scopes merged to ``by``, as if they had been made from all rows at once."""
+    return sketches.groupBy(*by, "path").agg(
+        F.sum("request_count").alias("request_count"),
+        F.hll_union_agg("actors").alias("actors"),
+        F.min("first_seq").alias("first_seq"),
+    )
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """``path_stats`` with estimated numbers of actors."""
+    return sketches.withColumn("n_ips", F.hll_sketch_estimate("actors")).drop("actors")
+
+
 def path_status(entries: DataFrame, by: Scope) -> DataFrame:
     return _histogram(entries.where(F.col("path") != ""), by, "path", "status")
 

@@ -1,7 +1,7 @@
-"""Operators that keep their own state: token epochs, approvals, consumed context.
+"""Operators that keep their own state: token epochs, rolling counts, approvals, consumed context.
 
 They need the RocksDB state store (``use_rocksdb``). State per key is small and
-bounded: one anchor, one alert, or one context of a few dozen rows. Of a key's rows in one
+bounded: one anchor, the seconds of one trailing window, one alert, or one context of a few dozen rows. Of a key's rows in one
 micro-batch, only what the operator needs in order is gathered (distinct seconds, an alert's
 decisions, a shard's rows), so the source's admission limit bounds the memory.
 """
@@ -9,7 +9,7 @@ decisions, a shard's rows), so the source's admission limit bounds the memory.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -127,6 +127,71 @@ def stream_living_epochs(
     )
 
 
+# --- rolling counts ---------------------------------------------------------------
+
+
+class _RollingState(StatefulProcessor):
+    """The seconds of the trailing window and their counts; a timer drops them when they are too old."""
+
+    def __init__(self, keys: list[str], seconds: int) -> None:
+        self._keys, self._seconds = keys, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._ring = handle.getListState("ring", "epoch bigint, n bigint")
+
+    def _end(self, epoch: int) -> int:
+        return (epoch + self._seconds) * 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = sorted(pair for pdf in rows for pair in zip(pdf["epoch"].tolist(), pdf["n"].tolist()))
+        ring = deque((int(epoch), int(n)) for epoch, n in self._ring.get())
+        if ring:
+            self._handle.deleteTimer(self._end(ring[-1][0]))
+        total, out = sum(n for _, n in ring), []
+        for epoch, n in fresh:
+            ring.append((epoch, n))
+            total += n
+            while ring[0][0] <= epoch - self._seconds:
+                total -= ring.popleft()[1]
+            out.append((*key, epoch, n, total))
+        self._ring.put(list(ring))
+        self._handle.registerTimer(self._end(ring[-1][0]))
+        yield pd.DataFrame(out, columns=[*self._keys, "epoch", "n", "rolling"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._ring.clear()
+        yield pd.DataFrame([], columns=[*self._keys, "epoch", "n", "rolling"]).astype(
+            {"epoch": "int64", "n": "int64", "rolling": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rolling(
+    rows: DataFrame, keys: Sequence[str], seconds: int = 300, delay: str = "10 minutes"
+) -> DataFrame:
+    """Stream twin of ``operators.activity.rolling_counts``: (keys, epoch, n, rolling), for append mode.
+
+    Rows are first counted per (keys, second), which merges a hot actor's rows on many tasks and puts rows that
+    come out of order, within ``delay``, into their place. A second is passed on once, when the watermark has left it,
+    so seconds reach the state in order, and the state holds no more than those of the trailing window.
+    Rows later than ``delay`` are counted by Spark (``numRowsDroppedByWatermark``) and not used.
+    """
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    counted = rows.withWatermark("ts", delay).groupBy(F.window("ts", "1 second"), *keys).agg(
+        F.count(F.lit(1)).alias("n"))
+    timed = counted.select(
+        *keys, F.unix_seconds("window.start").alias("epoch"), "n", F.window_time("window").alias("at"))
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_RollingState(keys, seconds),
+        outputStructType=", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "epoch bigint, n bigint, rolling bigint"]),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 # --- approvals --------------------------------------------------------------------
 
 

@@ -189,3 +189,67 @@ def test_one_scan_and_no_sort_before_the_shuffle(spark, sf_dir):
     assert plan.count("regexp_replace(raw_line") == 1
     first = plan[plan.rindex("HashAggregate"):]
     assert "partial_count" in first and "BatchEvalPython" not in plan
+
+
+def many_rules():
+    """Twelve actor rules and two row rules over what overlaps: path, status, method and agent."""
+    made = []
+    for k in range(14):
+        kind = rules.ROW if k in (4, 9) else rules.PATHS if k % 3 == 1 else rules.COUNT
+        made.append(rules.Rule(
+            f"r{k}", kind, lambda k=k: F.pmod(F.xxhash64("path", "status", "method", F.lit(k)), F.lit(5 if k not in (4, 9) else 17)) == 0,
+            "custom", "low", "monitor", 2 + k % 3, summary=lambda: F.col("path"), indicator=lambda: F.col("path")))
+    return made
+
+
+def random_entries(n=400, seed=5):
+    rng = random.Random(seed)
+    return [{"ip": rng.choice(["10.0.0.1"] * 6 + [f"10.0.0.{i}" for i in range(9)] + [None]), "path": f"/p{rng.randrange(25)}",
+             "status": rng.choice([200, 401, 404]), "method": rng.choice(["GET", "POST"]), "source": rng.choice("ab"),
+             "noise": rng.random() < 0.1} for _ in range(n)]
+
+
+def test_many_actor_rules_equal_one_after_the_other(spark):
+    registry = many_rules()
+    entries = entries_of(spark, random_entries()).cache()
+    marked = rules.candidates(entries, registry).collect()
+    left, want, labels = list(marked), set(), {}
+    for rule in registry:
+        groups = {}
+        for row in left:
+            if row[f"_m_{rule.name}"]:
+                groups.setdefault((row.source_label, row.actor), []).append(row)
+        for (source, actor), mine in groups.items():
+            n = len({r.path for r in mine}) if rule.kind == rules.PATHS else len(mine)
+            if n >= rule.threshold or rule.kind == rules.ROW:
+                first = min(mine, key=lambda r: r.seq)
+                want.add((rule.name, source, actor, n, len(mine), first.seq, first.path))
+                labels.update({r.seq: rule.name for r in mine})
+        left = [r for r in left if r.seq not in labels]
+    table = rules.profile(entries, SCOPE, rules=registry)
+    got = {(c.rule, c.source_label, c.ip, c.n, c.n_rows, c.first.seq, c.first.path)
+           for c in rules._caught(table, registry, SCOPE).collect()}
+    assert got == want and len({w[0] for w in want}) > 9
+    labelled = {r.seq: r.label for r in rules.label_rows(entries, SCOPE, rules=registry).collect()}
+    assert {seq: label for seq, label in labelled.items() if label} == labels
+    assert len(labelled) == len(marked)
+
+
+def test_both_ways_of_counting_agree(spark):
+    registry = rules.default_rules(RuleOptions(brute_force_threshold=2, path_fuzz_threshold=3))
+    rows = [{**r, "path": "/login" if r["status"] == 401 else r["path"], "agent": "sqlmap" if i % 13 == 0 else "Mozilla"}
+            for i, r in enumerate(random_entries(seed=6))]
+    marked = rules.candidates(entries_of(spark, rows), registry)
+    cases = rules.actor_profile(rules.path_profile(marked, registry, SCOPE), registry, SCOPE)
+    masks = rules.residual_profile(marked, registry, SCOPE)
+    first, second = (sorted(map(str, rules._caught(t, registry, SCOPE).collect())) for t in (cases, masks))
+    assert first == second and first
+
+
+def test_limits_of_registries(spark):
+    marked = rules.candidates(entries_of(spark, [{}]), many_rules())
+    with pytest.raises(ValueError, match="residual_profile"):
+        rules.path_profile(marked, many_rules(), SCOPE)
+    with pytest.raises(ValueError, match="at most"):
+        rules.path_masks(marked, many_rules() * 5, SCOPE)
+    assert rules.residual_profile(marked.where("false"), many_rules(), SCOPE).count() == 0

@@ -306,3 +306,31 @@ def test_tail_reads_a_rotated_file_once_though_its_new_name_matches(tmp_path):
     path.write_text("two\n")
     later = reader.latestOffset()
     assert [r[1] for s in reader.partitions(end, later) for r in reader.read(s)] == ["two"]
+
+
+def test_rolling_counts_of_rows_out_of_order(spark):
+    """Parts that overlap by less than the delay: every second once, as over a table; old state is dropped."""
+    import random
+
+    rng = random.Random(2)
+    start = 1_700_000_000
+    rows = [(start + part * 100 + rng.randrange(-30, 100), rng.choice("xxxxyz")) for part in range(5) for _ in range(60)]
+    folder, table, state = (fresh_folder(spark, f"rolling-{n}") for n in ("in", "out", "state"))
+    schema = "ts timestamp, actor string"
+    for part in range(6):
+        mine = rows[part * 60:(part + 1) * 60] or [(start + 10_000, "tick")]
+        spark.createDataFrame([(datetime.datetime.fromtimestamp(t, datetime.UTC), a) for t, a in mine], schema).write.mode(
+            "append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        out = stateful.stream_rolling(stream, ["actor"], 50, "135 seconds")
+        query = out.writeStream.format("parquet").option("path", table).option("checkpointLocation", state).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r.actor, r.epoch, r.n, r.rolling) for r in spark.read.schema(out.schema).parquet(table).collect())
+    assert all(p.stateOperators[-1].numRowsDroppedByWatermark == 0 for p in query.recentProgress)
+    want = []
+    for actor, epoch in sorted({(a, t) for t, a in rows}):
+        mine = [t for t, a in rows if a == actor]
+        want.append((actor, epoch, mine.count(epoch), sum(epoch - 50 < t <= epoch for t in mine)))
+    assert got == want
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= 1
