@@ -583,9 +583,8 @@ def alerts(spark, sf_dir):
 @query
 def mitigation_rules(spark, sf_dir):
     """Findings over masked rows; IP tokens are resolved only in the rules."""
-    masked = land(_masked(spark, sf_dir), "masked")
-    dictionary = mask.actor_dictionary(masked)
-    return P.respond_to(masked, _created(), OPTIONS, dictionary).rules.drop("alert_id")
+    facts, dictionary = P.masked_facts(D.access_lines(spark, sf_dir), OPTIONS)
+    return P.respond_to(facts, _created(), OPTIONS, dictionary).rules.drop("alert_id")
 
 
 @query

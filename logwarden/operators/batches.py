@@ -77,14 +77,12 @@ def rolling_context(
     columns: Sequence[str] = ("ts", "actor", "method", "path", "status", "user_agent"),
     *,
     chunk: int = 10_000,
-    last_of: str | None = None,
 ) -> DataFrame:
     """Each signal row with the last ``rows`` signal rows up to it, as ``context``.
 
     Positions are ranked without a global sort; frames run per chunk of
     positions, each with a halo of ``rows - 1`` from the chunk before, so a
-    source that holds most of the data is spread over many tasks. ``last_of``
-    keeps only rows that may be the last of a run of that column.
+    source that holds most of the data is spread over many tasks.
     """
     signal = entries.where(~F.col("is_noise"))
     ranked = running_rank(signal, "seq", by, name="position")
@@ -94,14 +92,6 @@ def rolling_context(
     )
     # the frame runs over the halo rows too, so it comes before the filter
     rolled = spread.withColumn("context", F.collect_list(F.struct("seq", *columns)).over(frame))
-    if last_of is not None:
-        # the last row of a slice may go on in the next one, so it stays in
-        follower = F.lead(last_of).over(
-            Window.partitionBy(*by, "_slice").orderBy("position")
-        )
-        rolled = rolled.withColumn("_next", follower).where(
-            F.col("_next").isNull() | (F.col("_next") != F.col(last_of))
-        ).drop("_next")
     return rolled.where("_home").drop("_slice", "_home")
 
 
@@ -109,15 +99,32 @@ def batch_contexts(
     batched: DataFrame,
     options: BatchOptions = BatchOptions(),
     *,
-    chunk: int = 10_000,
+    chunk: int = 10,
 ) -> DataFrame:
-    """(batch_id, context): the context after the last signal row of each batch."""
-    rolled = rolling_context(
-        batched.select("seq", "ts", "actor", "method", "path", "status", "user_agent",
-                       "is_noise", "batch_id"),
-        (), options.context_rows, chunk=chunk, last_of="batch_id",
-    )
-    return rolled.groupBy("batch_id").agg(F.max_by("context", "seq").alias("context"))
+    """(batch_id, context): the context after the last signal row of each batch.
+
+    Rows meet in short slices of positions, ``chunk`` contexts long with a halo of one, and only the last
+    rows of batches cut their context out of the slice: no context is built for the others.
+    """
+    columns = ("seq", "ts", "actor", "method", "path", "status", "user_agent")
+    n = options.context_rows
+    signal = batched.where(~F.col("is_noise")).select(*columns, "batch_id")
+    ranked = running_rank(signal, "seq", name="position")
+    row = F.struct("position", "_home", "batch_id", F.struct(*columns).alias("row"))
+    slices = with_halo(ranked, "position", n - 1, chunk * n).groupBy("_slice").agg(
+        F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def ends(i: Column) -> Column:
+        # the last row of a slice may go on in the next one, so it stays in
+        here, after = F.element_at("rows", i), F.get("rows", i)
+        return here["_home"] & (after.isNull() | (after["batch_id"] != here["batch_id"]))
+
+    last = slices.select("rows", F.explode(
+        F.filter(F.sequence(F.lit(1), F.size("rows")), ends)).alias("i"))
+    inside = F.slice("rows", F.greatest(F.col("i") - (n - 1), F.lit(1)), F.least(F.col("i"), F.lit(n)))
+    return last.select(
+        F.element_at("rows", F.col("i")).alias("end"), F.transform(inside, lambda r: r["row"]).alias("context"),
+    ).groupBy("end.batch_id").agg(F.max_by("context", "end.position").alias("context"))
 
 
 def _counted(rows: Column, value: Callable[[Column], Column]) -> Column:

@@ -19,18 +19,22 @@ TOKEN_LIST = "array<struct<prefix:string,pos:int,token:string,original:string>>"
 
 
 def mask_hashed(
-    df: DataFrame, options: MaskOptions, text: str = "raw_line", out: str = "sanitized_line"
+    df: DataFrame, options: MaskOptions, text: str = "raw_line", out: str = "sanitized_line",
+    address: str | None = None,
 ) -> DataFrame:
     """Add ``out`` (masked text) and ``token_list`` (what was swapped, in that order).
 
+    ``address`` adds the first address's entry of that list under this name, which needs no more than the
+    first pattern: a plan that reads neither text nor list runs no other.
+
     Patterns run one after the other on the text the previous one left. Within
     a pattern the longest match goes first, so a value that is part of another
     cannot damage it.
     """
     if not options.enabled:
-        return df.withColumn(out, F.col(text)).withColumn(
-            "token_list", F.expr(f"cast(array() as {TOKEN_LIST})")
-        )
+        none = F.expr(f"cast(array() as {TOKEN_LIST})")
+        extra = {address: F.get(none, F.lit(0))} if address else {}
+        return df.withColumn(out, F.col(text)).withColumns({**extra, "token_list": none})
     if not options.salt:
         raise ValueError("hashed tokens need a salt")
     work = df.withColumn(out, F.col(text))
@@ -39,12 +43,16 @@ def mask_hashed(
         found, tokens = f"_found_{name}", f"_tokens_{name}"
         work = work.withColumn(found, M.pii_matches(name, pattern, F.col(out)))
         work = work.withColumn(tokens, M.token_entries(F.col(found), prefix, options.salt))
+        if address and prefix == "[IP_":
+            work = work.withColumn(address, F.get(tokens, F.lit(0)))
         masked = mask_with(F.col(out), F.col(tokens))
         work = work.withColumn(
             out, F.when(F.size(tokens) == 0, F.col(out)).otherwise(masked)
         ).drop(found)
         lists.append(tokens)
     token_list = F.concat(*lists) if lists else F.expr(f"cast(array() as {TOKEN_LIST})")
+    if address and address not in work.columns:  # the pattern is switched off
+        work = work.withColumn(address, F.get(F.expr(f"cast(array() as {TOKEN_LIST})"), F.lit(0)))
     return work.withColumn("token_list", token_list).drop(*lists)
 
 
@@ -94,24 +102,29 @@ def actor_key(source_ip: str = "source_ip", text: str = "raw_line") -> Column:
     return F.coalesce(F.get(known, F.lit(0)), F.lit("unknown"))
 
 
-def masked_actor(masked: DataFrame, options: MaskOptions) -> DataFrame:
+def _own_address(masked: DataFrame, address: str | None) -> Column:
+    if address:
+        return F.col(address)
+    return F.get(F.filter("token_list", lambda t: t["prefix"] == "[IP_"), F.lit(0))
+
+
+def masked_actor(masked: DataFrame, options: MaskOptions, address: str | None = None) -> DataFrame:
     """Actor of masked rows: first IP token, else the parsed address hashed.
 
     Behind a one-row generator: a filter on it must not copy the masking into itself.
+    ``address`` is the column that ``mask_hashed`` added, if it was asked to.
     """
-    own = F.filter("token_list", lambda t: t["prefix"] == "[IP_")
     hidden = F.when(
         F.col("source_ip") != "", M.hash_token("[IP_", F.col("source_ip"), options.salt)
     )
-    actor = F.coalesce(F.get(own, F.lit(0))["token"], hidden, F.lit("unknown"))
+    actor = F.coalesce(_own_address(masked, address)["token"], hidden, F.lit("unknown"))
     return masked.withColumn("actor", F.explode(F.array(actor)))
 
 
-def actor_dictionary(masked: DataFrame) -> DataFrame:
+def actor_dictionary(masked: DataFrame, address: str | None = None) -> DataFrame:
     """(token, original) of every masked actor. Sensitive: keep it apart from the rows."""
-    own = F.filter("token_list", lambda t: t["prefix"] == "[IP_")
-    address = F.coalesce(F.get(own, F.lit(0))["original"], F.nullif("source_ip", F.lit("")))
-    return masked.groupBy(F.col("actor").alias("token")).agg(F.min(address).alias("original"))
+    original = F.coalesce(_own_address(masked, address)["original"], F.nullif("source_ip", F.lit("")))
+    return masked.groupBy(F.col("actor").alias("token")).agg(F.min(original).alias("original"))
 
 
 def token_occurrences(masked: DataFrame) -> DataFrame:

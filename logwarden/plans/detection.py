@@ -24,7 +24,24 @@ def entries(lines: DataFrame, options: Options = Options()) -> DataFrame:
 def masked_entries(lines: DataFrame, options: Options) -> DataFrame:
     """Entries whose actor is a token: nothing downstream sees an address."""
     parsed = noise.with_noise(ingest.parse_access(lines), options.noise)
-    return mask.masked_actor(mask.mask_hashed(parsed, options.mask), options.mask)
+    address = "_address"
+    masked = mask.masked_actor(mask.mask_hashed(parsed, options.mask, address=address), options.mask, address)
+    return masked.drop(address)
+
+
+def masked_facts(lines: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """What the rules read of masked entries, and the dictionary (token, original) of their actors.
+
+    For responses that quote no text: of the patterns only the first runs, and the parsed lines are landed
+    without text, with the dictionary's side apart.
+    """
+    parsed = noise.with_noise(ingest.parse_access(lines), options.noise)
+    masked = mask.masked_actor(
+        mask.mask_hashed(parsed, options.mask, address="_address"), options.mask, "_address")
+    facts = land(masked.select(
+        "seq", "ts", "source_label", "source_ip", "actor", "method", "path", "status", "response_size", "user_agent",
+        "is_noise", "_address"), "masked")
+    return facts.drop("source_ip", "_address"), mask.actor_dictionary(facts, "_address")
 
 
 class Ingested(NamedTuple):

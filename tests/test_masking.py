@@ -153,3 +153,14 @@ def test_token_epochs_against_a_loop(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted(want)
+
+
+def test_the_first_address_alone_gives_the_same_actor(spark):
+    texts = ["from 10.0.0.9 to 10.0.0.10", "see 2001:db8::1 a@b.example", "", "1.2.3.4"]
+    lines = lines_of(spark, *texts).withColumn("source_ip", F.lit("10.9.9.9"))
+    for options in (OPTIONS, MaskOptions(salt="s", patterns={"ipv4": False}), MaskOptions(salt="s", enabled=False)):
+        plain = mask.masked_actor(mask.mask_hashed(lines, options), options)
+        short = mask.masked_actor(mask.mask_hashed(lines, options, address="_a"), options, "_a")
+        assert sorted(plain.select("seq", "actor").collect()) == sorted(short.select("seq", "actor").collect())
+        assert sorted(mask.actor_dictionary(plain).collect()) == sorted(mask.actor_dictionary(short, "_a").collect())
+    assert set(short.columns) == {*plain.columns, "_a"}
