@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..options import BatchOptions
-from .ordering import running_rank, with_halo
+from .ordering import running_rank, slice_of, with_halo
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,32 +99,35 @@ def batch_contexts(
     batched: DataFrame,
     options: BatchOptions = BatchOptions(),
     *,
+    without: DataFrame | None = None,
     chunk: int = 10,
 ) -> DataFrame:
     """(batch_id, context): the context after the last signal row of each batch.
 
-    Rows meet in short slices of positions, ``chunk`` contexts long with a halo of one, and only the last
-    rows of batches cut their context out of the slice: no context is built for the others.
+    Rows meet in short slices of positions, ``chunk`` contexts long with a halo of one. The position of each
+    batch's last row is known before that, so a slice cuts out one context per batch that ends in it and no
+    other. Batches in ``without`` (batch_id) get none.
     """
     columns = ("seq", "ts", "actor", "method", "path", "status", "user_agent")
     n = options.context_rows
     signal = batched.where(~F.col("is_noise")).select(*columns, "batch_id")
     ranked = running_rank(signal, "seq", name="position")
-    row = F.struct("position", "_home", "batch_id", F.struct(*columns).alias("row"))
-    slices = with_halo(ranked, "position", n - 1, chunk * n).groupBy("_slice").agg(
+    ends = ranked.groupBy("batch_id").agg(F.max("position").alias("position"))
+    if without is not None:
+        ends = ends.join(without.select("batch_id"), "batch_id", "left_anti")
+    ends = ends.groupBy(slice_of(F.col("position"), chunk * n).alias("_slice")).agg(
+        F.collect_list(F.struct("position", "batch_id")).alias("ends"))
+    row = F.struct("position", F.struct(*columns).alias("row"))
+    slices = with_halo(ranked.drop("batch_id"), "position", n - 1, chunk * n).groupBy("_slice").agg(
         F.sort_array(F.collect_list(row)).alias("rows"))
 
-    def ends(i: Column) -> Column:
-        # the last row of a slice may go on in the next one, so it stays in
-        here, after = F.element_at("rows", i), F.get("rows", i)
-        return here["_home"] & (after.isNull() | (after["batch_id"] != here["batch_id"]))
-
-    last = slices.select("rows", F.explode(
-        F.filter(F.sequence(F.lit(1), F.size("rows")), ends)).alias("i"))
-    inside = F.slice("rows", F.greatest(F.col("i") - (n - 1), F.lit(1)), F.least(F.col("i"), F.lit(n)))
-    return last.select(
-        F.element_at("rows", F.col("i")).alias("end"), F.transform(inside, lambda r: r["row"]).alias("context"),
-    ).groupBy("end.batch_id").agg(F.max_by("context", "end.position").alias("context"))
+    def cut(end: Column) -> Column:
+        # positions have no gaps, so a row's place in its slice follows from its position
+        i = (end["position"] - F.get("rows", F.lit(0))["position"] + 1).cast("int")
+        inside = F.slice("rows", F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n)))
+        return F.struct(end["batch_id"].alias("batch_id"), F.transform(inside, lambda r: r["row"]).alias("context"))
+
+    return slices.join(ends, "_slice").select(F.explode(F.transform("ends", cut)).alias("_c")).select("_c.*")
 
 
 def _counted(rows: Column, value: Callable[[Column], Column]) -> Column:

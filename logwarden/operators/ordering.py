@@ -55,10 +55,11 @@ def running_rank(
         F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low")
     )
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
+    # landed, so that its size is known before the rows are read: rows are not shuffled to meet a small table
+    starts = land(sizes.select(
         *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_part").alias("_of"), "_low",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-    )
+    ), "starts")
     same = F.col("_part") == F.col("_of")
     for k, c in enumerate(by):
         same = same & placed[c].eqNullSafe(starts[f"_by{k}"])

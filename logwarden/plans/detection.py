@@ -180,36 +180,60 @@ def respond_from(
     return Response(gated, targets, proposed)
 
 
+#: What batches, rules, texts and contexts read of an entry, besides its text and its scope.
+READ = ("seq", "ts", "source_label", "actor", "method", "path", "status", "user_agent", "is_noise")
+#: Fields that contexts quote: a masked line's own are masked like the line, where that changes them.
+QUOTED = ("path", "user_agent")
+
+
+def for_scoring(
+    entries_: DataFrame, text: str = "sanitized_line", *, scope: Sequence[str] = SCOPE
+) -> DataFrame:
+    """The columns that ``open_batches`` reads; contexts' masked fields are put beside the clear ones.
+
+    A table of these serves the rules too, and is a fraction of the entries.
+    """
+    keep = list(dict.fromkeys([*READ, *scope, text]))
+    if "token_list" not in entries_.columns:
+        return entries_.select(*keep, *[f"_shown_{name}" for name in QUOTED if f"_shown_{name}" in entries_.columns])
+    shown = [
+        F.nullif(mask.mask_with(F.col(name), F.col("token_list")), F.col(name)).alias(f"_shown_{name}")
+        for name in QUOTED
+    ]
+    return entries_.select(*keep, *shown)
+
+
 def open_batches(
     entries_: DataFrame,
     options: Options,
     text: str = "sanitized_line",
     *,
     scope: Sequence[str] = SCOPE,
+    landed: bool = False,
 ) -> DataFrame:
     """Batches no rule caught, with the texts a scorer gets.
 
     Needs ``entries`` with ``text``; adds batch_text, source_label, context_text.
-    Entries and batched rows are landed: the ranking reads the one twice, and
-    rules, texts and contexts all read the other. With ``options.batch.consume`` the rows that a
+    What is read of the entries is landed, as the ranking reads it twice (``landed``: they are a landed table of
+    ``for_scoring``); rules, texts and contexts read the ranked rows. With ``options.batch.consume`` the rows that a
     rule took are in no context: a scorer sees the last rows that are still unexplained.
     """
-    landed = land(entries_, "entries")
-    batched = land(B.assign_batches(landed, options.batch), "batched")
+    rows = entries_ if landed else land(for_scoring(entries_, text, scope=scope), "entries")
+    # noise counts in a batch's rows, and is in no text and no context
+    batched = B.assign_batches(rows, options.batch).where(~F.col("is_noise"))
     labelled = rules.label_rows(batched, tuple(scope), options.rules)
-    caught = labelled.where(F.col("label").isNotNull()).select("batch_id").distinct()
+    taken = land(labelled.where(F.col("label").isNotNull()).select("seq", "batch_id"), "taken")
+    caught = taken.select("batch_id").distinct()
     texts = B.batch_texts(batched, text).join(caught, "batch_id", "left_anti")
-    # contexts quote fields, so those are masked like the line they are from
     shown = batched.withColumns({
-        name: mask.mask_with(F.col(name), F.col("token_list")) for name in ("path", "user_agent")
-    }) if "token_list" in batched.columns else batched
+        name: F.coalesce(f"_shown_{name}", name) for name in QUOTED if f"_shown_{name}" in batched.columns})
     if options.batch.consume:
-        taken = labelled.where(F.col("label").isNotNull()).select("seq")
-        shown = shown.join(taken, "seq", "left_anti")
-    contexts = B.batch_contexts(shown, options.batch)
-    return texts.join(contexts, "batch_id", "left").withColumn(
-        "context_text", B.context_text(F.col("context"))
-    ).drop("context")
+        # the ranking of contexts reads its rows twice
+        shown = land(shown.select(*READ, "batch_id").join(taken.select("seq"), "seq", "left_anti"), "unexplained")
+    contexts = B.batch_contexts(shown, options.batch, without=caught)
+    # the text is shorter than the rows it sums up
+    summed = contexts.select("batch_id", B.context_text(F.col("context")).alias("context_text"))
+    return texts.join(summed, "batch_id", "left")
 
 
 def score_open(
@@ -220,10 +244,11 @@ def score_open(
     text: str = "sanitized_line",
     *,
     scope: Sequence[str] = SCOPE,
+    landed: bool = False,
 ) -> DataFrame:
     """Second-level assessments of the batches the rules left open.
 
     Landed: each batch is scored once, however often the result is read.
     """
-    texts = open_batches(entries_, options, text, scope=scope)
+    texts = open_batches(entries_, options, text, scope=scope, landed=landed)
     return land(scoring.cascade(texts, fast, deep, options.score), "assessments")

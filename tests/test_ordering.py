@@ -72,3 +72,10 @@ def test_nulls_are_ranked_too(spark):
     got = running_rank(spark.createDataFrame(rows, "g string, seq bigint"), "seq", ["g"])
     assert sorted(((r.g, r.seq, r["rank"]) for r in got.collect()), key=str) == sorted(
         [("a", 1, 1), ("a", 3, 2), ("a", None, 3), (None, 1, 1), (None, 2, 2), (None, None, 3)], key=str)
+
+
+def test_ranked_rows_are_not_shuffled_to_meet_their_ranges(skewed):
+    """Only the ranges are sent to the tasks that read the ranked rows: nothing but a broadcast before the rank."""
+    for by in ((), ("g",)):
+        plan = running_rank(skewed, "seq", by)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logwarden.functions import verdict as V
 from logwarden.operators import batches as B
 from logwarden.operators import scoring
+from logwarden.operators.mask import TOKEN_LIST
 from logwarden.options import BatchOptions, MaskOptions, Options
 from logwarden.plans import detection as P
 
@@ -158,3 +159,39 @@ def test_context_keeps_the_last_rows(spark):
         mine = [i for i in signal if (i % 5 == 0) == (row.seq % 5 == 0) and i <= row.seq][-30:]
         assert [c.seq for c in row.context] == mine
     assert len(rows) == len(signal)
+
+
+def _context_rows(spark, n=400):
+    """Rows whose batches interleave, as those of neighbouring numbers fall on different days; every ninth is noise."""
+    rows = [{"at": (i * 7 % 5) * 86_400 + i, "path": f"/p{i}", "noise": i % 9 == 0} for i in range(n)]
+    return entries_of(spark, rows)
+
+
+def test_contexts_are_cut_for_wanted_batches_only(spark):
+    """One context per batch, of the last rows before its end, and none for batches that are left out."""
+    options = Options().overlay({"batch": {"interval_seconds": 86_400}})
+    batched = B.assign_batches(_context_rows(spark), options.batch).localCheckpoint()
+    signal = sorted((r.seq, r.batch_id) for r in batched.where("not is_noise").collect())
+    seqs = [seq for seq, _ in signal]
+    last = {batch: seq for seq, batch in signal}
+    want = {batch: seqs[max(0, seqs.index(seq) - 29):seqs.index(seq) + 1] for batch, seq in last.items()}
+    out = set(sorted(want)[::3])
+    without = spark.createDataFrame([(b,) for b in out], "batch_id string")
+    rows = B.batch_contexts(batched, options.batch, without=without).collect()
+    assert len(rows) == len(want) - len(out)
+    assert {r.batch_id: [c.seq for c in r.context] for r in rows} == {b: s for b, s in want.items() if b not in out}
+    assert len(B.batch_contexts(batched, options.batch).collect()) == len(want)
+
+
+def test_little_is_landed_for_the_scorer(spark, monkeypatch):
+    """Open batches land the columns that are read, once, and no text of a line beside the one that is shown."""
+    landed = {}
+    keep = P.land
+    monkeypatch.setattr(P, "land", lambda df, name: landed.setdefault(name, keep(df, name)))
+    entries = _context_rows(spark).withColumn("token_list", F.expr(f"cast(array() as {TOKEN_LIST})"))
+    P.open_batches(entries, Options(), "raw_line").collect()
+    assert set(landed) == {"entries", "taken"}
+    assert set(landed["entries"].columns) == {
+        "seq", "ts", "source_label", "actor", "method", "path", "status", "user_agent", "is_noise", "raw_line",
+        "_shown_path", "_shown_user_agent"}
+    assert landed["taken"].columns == ["seq", "batch_id"]
