@@ -2,7 +2,8 @@
 
 The given tables hold no log lines; these projections render every event as an
 access line, an auth line, a scorer reply. They are plain expressions over the
-whole table: no filter, no limit, no shuffle.
+whole table: no filter, no limit. The narrow events are dealt evenly over the cores first, as a file of few
+row groups would have a few tasks render, parse and mask all lines.
 """
 
 from __future__ import annotations
@@ -90,33 +91,33 @@ FROM {events}
 """
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3 * spark.sparkContext.defaultParallelism)
 
 
-def _render(spark: SparkSession, events: DataFrame, query: str) -> DataFrame:
-    return spark.sql(query, events=events)
+def _render(spark: SparkSession, table: DataFrame, query: str) -> DataFrame:
+    return spark.sql(query, events=table)
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _render(spark, _events(spark, sf_dir), ACCESS)
+    return _render(spark, events(spark, sf_dir), ACCESS)
 
 
-def access_lines_of(spark: SparkSession, events: DataFrame) -> DataFrame:
+def access_lines_of(spark: SparkSession, table: DataFrame) -> DataFrame:
     """The same rendering for a streaming ``events``."""
-    return _render(spark, events, ACCESS)
+    return _render(spark, table, ACCESS)
 
 
 def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _render(spark, _events(spark, sf_dir), AUTH)
+    return _render(spark, events(spark, sf_dir), AUTH)
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _render(spark, _events(spark, sf_dir), REPLIES)
+    return _render(spark, events(spark, sf_dir), REPLIES)
 
 
 def deep_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _render(spark, _events(spark, sf_dir), DEEP_REPLIES)
+    return _render(spark, events(spark, sf_dir), DEEP_REPLIES)
 
 
 SITES = {
