@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -131,36 +133,54 @@ def stream_living_epochs(
 
 
 class _RollingState(StatefulProcessor):
-    """The seconds of the trailing window and their counts; a timer drops them when they are too old."""
+    """The seconds of the trailing window and their counts, for all keys of a bucket as one Arrow table; a timer
+    drops them when all are too old."""
 
     def __init__(self, keys: list[str], seconds: int) -> None:
         self._keys, self._seconds = keys, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._ring = handle.getListState("ring", "epoch bigint, n bigint")
+        self._rings = handle.getValueState("rings", "last bigint, rings binary")
 
     def _end(self, epoch: int) -> int:
         return (epoch + self._seconds) * 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = sorted(pair for pdf in rows for pair in zip(pdf["epoch"].tolist(), pdf["n"].tolist()))
-        ring = deque((int(epoch), int(n)) for epoch, n in self._ring.get())
-        if ring:
-            self._handle.deleteTimer(self._end(ring[-1][0]))
-        total, out = sum(n for _, n in ring), []
-        for epoch, n in fresh:
-            ring.append((epoch, n))
-            total += n
-            while ring[0][0] <= epoch - self._seconds:
-                total -= ring.popleft()[1]
-            out.append((*key, epoch, n, total))
-        self._ring.put(list(ring))
-        self._handle.registerTimer(self._end(ring[-1][0]))
-        yield pd.DataFrame(out, columns=[*self._keys, "epoch", "n", "rolling"])
+        fresh = pa.Table.from_pandas(
+            pd.concat([pdf[[*self._keys, "epoch", "n"]] for pdf in rows]), self._schema(), preserve_index=False)
+        n_old, together = 0, fresh
+        if self._rings.exists():
+            last, kept = self._rings.get()
+            self._handle.deleteTimer(self._end(last))
+            old = pa.ipc.open_stream(bytes(kept)).read_all()
+            n_old, together = old.num_rows, pa.concat_tables([old, fresh])
+        who = pd.MultiIndex.from_arrays([pd.factorize(together[k].to_pandas(), use_na_sentinel=False)[0] for k in self._keys])
+        owner = pd.factorize(who)[0].astype("int64")
+        epoch, n = together["epoch"].to_numpy(), together["n"].to_numpy()
+        # owners lie further apart than the window is long, so that one search finds every window's start
+        low = epoch.min()
+        place = owner * (epoch.max() - low + self._seconds + 1) + (epoch - low)
+        order = np.argsort(place, kind="stable")
+        place, before = place[order], np.concatenate([[0], np.cumsum(n[order])])
+        rolling = np.empty(len(order), dtype="int64")
+        rolling[order] = before[1:] - before[np.searchsorted(place, place - self._seconds, side="right")]
+        # seconds to come are not before the watermark
+        clock = timerValues.getCurrentWatermarkInMs() // 1000
+        left = together.filter(pa.array(epoch > clock - 1 - self._seconds))
+        last = int(epoch.max())
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, left.schema) as stream:
+            stream.write_table(left)
+        self._rings.update((last, sink.getvalue().to_pybytes()))
+        self._handle.registerTimer(self._end(last))
+        yield fresh.append_column("rolling", pa.array(rolling[n_old:])).to_pandas()
+
+    def _schema(self) -> pa.Schema:
+        return pa.schema([*((k, pa.string()) for k in self._keys), ("epoch", pa.int64()), ("n", pa.int64())])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._ring.clear()
+        self._rings.clear()
         yield pd.DataFrame([], columns=[*self._keys, "epoch", "n", "rolling"]).astype(
             {"epoch": "int64", "n": "int64", "rolling": "int64"})
 
@@ -169,7 +189,7 @@ class _RollingState(StatefulProcessor):
 
 
 def stream_rolling(
-    rows: DataFrame, keys: Sequence[str], seconds: int = 300, delay: str = "10 minutes"
+    rows: DataFrame, keys: Sequence[str], seconds: int = 300, delay: str = "10 minutes", buckets: int = 512
 ) -> DataFrame:
     """Stream twin of ``operators.activity.rolling_counts``: (keys, epoch, n, rolling), for append mode.
 
@@ -177,19 +197,25 @@ def stream_rolling(
     come out of order, within ``delay``, into their place. A second is passed on once, when the watermark has left it,
     so seconds reach the state in order, and the state holds no more than those of the trailing window.
     Rows later than ``delay`` are counted by Spark (``numRowsDroppedByWatermark``) and not used.
+
+    A call of the state store costs milliseconds, so actors share it: they are dealt to ``buckets`` by a hash, and a
+    bucket's seconds are one value that is worked on as columns. A checkpoint goes with its number of buckets.
+    ``keys`` are of plain types (what a cast to text and back keeps).
     """
     keys = list(keys)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = {f.name: f.dataType for f in rows.schema}
     counted = rows.withWatermark("ts", delay).groupBy(F.window("ts", "1 second"), *keys).agg(
         F.count(F.lit(1)).alias("n"))
     timed = counted.select(
-        *keys, F.unix_seconds("window.start").alias("epoch"), "n", F.window_time("window").alias("at"))
-    return timed.groupBy(*keys).transformWithStateInPandas(
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *[F.col(k).cast("string").alias(k) for k in keys],
+        F.unix_seconds("window.start").alias("epoch"), "n", F.window_time("window").alias("at"))
+    rolled = timed.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=_RollingState(keys, seconds),
-        outputStructType=", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "epoch bigint, n bigint, rolling bigint"]),
+        outputStructType=", ".join([*(f"`{k}` string" for k in keys), "epoch bigint, n bigint, rolling bigint"]),
         outputMode="Append",
         timeMode="EventTime",
     )
+    return rolled.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], "epoch", "n", "rolling")
 
 
 # --- approvals --------------------------------------------------------------------

@@ -334,3 +334,34 @@ def test_rolling_counts_of_rows_out_of_order(spark):
         want.append((actor, epoch, mine.count(epoch), sum(epoch - 50 < t <= epoch for t in mine)))
     assert got == want
     assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= 1
+
+
+def test_rolling_counts_of_many_actors_share_calls_of_the_state(spark, monkeypatch):
+    """As over a table, with missing actors and numbers for keys, and with few values in the state for many actors."""
+    import random
+
+    stateful.use_rocksdb(spark)
+    rng = random.Random(4)
+    start = 1_700_000_000
+    rows = [(start + part * 100 + rng.randrange(100), rng.choice([None, *range(2**53 + 1, 2**53 + 40)]), rng.choice("ab"))
+            for part in range(2) for _ in range(300)]
+    folder, table, state = (fresh_folder(spark, f"shared-{n}") for n in ("in", "out", "state"))
+    schema = "ts timestamp, actor bigint, source_label string"
+    held = []
+    for mine in (rows[:300], rows[300:], [(start + 1000, 0, "tick")]):
+        spark.createDataFrame([(datetime.datetime.fromtimestamp(t, datetime.UTC), a, s) for t, a, s in mine], schema).write.mode(
+            "append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        out = stateful.stream_rolling(stream, ["actor", "source_label"], 50, "10 seconds", buckets=3)
+        query = out.writeStream.format("parquet").option("path", table).option("checkpointLocation", state).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+        held += [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert dict(out.dtypes)["actor"] == "bigint"
+    got = sorted((r.source_label, str(r.actor), r.epoch, r.n, r.rolling) for r in spark.read.schema(out.schema).parquet(table).collect())
+    want = []
+    for label, actor, epoch in {(s, a, t) for t, a, s in rows}:
+        mine = [t for t, a, s in rows if (a, s) == (actor, label)]
+        want.append((label, str(actor), epoch, mine.count(epoch), sum(epoch - 50 < t <= epoch for t in mine)))
+    assert got == sorted(want)
+    assert 0 < max(held) <= 3
