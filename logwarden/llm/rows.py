@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
+
 
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
@@ -21,9 +24,11 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def texts(column: pa.Array) -> list[str]:
-    """The strings of an Arrow column; null is the empty text."""
-    return ["" if x is None else x for x in column.to_pylist()]
+def texts(column: pa.Array) -> Iterator[str]:
+    """The strings of an Arrow column, ``ROWS`` made at a time; null is the empty text."""
+    for k in range(0, len(column), ROWS):
+        for x in column.slice(k, ROWS).to_pylist():
+            yield "" if x is None else x
 
 
 def raw_texts(column: pa.Array) -> Iterator[bytes]:

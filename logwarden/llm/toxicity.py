@@ -39,6 +39,8 @@ from logwarden.sources.landing import land
 
 SAMPLE = 20_000
 FOLDS = 5
+#: Things that a task counts before it passes the counts on.
+THINGS = 50_000
 SHORTEST, LONGEST = 3, 12
 #: Share of toxic documents among those with a term, and the chance (natural log) that luck alone does it.
 PRECISION, LUCK = 0.8, -16.0
@@ -136,20 +138,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         "text", (F.col("toxic") > 0).alias("toxic"), remainder(F.col("doc_id")).alias("fold"))
 
 
+def partial_counts(batches: Iterator[pa.RecordBatch], things: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
+    """(thing, toxic, clean) of a task's texts; what is counted is passed on whenever it holds ``THINGS`` things."""
+
+    def summed(clean: Counter, toxic: Counter) -> pa.RecordBatch:
+        names = sorted(clean.keys() | toxic.keys())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()),
+             pa.array([clean[n] for n in names], pa.int64())], ["thing", "toxic", "clean"])
+
+    for batch in batches:
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist()):
+            sums[toxic].update(things(text))
+            if len(sums[0]) + len(sums[1]) >= THINGS:
+                yield summed(*sums)
+                sums = (Counter(), Counter())
+        yield summed(*sums)
+
+
 def counted(rows: DataFrame, things: Callable[[str], set[str]]) -> DataFrame:
     """(thing, toxic, clean): training documents with each thing that ``things(text)`` names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist()):
-                sums[toxic].update(things(text))
-            names = sorted(sums[0].keys() | sums[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([sums[1][n] for n in names], pa.int64()),
-                 pa.array([sums[0][n] for n in names], pa.int64())], ["thing", "toxic", "clean"])
-
-    parts = rows.select("text", "toxic").mapInArrow(run, "thing string, toxic bigint, clean bigint")
+    parts = rows.select("text", "toxic").mapInArrow(
+        lambda batches: partial_counts(batches, things), "thing string, toxic bigint, clean bigint")
     return parts.groupBy("thing").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 

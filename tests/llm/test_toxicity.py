@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from logwarden.llm import queries, toxicity
+from logwarden.llm import queries, rows, toxicity
 from logwarden.llm.toxicity import Lexicon, Model, fold
 
 SF = "/root/testdata/sf0.1"
@@ -61,3 +64,27 @@ def test_edge_rows_and_clashing_columns(spark, docs_of):
     assert toxicity.learn(docs, no_labels).terms == {}
     assert toxicity.scores(docs_of([]), toxicity.learn(docs_of([]), no_labels)).count() == 0
     assert toxicity.learn(docs, spark.createDataFrame([(3, 1), (3, 0)], "doc_id bigint, toxic int")).terms == {}
+
+
+def test_a_large_batch_is_counted_in_little_memory():
+    """A batch of many texts without a common word: a task holds some texts and counts at a time, and the sums are whole."""
+    given = [(" ".join(f"{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 676)}{'x' * (j % 8)}{chr(97 + j)}" for j in range(26)),
+              k % 3 == 0) for k in range(9_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in given]), pa.array([b for _, b in given])], ["text", "toxic"])
+    want = {b: Counter(x for t, toxic in given if toxic == b for x in toxicity.beginnings(fold(t))) for b in (False, True)}
+    got = {False: Counter(), True: Counter()}
+    for part in toxicity.partial_counts(iter([batch]), lambda text: toxicity.beginnings(fold(text))):
+        assert part.num_rows < toxicity.THINGS + 1_000
+        for thing, toxic, clean in zip(*(c.to_pylist() for c in part.columns)):
+            got[True][thing] += toxic
+            got[False][thing] += clean
+    assert {b: +c for b, c in got.items()} == want and sum(map(len, want.values())) > 4 * toxicity.THINGS
+
+
+def test_texts_are_made_some_at_a_time():
+    column = pa.array(["ä" * 2_000, None] * 5_000)
+    tracemalloc.start()
+    assert sum(len(t) for t in rows.texts(column)) == 10_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000  # all of them together take twice and more
