@@ -185,7 +185,30 @@ def _agent_lines(own: Column) -> Column:
     )
 
 
-def _actor_block(context: Column, actor: Column) -> Column:
+def _grouped(rows: Column, value: Callable[[Column], Column]) -> Column:
+    """As ``_counted``, each value with its rows as ``own``."""
+    return F.array_sort(
+        F.transform(
+            F.array_distinct(F.transform(rows, value)),
+            lambda v, i: bound(
+                F.filter(rows, lambda r: value(r) == v),
+                lambda own: F.struct((-F.size(own)).alias("neg"), i.alias("pos"), v.alias("v"), own.alias("own")),
+            ),
+        )
+    )
+
+
+def _single_lines(row: Column) -> Column:
+    """What ``_path_lines`` and ``_agent_lines`` say of an actor with this row alone."""
+    path = F.concat(
+        F.lit("  "), row["method"], F.lit(" "), row["path"], F.lit(" -> 1x (status "),
+        row["status"].cast("string"), F.lit(":1)"),
+    )
+    agent = F.concat(F.lit("  User-Agent: "), row["user_agent"])
+    return F.when(row["user_agent"] != "", F.array(path, agent, F.lit(""))).otherwise(F.array(path, F.lit("")))
+
+
+def _actor_block(actor: Column) -> Column:
     head = F.array(
         F.concat(F.lit("IP "), actor["v"], F.lit(": "), _count(actor), F.lit(" requests"))
     )
@@ -195,13 +218,20 @@ def _actor_block(context: Column, actor: Column) -> Column:
         shared = F.struct(method.alias("method"), _status_text(own).alias("statuses"))
         return F.concat(head, bound(shared, lambda s: _path_lines(own, s)), _agent_lines(own))
 
-    return bound(F.filter(context, lambda r: r["actor"] == actor["v"]), block)
+    # most actors of a context have one row there, in which no value needs counting; missing values take the long way
+    def brief(row: Column) -> Column:
+        known = F.lit(True)
+        for name in ("method", "path", "status", "user_agent"):
+            known = known & row[name].isNotNull()
+        return F.when(known, F.concat(head, _single_lines(row))).otherwise(block(actor["own"]))
+
+    return F.when(actor["neg"] == -1, brief(F.get(actor["own"], F.lit(0)))).otherwise(block(actor["own"]))
 
 
 def _frequent_lines(context: Column) -> Column:
     def line(p: Column) -> Column:
         hits = F.filter(context, lambda r: r["path"] == p["v"])
-        return bound(
+        several = bound(
             F.size(F.array_distinct(F.transform(hits, lambda r: r["actor"]))),
             lambda ips: F.when(
                 (p["v"] != "") & ((p["neg"] <= -3) | (ips >= 2)),
@@ -209,6 +239,7 @@ def _frequent_lines(context: Column) -> Column:
                          ips.cast("string"), F.lit(" IPs")),
             ),
         )
+        return F.when(p["neg"] <= -2, several)  # a single hit is of one actor
 
     found = F.array_compact(F.transform(_counted(context, lambda r: r["path"]), line))
     return bound(
@@ -222,9 +253,7 @@ def _frequent_lines(context: Column) -> Column:
 
 def context_text(context: Column) -> Column:
     """Summary of a context (at most a few dozen rows) as text, inside the row."""
-    blocks = F.flatten(
-        F.transform(_counted(context, lambda r: r["actor"]), lambda a: _actor_block(context, a))
-    )
+    blocks = F.flatten(F.transform(_grouped(context, lambda r: r["actor"]), _actor_block))
     times = F.transform(context, lambda r: r["ts"])
     head = F.array(
         F.concat(F.lit("Total entries: "), F.size(context).cast("string")),

@@ -222,14 +222,18 @@ def open_batches(
     # noise counts in a batch's rows, and is in no text and no context
     batched = B.assign_batches(rows, options.batch).where(~F.col("is_noise"))
     labelled = rules.label_rows(batched, tuple(scope), options.rules)
-    taken = land(labelled.where(F.col("label").isNotNull()).select("seq", "batch_id"), "taken")
+    if options.batch.consume:
+        # contexts leave out single rows: these are landed with their labels, and need no join to tell which
+        batched = land(labelled, "labelled")
+        taken = batched.where(F.col("label").isNotNull())
+    else:
+        taken = land(labelled.where(F.col("label").isNotNull()).select("seq", "batch_id"), "taken")
     caught = taken.select("batch_id").distinct()
     texts = B.batch_texts(batched, text).join(caught, "batch_id", "left_anti")
     shown = batched.withColumns({
         name: F.coalesce(f"_shown_{name}", name) for name in QUOTED if f"_shown_{name}" in batched.columns})
     if options.batch.consume:
-        # the ranking of contexts reads its rows twice
-        shown = land(shown.select(*READ, "batch_id").join(taken.select("seq"), "seq", "left_anti"), "unexplained")
+        shown = shown.where(F.col("label").isNull()).select(*READ, "batch_id")
     contexts = B.batch_contexts(shown, options.batch, without=caught)
     # the text is shorter than the rows it sums up
     summed = contexts.select("batch_id", B.context_text(F.col("context")).alias("context_text"))

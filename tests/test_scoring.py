@@ -195,3 +195,46 @@ def test_little_is_landed_for_the_scorer(spark, monkeypatch):
         "seq", "ts", "source_label", "actor", "method", "path", "status", "user_agent", "is_noise", "raw_line",
         "_shown_path", "_shown_user_agent"}
     assert landed["taken"].columns == ["seq", "batch_id"]
+
+
+def test_rows_are_landed_with_their_labels_not_joined_back(spark, monkeypatch):
+    """Contexts without taken rows come from one landed table of labels: no table joins rows by their number."""
+    rows = [{"ip": f"10.0.0.{k % 7}", "path": f"/a{k % 5}" if k % 4 else "/x?id=%27", "line": f"line {k}"} for k in range(40)]
+    options = Options().overlay({"batch": {"consume": True, "size": 5}})
+    plans = []
+
+    def land(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    real = P.land
+    monkeypatch.setattr(P, "land", land)
+    texts = P.open_batches(entries_of(spark, rows), options, "raw_line")
+    assert plans and not any("LeftAnti" in plan for plan in plans)
+    # every batch of five has a row that the rules take, except where none falls in it
+    assert texts.collect() == []
+    few = entries_of(spark, [{"path": "/x?id=%27" if k == 2 else f"/p{k}", "ip": f"10.0.0.{k}"} for k in range(10)])
+    got = P.open_batches(few, options, "raw_line").collect()
+    assert [r["first_seq"] for r in got] == [5]
+    assert got[0]["context_text"].startswith("Total entries: 9\n") and "/x?id" not in got[0]["context_text"]
+
+
+def test_context_text_of_single_repeated_and_missing_values(spark):
+    """Actors with one row are described as those with more are, also where a value is missing or empty."""
+    row = "struct<seq:bigint,ts:timestamp,actor:string,method:string,path:string,status:int,user_agent:string>"
+    at = "timestamp'2024-01-01 00:00:0%d'"
+    given = [("a", "GET", "/x", 200, "ua"), ("b", "POST", "/x", 404, ""), ("a", "GET", "/y", 200, "ua"),
+             ("c", None, "/z", 200, "ua"), ("d", "GET", "/x", None, "ua"), ("e", "GET", "/w", 200, None), ("f", "PUT", "", 500, "f1")]
+    items = [f"named_struct('seq',{k}L,'ts',{at % k},'actor','{a}','method',{m!r},'path','{p}','status',{s},'user_agent',{u!r})"
+             .replace("None", "null") for k, (a, m, p, s, u) in enumerate(given)]
+    df = spark.range(1).select(F.expr(f"cast(array({','.join(items)}) as array<{row}>)").alias("context"))
+    text = df.select(B.context_text(F.col("context"))).first()[0]
+    assert text == "\n".join([
+        "Total entries: 7", "Time window: 00:00:00 - 00:00:06", "",
+        "IP a: 2 requests", "  GET /x -> 1x (status 200:2)", "  GET /y -> 1x (status 200:2)", "  User-Agent: ua", "",
+        "IP b: 1 requests", "  POST /x -> 1x (status 404:1)", "",
+        "IP c: 1 requests", "  User-Agent: ua", "",
+        "IP d: 1 requests", "  GET /x -> 1x (status )", "  User-Agent: ua", "",
+        "IP e: 1 requests", "  GET /w -> 1x (status 200:1)", "",
+        "IP f: 1 requests", "  PUT  -> 1x (status 500:1)", "  User-Agent: f1", "",
+        "Frequent paths:", "  /x: 3 hits from 3 IPs", ""])
